@@ -45,6 +45,8 @@ def salt(seed: int, column: int, purpose: int) -> int:
 
 # Purposes: one stream each, so that for example nulls do not depend on values.
 NULLS, INDEX, SIZE, TEXT = 1, 2, 3, 4
+# Elements of a bag draw from a column number no real column has.
+ELEMENT_COLUMN = 500_000
 
 
 def bits(key: Column, stream: int) -> Column:
@@ -226,7 +228,7 @@ def value(spec: ColSpec, key: Column, seed: int, column: int) -> Cell:
             F.slice(F.array(*[F.lit(k) for k in MAP_KEYS]), F.lit(1), size),
             F.transform(
                 F.sequence(F.lit(1), size),
-                lambda i: inline(free_string(F.xxhash64(key, i), spec.avg_length, text_stream)),
+                lambda i: inline(free_string(F.xxhash64(key, i.cast("bigint")), spec.avg_length, text_stream)),
             ),
         )
     if spec.dtype == "bag":
@@ -234,7 +236,7 @@ def value(spec: ColSpec, key: Column, seed: int, column: int) -> Cell:
         size = below(key, size_stream, high - low + 1).cast("int") + low
         return F.transform(
             F.sequence(F.lit(1), size),
-            lambda i: inline(value(spec.element, F.xxhash64(key, i), seed, column + 500_009)),
+            lambda i: inline(value(spec.element, F.xxhash64(key, i.cast("bigint")), seed, column + ELEMENT_COLUMN)),
         )
     idx = yield (yield from index(spec, key, salt(seed, column, INDEX)))
     if spec.dtype == "string":

@@ -27,7 +27,7 @@ def split_raw(line: Column, sep: str = FIELD_SEP) -> Column:
 
 def split_fields(line: Column, sep: str = FIELD_SEP) -> Column:
     """All fields of a line in order, empty ones as null."""
-    return F.transform(split_raw(line, sep), empty_to_null)
+    return F.transform(split_raw(line, sep), lambda field: empty_to_null(field))
 
 
 def _literal(sep: str) -> str:
@@ -123,4 +123,4 @@ def tuple_text(*cols: Column) -> Column:
 def tuple_fields(line: Column) -> Column:
     """The trimmed fields of a ``(a, b, c)`` line; null where the line has no such form."""
     inside = F.when(line.rlike(r"^\(.*\)$"), F.substring(line, F.lit(2), F.length(line) - 2))
-    return F.transform(F.split(inside, ",", -1), F.trim)
+    return F.transform(F.split(inside, ",", -1), lambda field: F.trim(field))

@@ -148,21 +148,25 @@ def domain_string(spec_text: str, idx: str, seed: int, column: int) -> str:
         starts.append(start)
         rooms.append(draw.CHARS ** min(length, draw.CODE_CHARS))
         start += share
+
+    def pick(numbers: list[int]) -> str:
+        return f"(({numbers})::HUGEINT[])[slot]::BIGINT"
+
     slot = f"len(list_filter({starts}::BIGINT[], lambda s: s <= place))"
     longest = max(lengths)
     blocks = ", ".join(
         bits("place", stream + b) for b in range(draw.CODE_CHARS, longest, draw.CODE_CHARS)
     )
     number = (
-        f"CAST((((place - {starts}::BIGINT[][slot])::HUGEINT * {code_factor} + {code_shift})"
-        f" % {rooms}::HUGEINT[][slot]) AS BIGINT)"
+        f"CAST((((place - {pick(starts)})::HUGEINT * {code_factor} + {code_shift})"
+        f" % {pick(rooms)}) AS BIGINT)"
     )
     one_char = (
         f"chr(CAST({draw.FIRST_CHAR} + (words[i // {draw.CODE_CHARS} + 1]"
         f" // CAST(power({draw.CHARS}::HUGEINT, i % {draw.CODE_CHARS}) AS BIGINT)) % {draw.CHARS} AS INTEGER))"
     )
     text = (
-        f"array_to_string(list_transform(range(0, {lengths}::BIGINT[][slot]),"
+        f"array_to_string(list_transform(range(0, {pick(lengths)}),"
         f" lambda i: {one_char}), '')"
     )
     return let(
