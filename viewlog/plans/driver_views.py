@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from viewlog.operators.ordering import sample_by_key
 from viewlog.schema import POWER_USER_SAMPLE_PERCENT
+from viewlog.streaming.intervals import utc_instant
 
 SAMPLE_SEED = 7
 
@@ -140,7 +141,7 @@ def samples_of(events: DataFrame) -> DataFrame:
     return events.select(
         (F.col("user_id") % 20).alias("mapper"),
         F.concat(F.lit("task"), (F.col("user_id") % 4).cast("string")).alias("tag"),
-        F.col("ts").cast("timestamp").alias("start"),
+        utc_instant(F.col("ts")).alias("start"),
         F.col("value").alias("elapsed_ms"),
         (F.col("event_type") == "error").alias("error"),
         (F.col("event_type") == "signup").alias("joins"),

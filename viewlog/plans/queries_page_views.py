@@ -106,7 +106,7 @@ def l8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(page_views: DataFrame) -> DataFrame:
-    """Maps and bags as the text a file would hold."""
+    """Maps and bags as the text a file would hold; applied last, after rows were moved."""
     return page_views.withColumns(
         {
             "page_info": encode_map(F.col("page_info")),
@@ -126,8 +126,7 @@ WHOLE_ROWS = f"""SELECT "user", action, timespent, query_term, ip_addr, "timesta
     (PAGE_VIEWS_SQL,),
 )
 def l9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pv = stored(views.page_views(spark, sf_dir))
-    return plans.l9_order_by_term(pv, tie=F.col("event_id"))
+    return stored(plans.l9_order_by_term(views.page_views(spark, sf_dir), tie=F.col("event_id")))
 
 
 @query(
@@ -137,8 +136,7 @@ def l9(spark: SparkSession, sf_dir: str) -> DataFrame:
     (PAGE_VIEWS_SQL,),
 )
 def l10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pv = stored(views.page_views(spark, sf_dir))
-    return plans.l10_order_by_three(pv, tie=F.col("event_id"))
+    return stored(plans.l10_order_by_three(views.page_views(spark, sf_dir), tie=F.col("event_id")))
 
 
 @query(

@@ -13,6 +13,7 @@ from viewlog.session import scratch_path
 from viewlog.streaming import intervals
 
 MINUTES = 60
+STATE_PARTITIONS = 8
 TAGS = ["task0", "task1", "task2", "task3"]
 
 STATS_SQL = f"""stats AS (
@@ -104,8 +105,9 @@ def late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same statistics from a stream of the events; intervals closed by the watermark."""
     schema = table(spark, sf_dir, "events").schema
+    session = intervals.stream_session(spark, STATE_PARTITIONS)
     events = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        session.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     )
     target = scratch_path(spark, "interval-stats")
     stream = intervals.stream_interval_stats(

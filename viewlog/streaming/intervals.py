@@ -1,21 +1,26 @@
 """Per-interval timing statistics of call samples.
 
-A sample is one timed call: ``mapper`` (the client), ``tag`` (the task), ``start``,
-``elapsed_ms`` and ``error``. It belongs to the interval in which the call started. Failed
+A sample is one timed call: ``mapper`` (the client), ``tag`` (the task), ``start`` (an
+instant), ``elapsed_ms`` and ``error``. It belongs to the interval in which the call started. Failed
 calls are counted and their timings left out. The same function serves batch and stream.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def minute_of(stamp: Column) -> Column:
-    """Minutes since the epoch of a timestamp, by its wall clock in the session time zone."""
+def utc_instant(wall_clock: Column) -> Column:
+    """The instant of a zone-less timestamp read as UTC, whatever the session's zone is."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("MINUTE", epoch, stamp.cast("timestamp_ntz"))
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, wall_clock))
+
+
+def minute_of(instant: Column) -> Column:
+    """Whole minutes since the epoch."""
+    return F.floor(F.unix_seconds(instant) / 60)
 
 
 def interval_stats(samples: DataFrame, minutes: int, sample_deviation: bool = False) -> DataFrame:
@@ -57,6 +62,17 @@ def interval_errors(samples: DataFrame, minutes: int) -> DataFrame:
     return interval_stats(samples, minutes).select("minute", "tag", "errors")
 
 
+def stream_session(spark: SparkSession, state_partitions: int) -> SparkSession:
+    """A session whose streams keep their state in that many partitions.
+
+    State holds a row per open interval and tag, and each batch sends it partial sums only, so
+    its partitions follow the number of tags and not the default meant for batch shuffles.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    return session
+
+
 def stream_interval_stats(
     samples: DataFrame,
     minutes: int,
