@@ -182,3 +182,6 @@ def test_row_count_check(spark, root):
     assert catalog.check_row_count(df, 50, lambda d: d.write.parquet(f"{root}/a")) == 50
     with pytest.raises(catalog.RowCountError, match="expected 51"):
         catalog.check_row_count(df, 51, lambda d: d.write.parquet(f"{root}/b"))
+    stored = lambda: spark.read.parquet(f"{root}/c").count()
+    doubled = df.union(df)
+    assert catalog.check_row_count(doubled, 50, lambda d: d.distinct().write.parquet(f"{root}/c"), stored) == 50

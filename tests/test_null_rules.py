@@ -153,12 +153,12 @@ def test_three_outputs_equal_their_single_forms(spark):
     tagged = plans.l12_three_outputs(pv)
 
     def branch(name):
-        return rows(tagged.filter(F.col("branch") == name).select("group", "value"))
+        return rows(tagged.filter(F.col("branch") == name).select("group", name))
 
     assert branch("highest_value_page_per_user") == rows(plans.l12a_highest_value(pv))
-    assert branch("total_timespent_per_term") == [(None, None), ("q", 3.0)]
-    assert rows(plans.l12b_timespent_per_term(pv)) == [(None, None), ("q", 3)]
-    assert branch("queries_per_action") == [("1", 1.0)]
+    assert branch("total_timespent_per_term") == rows(plans.l12b_timespent_per_term(pv))
+    assert branch("total_timespent_per_term") == [(None, None), ("q", 3)]
+    assert branch("queries_per_action") == [("1", 1)]
 
 
 def test_sort_places_nulls(spark):

@@ -106,8 +106,27 @@ def test_route_write_refuses_existing_target_before_writing(spark):
     root = scratch_path(spark, "test-routes")
     df = spark.createDataFrame([("a", 1), ("b", 2)], "route string, v int")
     df.write.csv(f"{root}/b")
-    routes = {f"{root}/{r}": F.col("route") == r for r in "ab"}
+    routes = {f"{root}/{r}": (F.col("route") == r, ["v"]) for r in "ab"}
     with pytest.raises(FileExistsError):
-        routing.route_write(df, routes, drop=("route",))
+        routing.route_write(df, routes)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.text(f"{root}/a")
+
+
+def test_routes_may_overlap_and_store_chosen_columns(spark):
+    root = scratch_path(spark, "test-overlap")
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "route string, v int")
+    routing.route_write(
+        df, {f"{root}/low": (F.col("v") < 3, ["v"]), f"{root}/all": (F.lit(True), ["route", "v"])}
+    )
+    assert sorted(r[0] for r in delimited.read_lines(spark, f"{root}/low").collect()) == ["1", "2"]
+    assert delimited.read_lines(spark, f"{root}/all").count() == 3
+
+
+def test_reading_some_columns_splits_no_further(spark, plan):
+    path = scratch_path(spark, "test-some")
+    df = spark.createDataFrame([("a", 1, None, "z"), (None, 2, "y", "z")], "a string, b int, c string, d string")
+    delimited.write_delimited(df, path, A)
+    some = delimited.read_delimited(spark, path, df.schema, A, columns=["b", "a"])
+    assert sorted(some.collect(), key=str) == [(1, "a"), (2, None)]
+    assert ", 3)" in plan(some)

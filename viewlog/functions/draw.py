@@ -34,6 +34,12 @@ RANDOM_NUMBER_LIMIT = 2.0**31
 Cell = Generator[Column, Column, Column]
 
 EULER_GAMMA = 0.57721566490153286
+# All texts of two characters by their number; the first character is the lower digit.
+TWO_CHARS = [
+    chr(FIRST_CHAR + first) + chr(FIRST_CHAR + second)
+    for second in range(CHARS)
+    for first in range(CHARS)
+]
 CODE_CHARS = 10  # 57^10 is the largest power of 57 below 2^63
 FLOAT_DOMAIN_LIMIT = 2**22
 
@@ -185,8 +191,15 @@ def _long(number: int) -> Column:
 
 
 def _digits(number: Column, count: int) -> list[Column]:
-    """The lowest base-57 digits of a number as characters."""
-    return [F.char(F.lit(FIRST_CHAR) + _div(number, CHARS**k) % CHARS) for k in range(count)]
+    """The lowest ``count`` base-57 digits of a number as text, lowest first, two at a time."""
+    table = F.split(F.lit(" ".join(TWO_CHARS)), " ")  # folded to a constant array by the optimizer
+    pairs = [
+        F.get(table, (_div(number, CHARS**k) % len(TWO_CHARS)).cast("int"))
+        for k in range(0, count, 2)
+    ]
+    if count % 2:
+        pairs[-1] = F.substring(pairs[-1], 1, 1)
+    return pairs
 
 
 def _div(number: Column, by: int) -> Column:

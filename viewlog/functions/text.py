@@ -20,9 +20,9 @@ def empty_to_null(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
-def split_raw(line: Column, sep: str = FIELD_SEP) -> Column:
-    """All fields of a line in order, trailing empty ones kept."""
-    return F.split(line, _literal(sep), -1)
+def split_raw(line: Column, sep: str = FIELD_SEP, limit: int = -1) -> Column:
+    """Fields of a line in order, trailing empty ones kept; the last of ``limit`` takes the rest."""
+    return F.split(line, _literal(sep), limit)
 
 
 def split_fields(line: Column, sep: str = FIELD_SEP) -> Column:

@@ -29,32 +29,31 @@ def int_mean_distinct(col: Column) -> Column:
 
 
 def tagged_aggregate(
-    df: DataFrame, branches: Mapping[str, tuple[Column, Column, Column]], key: str, value: str
+    df: DataFrame, branches: Mapping[str, tuple[Column, Column, Column]], key: str
 ) -> DataFrame:
     """Several filtered group-bys over one input in one scan and one shuffle.
 
-    ``branches`` maps a name to (predicate, key, aggregate). Predicates must exclude each
-    other. Rows are (branch, key as text, value as double).
+    ``branches`` maps a name to (predicate, key, aggregate); predicates exclude each other. A
+    row has its branch, its key as text, and a column named after each branch, of which only
+    that of its own branch is filled.
     """
-    branch, group = None, None
+    tag = group = None
     for name, (predicate, by, _) in branches.items():
-        tag, by = F.lit(name), by.cast("string")
-        branch = F.when(predicate, tag) if branch is None else branch.when(predicate, tag)
+        here, by = F.lit(name), by.cast("string")
+        tag = F.when(predicate, here) if tag is None else tag.when(predicate, here)
         group = F.when(predicate, by) if group is None else group.when(predicate, by)
-    results = {f"__{n}": agg.cast("double") for n, (_, _, agg) in branches.items()}
+    aggregates = {f"__{name}": aggregate for name, (_, _, aggregate) in branches.items()}
     grouped = (
-        df.withColumns({"branch": branch, key: group})
+        df.withColumns({"branch": tag, key: group})
         .filter(F.col("branch").isNotNull())
         .groupBy("branch", key)
-        .agg(*[agg.alias(n) for n, agg in results.items()])
+        .agg(*[aggregate.alias(name) for name, aggregate in aggregates.items()])
+    )
+    return grouped.select(
+        "branch",
+        key,
+        *[F.when(F.col("branch") == name, F.col(f"__{name}")).alias(name) for name in branches],
     )
-    chosen = None
-    for name in branches:
-        here = F.col("branch") == name
-        chosen = F.when(here, F.col(f"__{name}")) if chosen is None else chosen.when(
-            here, F.col(f"__{name}")
-        )
-    return grouped.select("branch", key, chosen.alias(value))
 
 
 def timing_stats(

@@ -123,7 +123,7 @@ def l12c_queries_per_action(page_views: DataFrame) -> DataFrame:
 
 
 def l12_three_outputs(page_views: DataFrame) -> DataFrame:
-    """All three outputs as rows (output, group, value): one scan and one shuffle for all."""
+    """All three outputs, told apart by ``branch``: one scan and one shuffle for all."""
     branches = l12_branches()
     return aggregates.tagged_aggregate(
         page_views,
@@ -145,7 +145,6 @@ def l12_three_outputs(page_views: DataFrame) -> DataFrame:
             ),
         },
         key="group",
-        value="value",
     )
 
 

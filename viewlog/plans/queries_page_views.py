@@ -151,13 +151,14 @@ def l11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "L12",
     """SELECT 'highest_value_page_per_user' AS branch, "user" AS "group",
-      max(estimated_revenue) AS value
+      max(estimated_revenue) AS highest_value_page_per_user,
+      CAST(NULL AS BIGINT) AS total_timespent_per_term, CAST(NULL AS BIGINT) AS queries_per_action
     FROM page_views WHERE "user" IS NOT NULL AND query_term IS NOT NULL GROUP BY "user"
     UNION ALL
-    SELECT 'total_timespent_per_term', query_term, CAST(sum(timespent) AS DOUBLE)
+    SELECT 'total_timespent_per_term', query_term, NULL, CAST(sum(timespent) AS BIGINT), NULL
     FROM page_views WHERE "user" IS NULL GROUP BY query_term
     UNION ALL
-    SELECT 'queries_per_action', CAST(action AS VARCHAR), CAST(count(*) AS DOUBLE)
+    SELECT 'queries_per_action', CAST(action AS VARCHAR), NULL, NULL, count(*)
     FROM page_views WHERE "user" IS NOT NULL AND query_term IS NULL GROUP BY action""",
     (PAGE_VIEWS_SQL,),
 )

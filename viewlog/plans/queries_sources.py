@@ -215,7 +215,7 @@ def route_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "routes")
     names = list(plans.l12_branches())
     routing.route_write(
-        outputs, {f"{root}/{n}": F.col("branch") == n for n in names}, drop=("branch",)
+        outputs, {f"{root}/{n}": (F.col("branch") == n, ["group", n]) for n in names}
     )
     read = [
         delimited.read_delimited(spark, f"{root}/{n}", "key string, value double", "\t").select(

@@ -11,23 +11,32 @@ from viewlog.schema import PAGE_VIEWS
 
 
 def read_delimited(
-    spark: SparkSession, path: str, schema: T.StructType | str, sep: str = text.FIELD_SEP
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    sep: str = text.FIELD_SEP,
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """Separated text under a declared schema, fields by position.
 
     The layout has no quotes, escapes or comments: every character but the separator is
     data. An empty or missing field and an unreadable number are null; a line of empty
-    fields is a row of nulls (a CSV reader would skip it as blank).
+    fields is a row of nulls (a CSV reader would skip it as blank). With ``columns``, lines
+    are split no further than the last of them, which saves most of the work on wide rows.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    raw = split_lines(read_lines(spark, path), schema.names, sep)
+    wanted = schema.names if columns is None else columns
+    last = max(schema.names.index(c) for c in wanted)
+    names = schema.names[: last + 1]
+    limit = -1 if last + 1 == len(schema.names) else last + 2
+    raw = split_lines(read_lines(spark, path), names, sep, limit)
     return raw.select(
         *[
-            F.col(f"`{f.name}`")
-            if isinstance(f.dataType, T.StringType)
-            else F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name)
-            for f in schema
+            F.col(f"`{name}`")
+            if isinstance(schema[name].dataType, T.StringType)
+            else F.col(f"`{name}`").try_cast(schema[name].dataType).alias(name)
+            for name in wanted
         ]
     )
 
@@ -48,9 +57,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
-def split_lines(lines: DataFrame, names: list[str], sep: str = text.FIELD_SEP) -> DataFrame:
+def split_lines(
+    lines: DataFrame, names: list[str], sep: str = text.FIELD_SEP, limit: int = -1
+) -> DataFrame:
     """Lines to text columns by position."""
-    fields = lines.select(text.split_raw(F.col("line"), sep).alias("f"))
+    fields = lines.select(text.split_raw(F.col("line"), sep, limit).alias("f"))
     return fields.select(
         *[text.empty_to_null(F.get("f", F.lit(i))).alias(n) for i, n in enumerate(names)]
     )
@@ -93,9 +104,9 @@ def encode_page_views(df: DataFrame) -> DataFrame:
 
 
 def decode_page_views(df: DataFrame) -> DataFrame:
-    """Nine text columns to the page-view schema; a field that does not parse is null."""
+    """Text columns to the page-view schema; a field that does not parse is null."""
     typed = []
-    for field in PAGE_VIEWS:
+    for field in (PAGE_VIEWS[name] for name in df.columns):
         col = F.col(f"`{field.name}`")
         if field.name == "page_info":
             col = text.decode_map(col)
@@ -107,13 +118,15 @@ def decode_page_views(df: DataFrame) -> DataFrame:
     return df.select(*typed)
 
 
-def read_page_views(spark: SparkSession, path: str) -> DataFrame:
-    """The nine-column page-view source with its map and bag decoded.
+def read_page_views(
+    spark: SparkSession, path: str, columns: list[str] | None = None
+) -> DataFrame:
+    """The nine-column page-view source, or some of its columns, with map and bag decoded.
 
-    Columns a query does not use are neither decoded nor parsed.
+    What a query does not use is neither decoded nor parsed.
     """
     raw = T.StructType([T.StructField(n, T.StringType()) for n in PAGE_VIEWS.names])
-    return decode_page_views(read_delimited(spark, path, raw))
+    return decode_page_views(read_delimited(spark, path, raw, columns=columns))
 
 
 def write_page_views(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
