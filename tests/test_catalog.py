@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from viewlog.plans import load_store, reports
 from viewlog.schema import ColSpec, TableSpec
 from viewlog.session import scratch_path
 from viewlog.sources import catalog, delimited, specs
@@ -26,8 +29,7 @@ def spec():
 def root(spark, spec):
     path = scratch_path(spark, "test-catalog")
     yield path
-    for name in (spec.qualified, spec.qualified + "_copy"):
-        catalog.drop_table(spark, name)
+    catalog.clean_up(spark, spec)
 
 
 def column(name, kind="string", length=5, nulls=None):
@@ -69,18 +71,18 @@ def test_read_table_specs(spark):
     second = table_xml("people", f"<column>{column('id', nulls=0)}</column>", "", ((5, 1), (9, 2)), "db1")
     tables = specs.read_table_specs(spark, spec_file(spark, first + second))
     assert [(t.qualified, t.rows) for t in tables] == [
+        ("default.views_200_0", 200),
         ("db1.people_5_0", 5),
         ("db1.people_9_0", 9),
         ("db1.people_9_1", 9),
-        ("default.views_200_0", 200),
     ]
-    views = tables[-1]
+    views = tables[0]
     assert views.columns == (
         ("who", ColSpec("string", 5, 6, "uniform", 7)),
         ("spent", ColSpec("int", 0, 6, "uniform", 9)),
     )
     assert [n for n, _ in views.partitions] == ["act", "age"]
-    assert tables[0].partitions == ()
+    assert tables[1].partitions == ()
 
 
 @pytest.mark.parametrize(
@@ -139,6 +141,28 @@ def test_storing_twice_appends(spark, spec, root):
     catalog.text_to_catalog(spark, spec, data)
     catalog.text_to_catalog(spark, spec, data)
     assert catalog.load_catalog(spark, spec.qualified).count() == 2 * spec.rows
+    with pytest.raises(catalog.RowCountError):
+        catalog.catalog_to_text(spark, spec, f"{root}/twice")
+
+
+def test_benchmark_runs(spark, spec, root):
+    runs = load_store.run_load_store(spark, spec, "visits.xml", root, runs=2, seed=3, parts=2)
+    got = runs.groupBy("file", "tag").count().collect()
+    assert {(r.file, r.tag, r["count"]) for r in got} == {
+        ("visits.xml", tag, 2) for tag in load_store.JOBS
+    }
+    assert runs.filter("elapsed_ms <= 0").count() == 0
+    document = reports.load_store_report(runs).first()["document"]
+    assert set(json.loads(document)["visits.xml"]) == set(load_store.JOBS)
+    assert not spark.catalog.tableExists(spec.qualified)
+
+
+def test_managed_table_loses_its_files_when_dropped(spark, spec, root):
+    data = catalog.set_up(spark, spec, root, seed=3, parts=2)
+    catalog.text_to_catalog(spark, spec, data)
+    catalog.clean_up(spark, spec)
+    catalog.create_table(spark, spec)
+    assert catalog.load_catalog(spark, spec.qualified).count() == 0
 
 
 def test_existing_output_is_not_generated_again(spark, spec, root):

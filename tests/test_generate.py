@@ -17,6 +17,7 @@ from viewlog.schema import (
     ColSpec,
     distribution_name,
     parse_colspec,
+    TableSpec,
     type_name,
 )
 from viewlog.session import scratch_path
@@ -205,7 +206,27 @@ def test_preparation(spark):
 
 
 def test_colspec_of_partition_cannot_have_nulls():
-    from viewlog.schema import TableSpec
-
     with pytest.raises(ValueError, match="cannot have nulls"):
         TableSpec("t", "db", (("a", ColSpec("int")),), (("p", ColSpec("int", percent_null=1)),))
+
+
+def test_map_file_gives_the_same_values_as_the_inline_domain(spark):
+    specs = {"a": "i:1:2:u:0", "t": "s:6:300:z:10", "d": "d:1:50:u:0"}
+    mapped = {"a": specs["a"]}
+    for column, name in ((1, "t"), (2, "d")):
+        path = scratch_path(spark, "test-map-file")
+        generate.write_value_domain(spark, specs[name], path, seed=5, column=column)
+        mapped[name] = f"{specs[name]}:{path}"
+    plain = generate.gen_table(spark, specs, 3000, seed=5, parts=3)
+    looked_up = generate.gen_table(spark, mapped, 3000, seed=5, parts=3)
+    assert looked_up.columns == plain.columns
+    assert looked_up.schema == plain.schema
+    assert looked_up.exceptAll(plain).count() == 0
+
+
+def test_map_file_without_a_value_is_an_error(spark):
+    path = scratch_path(spark, "test-short-map")
+    spark.createDataFrame([("0\tzero",)], "line string").write.text(path)
+    drawn = generate.gen_table(spark, {"t": f"s:4:5:u:0:{path}"}, 100, seed=1)
+    with pytest.raises(Exception, match="has no value for number"):
+        drawn.collect()

@@ -267,6 +267,12 @@ def nullable_value(spec: ColSpec, key: Column, seed: int, column: int) -> Cell:
     return F.when(below(key, salt(seed, column, NULLS), 100) >= spec.percent_null, cell)
 
 
+def nullable_index(spec: ColSpec, key: Column, seed: int, column: int) -> Cell:
+    """The domain index of a cell whose value is looked up elsewhere, null with the spec's share."""
+    idx = yield (yield from index(spec, key, salt(seed, column, INDEX)))
+    return F.when(below(key, salt(seed, column, NULLS), 100) >= spec.percent_null, idx)
+
+
 def add_columns(df: DataFrame, cells: dict[str, Cell]) -> DataFrame:
     """Add generated columns: one projection per round of intermediate results."""
     kept = [F.col(f"`{c}`") for c in df.columns]

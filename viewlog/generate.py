@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewlog.functions import draw
+from viewlog.operators.joins import join_replicated
 from viewlog.schema import (
     PAGE_VIEW_SPECS,
     WIDE_ROW_INT_SPEC,
@@ -17,8 +18,11 @@ from viewlog.schema import (
     TableSpec,
     parse_colspec,
 )
+from viewlog.sources.delimited import read_delimited, write_delimited
 
 ROW_KEY = "__row"
+DOMAIN_TYPES = ("float", "double", "string")
+DOMAIN_SEP = "\t"
 
 
 def _parsed(specs: Mapping[str, ColSpec | str]) -> dict[str, ColSpec]:
@@ -52,11 +56,33 @@ def check_gen_conf(
             draw.string_lengths(inner.avg_length)
 
 
-def _cells(specs: Mapping[str, ColSpec | str], key: Column, seed: int) -> dict[str, draw.Cell]:
-    return {
-        name: draw.nullable_value(spec, key, seed, position)
-        for position, (name, spec) in enumerate(_parsed(specs).items())
+def _add(df: DataFrame, specs: Mapping[str, ColSpec | str], key: Column, seed: int) -> DataFrame:
+    """The rows with all generated columns; values of mapped columns come from their files."""
+    parsed, kept = _parsed(specs), df.columns
+    mapped = {n: s for n, s in parsed.items() if s.map_file and s.dtype in DOMAIN_TYPES}
+    cells = {
+        name: draw.nullable_index(spec, key, seed, position)
+        if name in mapped
+        else draw.nullable_value(spec, key, seed, position)
+        for position, (name, spec) in enumerate(parsed.items())
     }
+    df = draw.add_columns(df, cells)
+    for name, spec in mapped.items():
+        df = _look_up(df, name, spec)
+    return df.select(*[F.col(f"`{c}`") for c in [*kept, *parsed]])
+
+
+def _look_up(df: DataFrame, name: str, spec: ColSpec) -> DataFrame:
+    """Replace a column's domain index by its value in the spec's map file."""
+    spark = df.sparkSession
+    schema = f"__at bigint, __value {spec.spark_type.simpleString()}"
+    domain = read_delimited(spark, spec.map_file, schema, DOMAIN_SEP)
+    rows = df.withColumnRenamed(name, "__index")
+    joined = join_replicated(rows, domain, "__index", "__at", "left")
+    problem = F.concat(F.lit(f"{spec.map_file} has no value for number "), F.col("__index"))
+    missing = F.col("__index").isNotNull() & F.col("__at").isNull()
+    value = F.when(missing, F.raise_error(problem)).otherwise(F.col("__value"))
+    return joined.withColumn(name, value).drop("__index", "__at", "__value")
 
 
 def gen_table(
@@ -69,7 +95,7 @@ def gen_table(
     """``rows`` independent rows; ``parts`` sets the parallelism and never the data."""
     check_gen_conf(specs, rows=rows)
     numbers = spark.range(0, rows, 1, parts).withColumnRenamed("id", ROW_KEY)
-    return draw.add_columns(numbers, _cells(specs, F.col(ROW_KEY), seed)).drop(ROW_KEY)
+    return _add(numbers, specs, F.col(ROW_KEY), seed).drop(ROW_KEY)
 
 
 def gen_append(
@@ -81,7 +107,7 @@ def gen_append(
     if taken:
         raise ValueError(f"columns exist already: {sorted(taken)}")
     key = F.col(key) if isinstance(key, str) else key
-    return draw.add_columns(df, _cells(specs, key, seed))
+    return _add(df, specs, key, seed)
 
 
 def value_domain(spark: SparkSession, spec: ColSpec | str, seed: int = 0, column: int = 0) -> DataFrame:
@@ -89,16 +115,23 @@ def value_domain(spark: SparkSession, spec: ColSpec | str, seed: int = 0, column
     spec = parse_colspec(spec) if isinstance(spec, str) else spec
     stream = draw.salt(seed, column, draw.TEXT)
     idx = F.col("index")
+    if spec.dtype not in DOMAIN_TYPES:
+        raise ValueError(f"a {spec.dtype} column has no value domain")
     if spec.dtype == "string":
         cell = draw.domain_string(spec, idx, stream)
-    elif spec.dtype in ("float", "double"):
-        cell = _ready(draw.domain_number(spec, idx, stream))
     else:
-        raise ValueError(f"a {spec.dtype} column has no value domain")
+        cell = _ready(draw.domain_number(spec, idx, stream))
     indexes = spark.range(spec.cardinality).withColumnRenamed("id", "index")
     return draw.add_columns(indexes, {"value": cell})
 
 
+def write_value_domain(
+    spark: SparkSession, spec: ColSpec | str, path: str, seed: int = 0, column: int = 0
+) -> None:
+    """Store a domain as a map file (number, tab, value) for the sixth part of a column spec."""
+    write_delimited(value_domain(spark, spec, seed, column), path, DOMAIN_SEP)
+
+
 def _ready(col: Column) -> draw.Cell:
     """A finished expression as a cell."""
     return col

@@ -26,14 +26,17 @@ def quoted(name: str) -> str:
     return ".".join(f"`{part}`" for part in name.split("."))
 
 
-def create_table(spark: SparkSession, spec: TableSpec, location: str) -> None:
-    """Create the table unless it exists: columns, then partition keys, stored by column."""
+def create_table(spark: SparkSession, spec: TableSpec, location: str | None = None) -> None:
+    """Create the table unless it exists: columns, then partition keys, stored by column.
+
+    Without a location the catalog keeps the files and removes them when the table is dropped.
+    """
     names = [f"`{n}` {s.spark_type.simpleString()}" for n, s in spec.columns + spec.partitions]
     keys = ", ".join(f"`{n}`" for n, _ in spec.partitions)
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {quoted(spec.qualified)} ({', '.join(names)}) USING parquet"
         + (f" PARTITIONED BY ({keys})" if keys else "")
-        + f" LOCATION '{location}'"
+        + (f" LOCATION '{location}'" if location else "")
     )
 
 
@@ -123,36 +126,58 @@ def generate_if_missing(
     write_delimited(gen_from_spec(spark, spec, seed, parts), path, TEXT_SEP, mode="ignore")
 
 
-def copy_table(spark: SparkSession, spec: TableSpec, location: str) -> str:
+def copy_table(spark: SparkSession, spec: TableSpec, location: str | None = None) -> str:
     """Create the empty ``_copy`` twin of a table and return its name."""
     twin = spec.renamed(spec.name + COPY_SUFFIX)
     create_table(spark, twin, location)
     return twin.qualified
 
 
-def text_to_text(spark: SparkSession, spec: TableSpec, source: str, target: str) -> None:
-    write_delimited(read_delimited(spark, source, spec.struct, TEXT_SEP), target)
+def text_to_text(
+    spark: SparkSession, spec: TableSpec, source: str, target: str, mode: str = "errorifexists"
+) -> None:
+    rows = read_delimited(spark, source, spec.struct, TEXT_SEP)
+    _checked(spec, rows, lambda df: write_delimited(df, target, mode=mode))
 
 
 def text_to_catalog(spark: SparkSession, spec: TableSpec, source: str) -> None:
-    store_catalog(read_delimited(spark, source, spec.struct, TEXT_SEP), spec.qualified)
+    rows = read_delimited(spark, source, spec.struct, TEXT_SEP)
+    _checked(spec, rows, lambda df: store_catalog(df, spec.qualified))
 
 
-def catalog_to_text(spark: SparkSession, spec: TableSpec, target: str) -> None:
-    write_delimited(load_catalog(spark, spec.qualified), target)
+def catalog_to_text(
+    spark: SparkSession, spec: TableSpec, target: str, mode: str = "errorifexists"
+) -> None:
+    rows = load_catalog(spark, spec.qualified)
+    _checked(spec, rows, lambda df: write_delimited(df, target, mode=mode))
 
 
 def catalog_to_catalog(spark: SparkSession, spec: TableSpec) -> None:
     """Copy a table into its ``_copy`` twin, which must exist."""
-    store_catalog(load_catalog(spark, spec.qualified), spec.qualified + COPY_SUFFIX)
+    rows = load_catalog(spark, spec.qualified)
+    _checked(spec, rows, lambda df: store_catalog(df, spec.qualified + COPY_SUFFIX))
+
+
+def _checked(spec: TableSpec, rows: DataFrame, write: Callable[[DataFrame], None]) -> None:
+    """Run a write; if the spec says how many rows its table has, that many must be written."""
+    if spec.rows:
+        check_row_count(rows, spec.rows, write, recount=rows.count)
+    else:
+        write(rows)
 
 
 def set_up(
     spark: SparkSession, spec: TableSpec, root: str, seed: int = 0, parts: int | None = None
 ) -> str:
     """Table, copy twin and text data of a spec; returns the text directory."""
-    create_table(spark, spec, f"{root}/tables/{spec.name}")
-    copy_table(spark, spec, f"{root}/tables/{spec.name}{COPY_SUFFIX}")
+    create_table(spark, spec)
+    copy_table(spark, spec)
     data = f"{root}/data/{spec.name}"
     generate_if_missing(spark, spec, data, seed, parts)
     return data
+
+
+def clean_up(spark: SparkSession, spec: TableSpec) -> None:
+    """Drop the table and its copy twin."""
+    drop_table(spark, spec.qualified)
+    drop_table(spark, spec.qualified + COPY_SUFFIX)

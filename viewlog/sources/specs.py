@@ -21,13 +21,14 @@ SPEC_SCHEMA = (
 
 
 def read_spec_rows(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ``<table>`` element of the spec files."""
-    return spark.read.format("xml").option("rowTag", "table").schema(SPEC_SCHEMA).load(path)
+    """One row per ``<table>`` element of the spec files, numbered as they come."""
+    rows = spark.read.format("xml").option("rowTag", "table").schema(SPEC_SCHEMA).load(path)
+    return rows.withColumn("position", F.monotonically_increasing_id())
 
 
 def expand_instances(specs: DataFrame) -> DataFrame:
     """One row per table to build: ``<prefix>_<size>_<i>`` for each i below an instance's count."""
-    sized = specs.select("*", F.explode("instances.instance").alias("instance")).select(
+    sized = specs.select("*", F.posexplode("instances.instance").alias("nth", "instance")).select(
         "*",
         F.col("instance.size").cast("bigint").alias("rows"),
         F.col("instance.count").cast("int").alias("copies"),
@@ -40,12 +41,12 @@ def expand_instances(specs: DataFrame) -> DataFrame:
 
 
 def read_table_specs(spark: SparkSession, path: str) -> list[TableSpec]:
-    """The tables a spec file asks for.
+    """The tables a spec file asks for, in the order of the file.
 
     A spec file is a handful of table descriptions, so its rows come to the driver.
     """
-    rows = expand_instances(read_spec_rows(spark, path)).orderBy("dbName", "name").collect()
-    return [_table(row) for row in rows]
+    tables = expand_instances(read_spec_rows(spark, path))
+    return [_table(row) for row in tables.orderBy("position", "nth", "number").collect()]
 
 
 def _table(row: Row) -> TableSpec:
