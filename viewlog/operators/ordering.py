@@ -14,12 +14,15 @@ TIE = "__tie"
 def order_total(df: DataFrame, *order: Column | str, tie: Column | None = None) -> DataFrame:
     """Total order over the whole table.
 
-    Nulls come first ascending and last descending. Rows with equal keys are ordered by
-    ``tie``, by default a hash of the row. Range boundaries can then fall inside one hot (or
-    null) key, which otherwise would go to a single task whole.
+    Nulls come first ascending and last descending. Ranges are cut by the order and then by
+    ``tie``, by default a hash of the row: a boundary can fall inside one hot (or null) key,
+    which otherwise would go to a single task whole. Inside a range rows are sorted by the
+    order alone, so rows with equal keys cost no further comparisons.
     """
     tie = row_hash(df) if tie is None else tie
-    return df.withColumn(TIE, tie).orderBy(*order, TIE).drop(TIE)
+    order = tuple(F.col(o) if isinstance(o, str) else o for o in order)
+    ranges = df.withColumn(TIE, tie).repartitionByRange(*order, F.col(TIE))
+    return ranges.drop(TIE).sortWithinPartitions(*order)
 
 
 def range_partition_skewed(df: DataFrame, parts: int, *keys: Column | str) -> DataFrame:
