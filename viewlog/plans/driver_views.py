@@ -38,16 +38,15 @@ def page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("a"), F.concat(F.lit("p"), (n % 7).cast("string")), F.lit("c"), e["event_type"]
         )
     )
-    no_links = F.array().cast("array<map<string,string>>")
-    links = F.transform(
-        F.sequence(F.lit(1), link_count),
-        lambda i: F.create_map(
+    links = [
+        F.create_map(
             F.lit("a"),
-            F.concat(F.lit("x"), i.cast("string")),
+            F.lit(f"x{i}"),
             F.lit("b"),
             F.concat(F.lit("l"), ((n + i) % 13).cast("string")),
-        ),
-    )
+        )
+        for i in range(1, 10)
+    ]
     return e.select(
         _unless(n % 14 == 0, _name(e["user_id"])).alias("user"),
         F.when(e["event_type"].isin("click", "purchase"), 1).otherwise(0).alias("action"),
@@ -57,7 +56,7 @@ def page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor(F.hour("ts") / 6) * 21600).cast("bigint").alias("timestamp"),
         _unless(n % 20 == 0, e["value"]).alias("estimated_revenue"),
         info.alias("page_info"),
-        F.when(link_count == 0, no_links).otherwise(links).alias("page_links"),
+        F.slice(F.array(*links), F.lit(1), link_count).alias("page_links"),
         n,
     )
 

@@ -17,6 +17,9 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
+    # The JVM compiles no method above 8000 bytes of code. Wide projections, such as those of
+    # the generator, run five times faster if Spark then splits them instead of fusing them.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

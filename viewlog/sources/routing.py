@@ -12,21 +12,24 @@ from viewlog.sources.delimited import write_delimited
 
 
 def route_write(
-    df: DataFrame, routes: Mapping[str, tuple[Column, list[str]]], sep: str = "\t"
+    df: DataFrame,
+    routes: Mapping[str, tuple[Column, list[str]]],
+    sep: str = "\t",
+    mode: str = "errorifexists",
 ) -> None:
     """Write the rows that satisfy each predicate to its directory, with the named columns only.
 
     ``routes`` maps a directory to (predicate, columns to store); routes may overlap. The source
-    is computed once and kept until all directories are written. An existing directory fails
-    the call before any row is written.
+    is computed once and kept until all directories are written. Unless ``mode`` says otherwise,
+    an existing directory fails the call before any row is written.
     """
-    taken = [path for path in routes if _exists(df, path)]
+    taken = [path for path in routes if mode == "errorifexists" and _exists(df, path)]
     if taken:
         raise FileExistsError(f"output directories exist: {taken}")
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for path, (predicate, names) in routes.items():
-            write_delimited(kept.filter(predicate).select(*[f"`{n}`" for n in names]), path, sep)
+            write_delimited(kept.filter(predicate).select(*[f"`{n}`" for n in names]), path, sep, mode)
     finally:
         kept.unpersist()
 
