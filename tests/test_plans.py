@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from viewlog.operators import joins, ordering, shaping
@@ -144,6 +146,55 @@ def test_hot_and_null_keys_are_cut(spark, hot):
             spark.conf.unset(f"spark.sql.{name}")
 
 
+def test_hot_key_of_equal_rows_is_cut_by_an_id(spark, hot):
+    """Rows that agree in every column of the join are dealt by what is given for it."""
+    names = spark.createDataFrame([("hot", 1)], "name string, v int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        cut = joins.join_skewed_key(
+            hot, names, "k", "name", hot_rows=500, spread_by=F.col("id")
+        ).select("k", "v")
+        sizes = partition_sizes(cut)
+        assert sum(sizes) == 10_000
+        assert max(sizes) < 4_000
+    finally:
+        for name in ("autoBroadcastJoinThreshold", "adaptive.enabled", "shuffle.partitions"):
+            spark.conf.unset(f"spark.sql.{name}")
+
+
+@pytest.mark.parametrize("run", [plans.l2_power_user_views, plans.l14_merge_join])
+def test_spreading_columns_are_not_read_when_nothing_is_hot(spark, data, pv, plan, run):
+    text = plan(run(pv, views.users(spark, data)))
+    events = next(s for s in re.findall(r"ReadSchema: struct<([^>]*)>", text) if "event_id" in s)
+    assert {c.split(":")[0] for c in events.split(",")} == {"event_id", "user_id", "value"}
+
+
+keys = st.one_of(st.none(), st.sampled_from(["a", "b", "c"]))
+
+
+@settings(
+    max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+@given(
+    st.lists(st.tuples(keys, st.integers(0, 2)), max_size=30),
+    st.lists(st.tuples(keys, st.integers(0, 2)), max_size=6),
+    st.sampled_from(["inner", "left"]),
+)
+def test_cut_join_equals_nested_loops(spark, left_rows, right_rows, how):
+    left = spark.createDataFrame(left_rows, "k string, v int")
+    right = spark.createDataFrame(right_rows, "name string, w int")
+    expected = []
+    for k, v in left_rows:
+        partners = [(n, w) for n, w in right_rows if k is not None and n == k]
+        expected += [(k, v, n, w) for n, w in partners]
+        if how == "left" and not partners:
+            expected.append((k, v, None, None))
+    got = joins.join_skewed_key(left, right, "k", "name", how, hot_rows=2).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, expected))
+
+
 def test_hot_list_is_exact(hot):
     got = {r["__key"]: r["__parts"] for r in joins.hot_keys(hot, "k", 4000).collect()}
     assert got == {"hot": 3}

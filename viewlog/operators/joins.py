@@ -38,15 +38,16 @@ def join_replicated(
     right_key: str,
     how: str = "inner",
     limit: int = BROADCAST_BYTES,
+    spread_by: Column | None = None,
 ) -> DataFrame:
     """Join with the right side in the memory of every task, if it measures small enough.
 
     The left side then needs no shuffle and its hot keys do no harm. A right side beyond
-    the limit is joined by a shuffle that cuts hot keys.
+    the limit is joined by :func:`join_skewed_key`, which cuts hot keys.
     """
     if fits_broadcast(right, limit):
         return left.join(F.broadcast(right), left[left_key] == right[right_key], how)
-    return join_skewed_key(left, right, left_key, right_key, how)
+    return join_skewed_key(left, right, left_key, right_key, how, spread_by=spread_by)
 
 
 def semi_join_set(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -55,18 +56,32 @@ def semi_join_set(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     return left.join(members, left[left_key] == F.col("__member"), "left_semi")
 
 
-def join_left_outer(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+def join_left_outer(
+    left: DataFrame,
+    right: DataFrame,
+    left_key: str,
+    right_key: str,
+    spread_by: Column | None = None,
+) -> DataFrame:
     """All left rows, with the right side's columns or nulls."""
-    return join_replicated(left, right, left_key, right_key, "left")
+    return join_replicated(left, right, left_key, right_key, "left", spread_by=spread_by)
 
 
-def join_merge(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+def join_merge(
+    left: DataFrame,
+    right: DataFrame,
+    left_key: str,
+    right_key: str,
+    spread_by: Column | None = None,
+) -> DataFrame:
     """Inner sort-merge join.
 
     Over tables bucketed and sorted by the key (:func:`viewlog.operators.ordering.write_bucketed`)
     neither side is shuffled; other inputs are shuffled with hot keys cut.
     """
-    return join_skewed_key(left, right, left_key, right_key, "inner", merge=True)
+    return join_skewed_key(
+        left, right, left_key, right_key, "inner", merge=True, spread_by=spread_by
+    )
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:

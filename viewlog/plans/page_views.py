@@ -37,9 +37,14 @@ def l1_links_per_user(page_views: DataFrame) -> DataFrame:
     return rows.filter("rows > 0").select("user", count.alias("cnt"))
 
 
+def visit_hash() -> Column:
+    """Tells the rows of one user apart; parts of a hot user are dealt by it."""
+    return F.xxhash64("ip_addr", "timestamp", "query_term", "timespent", "estimated_revenue")
+
+
 def l2_power_user_views(page_views: DataFrame, power_users: DataFrame) -> DataFrame:
     joined = joins.join_replicated(
-        page_views.select("user", "estimated_revenue"), power_users.select("name"), "user", "name"
+        page_views, power_users.select("name"), "user", "name", spread_by=visit_hash()
     )
     return joined.select("user", "estimated_revenue")
 
@@ -149,18 +154,16 @@ def l12_three_outputs(page_views: DataFrame) -> DataFrame:
 
 
 def l13_views_with_power_user(page_views: DataFrame, power_user_samples: DataFrame) -> DataFrame:
-    return joins.join_left_outer(
-        page_views.select("user", "estimated_revenue"),
-        power_user_samples.select("name", "phone"),
-        "user",
-        "name",
-    )
+    named = power_user_samples.select("name", "phone")
+    joined = joins.join_left_outer(page_views, named, "user", "name", spread_by=visit_hash())
+    return joined.select("user", "estimated_revenue", "name", "phone")
 
 
 def l14_merge_join(page_views: DataFrame, users: DataFrame) -> DataFrame:
-    return joins.join_merge(
-        page_views.select("user", "estimated_revenue"), users.select("name"), "user", "name"
+    joined = joins.join_merge(
+        page_views, users.select("name"), "user", "name", spread_by=visit_hash()
     )
+    return joined.select("user", "estimated_revenue", "name")
 
 
 def l15_distinct_values_per_user(page_views: DataFrame) -> DataFrame:
