@@ -87,6 +87,23 @@ def test_join_then_sum_shuffles_each_side_once(spark, data, pv, plan):
     assert text.count("partial_") >= 2
 
 
+def test_grouped_sides_meet_without_another_shuffle(spark, data, pv, plan):
+    """Keys are reduced before they are compared, and the reduction's shuffle serves the join."""
+    people = views.users(spark, data)
+    one = F.count(F.lit(1))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        unknown = plan(plans.l5_unknown_users(pv, people))
+        together = plan(
+            joins.cogroup(pv, people, "user", "name", [one.alias("n")], [one.alias("m")])
+        )
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert exchanges(unknown) == 3  # users of views, users of the table, null groups of the table
+    assert "LeftAnti" in unknown
+    assert exchanges(together) == 2
+
+
 @pytest.mark.parametrize(
     "run",
     [
