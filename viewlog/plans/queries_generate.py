@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from viewlog.functions import draw
 from viewlog.functions.text import encode_bag, encode_map
-from viewlog.generate import gen_append
+from viewlog.generate import gen_append, gen_from_spec, gen_table
 from viewlog.plans import driver_views as views
 from viewlog.plans import oracle_sql as sql
 from viewlog.plans import prep
 from viewlog.plans.driver_views import PAGE_VIEWS_SQL, table
 from viewlog.plans.registry import query
-from viewlog.schema import POWER_USERS, USER_DETAIL_SPECS, parse_colspec
+from viewlog.schema import POWER_USERS, USER_DETAIL_SPECS, TableSpec, parse_colspec
+from viewlog.session import scratch_path
+from viewlog.sources import catalog, delimited
 
 SEED = 11
 
@@ -47,6 +49,62 @@ def zipf_ctes(spec: str, column: int) -> tuple[str, str]:
     )
 
 
+ROW_NUMBERS = "(SELECT row_number() OVER () - 1 AS n FROM orders)"
+
+
+@query(
+    "gen_table",
+    f"""SELECT CAST({with_nulls(uniform('i:1:40:u:25', 0, 'n'), 'i:1:40:u:25', 0, 'n')} AS INTEGER) AS a,
+      {uniform('l:1:90000:u:0', 1, 'n')} AS b FROM {ROW_NUMBERS}""",
+)
+def gen_table_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generated table with as many rows as there are orders."""
+    rows = table(spark, sf_dir, "orders").count()
+    return gen_table(spark, {"a": "i:1:40:u:25", "b": "l:1:90000:u:0"}, rows, SEED)
+
+
+SPENT, LANE, DAY = "i:1:600:u:10", "i:1:4:u:0", "s:3:12:u:0"
+
+
+def order_table(spark: SparkSession, sf_dir: str, name: str) -> TableSpec:
+    """A table spec with two partition keys, sized like the orders."""
+    return TableSpec(
+        name=name,
+        database="default",
+        columns=(("spent", parse_colspec(SPENT)),),
+        partitions=(("lane", parse_colspec(LANE)), ("day", parse_colspec(DAY))),
+        rows=table(spark, sf_dir, "orders").count(),
+    )
+
+
+ORDER_TABLE_SQL = f"""SELECT
+      CAST({with_nulls(uniform(SPENT, 0, 'n'), SPENT, 0, 'n')} AS INTEGER) AS spent,
+      CAST({uniform(LANE, 1, 'n')} AS INTEGER) AS lane,
+      {sql.domain_string(DAY, uniform(DAY, 2, 'n'), SEED, 2)} AS day
+    FROM {ROW_NUMBERS}"""
+
+
+@query("gen_from_spec", ORDER_TABLE_SQL)
+def gen_from_spec_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated rows of a spec, stored by partition and read back."""
+    path = scratch_path(spark, "from-spec")
+    spec = order_table(spark, sf_dir, "from_spec")
+    keys = [name for name, _ in spec.partitions]
+    rows = gen_from_spec(spark, spec, SEED)
+    rows.hint("rebalance", *keys).write.partitionBy(*keys).parquet(path)
+    return spark.read.schema(spec.struct).parquet(path)
+
+
+@query("generate_if_missing", ORDER_TABLE_SQL)
+def generate_if_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second request finds the output in place and leaves it, whatever its seed."""
+    path = scratch_path(spark, "missing")
+    spec = order_table(spark, sf_dir, "missing")
+    for seed in (SEED, SEED + 1):
+        catalog.generate_if_missing(spark, spec, path, seed)
+    return delimited.read_delimited(spark, path, spec.struct, catalog.TEXT_SEP)
+
+
 UNIFORM_INT, UNIFORM_LONG = "i:1:1000:u:10", "l:1:100000:u:0"
 
 

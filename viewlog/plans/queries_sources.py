@@ -20,7 +20,7 @@ from viewlog.plans.queries_page_views import stored
 from viewlog.plans.registry import query
 from viewlog.schema import PAGE_VIEWS, ColSpec, TableSpec
 from viewlog.session import scratch_path
-from viewlog.sources import catalog, delimited, routing
+from viewlog.sources import catalog, delimited, routing, specs
 
 # ---- text ----
 
@@ -406,3 +406,90 @@ def catalog_to_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog.copy_table(spark, spec, f"{root}/copy")
     catalog.catalog_to_catalog(spark, spec)
     return catalog.load_catalog(spark, spec.qualified + COPY_SUFFIX)
+
+
+@query("drop_table", "SELECT count(*) AS n_before, 0 AS n_tables FROM orders")
+def drop_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows before the drop, tables of that name after it; a second drop does nothing."""
+    spec, _ = loaded_table(spark, sf_dir, "dropped")
+    before = catalog.load_catalog(spark, spec.qualified).count()
+    for _ in range(2):
+        catalog.drop_table(spark, spec.qualified)
+    left = int(spark.catalog.tableExists(spec.qualified))
+    orders = order_rows(spark, sf_dir)
+    return orders.agg(F.max(F.lit(before)).cast("bigint").alias("n_before")).withColumn(
+        "n_tables", F.lit(left)
+    )
+
+
+@query(
+    "describe_table",
+    """SELECT lower(column_name) AS col_name,
+      CASE column_type WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS data_type
+    FROM (DESCRIBE SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders)""",
+)
+def describe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec, _ = loaded_table(spark, sf_dir, "described")
+    described = catalog.describe_table(spark, spec.qualified).select("col_name", "data_type")
+    return described.filter(F.col("col_name").isin(spec.struct.names)).distinct()
+
+
+# ---- table specs ----
+
+
+def spec_files(spark: SparkSession, sf_dir: str) -> str:
+    """Spec files with a table per customer, in none to two copies; 500 customers to a file."""
+    element = F.format_string(
+        "<table><namePrefix>%s</namePrefix><dbName>db%d</dbName><columns>"
+        "<column><name>balance</name><type>int</type><distribution>uniform</distribution>"
+        "<cardinality>%d</cardinality><percentageNull>%d</percentageNull></column>"
+        "</columns><instances><instance><size>%d</size><count>%d</count></instance>"
+        "<instance><size>7</size><count>0</count></instance></instances></table>",
+        F.col("c_name"),
+        F.col("c_nationkey"),
+        F.col("c_custkey") + 1,
+        F.col("c_nationkey"),
+        F.col("c_custkey"),
+        F.col("c_nationkey") % 3,
+    )
+    path = scratch_path(spark, "specs")
+    numbered = table(spark, sf_dir, "customer").select(
+        F.floor(F.col("c_custkey") / 500).alias("file"), element.alias("table")
+    )
+    documents = numbered.groupBy("file").agg(
+        F.concat(
+            F.lit("<database><tables>"),
+            F.array_join(F.collect_list("table"), ""),
+            F.lit("</tables></database>"),
+        ).alias("line")
+    )
+    documents.write.partitionBy("file").text(path)
+    return path
+
+
+@query(
+    "read_table_specs",
+    """SELECT c_name AS prefix, 'db' || c_nationkey AS database, 'balance' AS column_name,
+      CAST(c_custkey + 1 AS BIGINT) AS cardinality, c_nationkey AS percent_null FROM customer""",
+)
+def read_table_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = specs.read_spec_rows(spark, spec_files(spark, sf_dir))
+    one = rows.select("namePrefix", "dbName", F.explode("columns.column").alias("c"))
+    return one.select(
+        F.col("namePrefix").alias("prefix"),
+        F.col("dbName").alias("database"),
+        F.col("c.name").alias("column_name"),
+        F.col("c.cardinality").cast("bigint").alias("cardinality"),
+        F.col("c.percentageNull").cast("int").alias("percent_null"),
+    )
+
+
+@query(
+    "expand_instances",
+    """SELECT c_name || '_' || c_custkey || '_' || i AS name, c_custkey AS rows, dbName
+    FROM (SELECT c_name, c_custkey, 'db' || c_nationkey AS dbName,
+            unnest(range(c_nationkey % 3)) AS i FROM customer)""",
+)
+def expand_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = specs.expand_instances(specs.read_spec_rows(spark, spec_files(spark, sf_dir)))
+    return tables.select("name", "rows", "dbName")
