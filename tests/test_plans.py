@@ -213,8 +213,19 @@ def test_cut_join_equals_nested_loops(spark, left_rows, right_rows, how):
 
 
 def test_hot_list_is_exact(hot):
-    got = {r["__key"]: r["__parts"] for r in joins.hot_keys(hot, "k", 4000).collect()}
-    assert got == {"hot": 3}
+    expected = hot.select(F.xxhash64(F.lit("hot"))).first()[0]
+    got = {r["__hash"]: r["__parts"] for r in joins.hot_keys(hot, "k", 4000).collect()}
+    assert got == {expected: 3}
+
+
+def test_hot_list_stays_bounded(spark, monkeypatch):
+    """With more hot keys than the list may hold, the row limit rises instead of the list."""
+    monkeypatch.setattr(joins, "HOT_LIST_LIMIT", 4)
+    left = spark.range(1000).select((F.col("id") % 10).alias("k"), "id")
+    right = spark.range(10).withColumnRenamed("id", "name")
+    cut = joins.join_skewed_key(left, right, "k", "name", hot_rows=5)
+    assert cut.count() == 1000
+    assert cut.filter("k <> name").count() == 0
 
 
 def test_merge_hint_survives_salting(hot, spark, plan):

@@ -241,7 +241,7 @@ def value(spec: ColSpec, key: Column, seed: int, column: int) -> Cell:
             F.slice(F.array(*[F.lit(k) for k in MAP_KEYS]), F.lit(1), size),
             F.transform(
                 F.sequence(F.lit(1), size),
-                lambda i: inline(free_string(F.xxhash64(key, i.cast("bigint")), spec.avg_length, text_stream)),
+                lambda i: inline(free_string(_part(key, i), spec.avg_length, text_stream)),
             ),
         )
     if spec.dtype == "bag":
@@ -249,7 +249,7 @@ def value(spec: ColSpec, key: Column, seed: int, column: int) -> Cell:
         size = below(key, size_stream, high - low + 1).cast("int") + low
         return F.transform(
             F.sequence(F.lit(1), size),
-            lambda i: inline(value(spec.element, F.xxhash64(key, i.cast("bigint")), seed, column + ELEMENT_COLUMN)),
+            lambda i: inline(value(spec.element, _part(key, i), seed, column + ELEMENT_COLUMN)),
         )
     idx = yield (yield from index(spec, key, salt(seed, column, INDEX)))
     if spec.dtype == "string":
@@ -259,6 +259,11 @@ def value(spec: ColSpec, key: Column, seed: int, column: int) -> Cell:
     return idx.cast("int") if spec.dtype == "int" else idx
 
 
+def _part(key: Column, number: Column) -> Column:
+    """The key of one entry or element of a row."""
+    return F.xxhash64(key, number.cast("bigint"))
+
+
 def nullable_value(spec: ColSpec, key: Column, seed: int, column: int) -> Cell:
     """A cell of a generated column, null with the spec's share."""
     cell = yield from value(spec, key, seed, column)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 * 1024 * 1024
 # A key with more rows than this is cut into parts of that size; fewer fit one task.
 HOT_ROWS = 5_000_000
-# At most (rows / HOT_ROWS) keys can be hot; a list within this bound is broadcast.
+# The row limit rises with the input so that no more keys than this can be hot. The list of
+# them is broadcast: a few megabytes at most.
 HOT_LIST_LIMIT = 200_000
 SALT = "__salt"
 
@@ -85,13 +86,16 @@ def join_merge(
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and the number of parts to cut each into.
+    """Hashes of the keys with more than ``hot_rows`` rows, and how many parts to cut each into.
 
-    There are at most (rows / hot_rows) of them, whatever the key distribution.
+    There are at most (rows / hot_rows) of them, whatever the key distribution, and each takes
+    twelve bytes, however long the key. Keys that share a hash are treated alike on both sides
+    of a join, which changes how rows are dealt and not what they match.
     """
-    counts = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).count()
+    known = df.filter(F.col(key).isNotNull())
+    counts = known.groupBy(F.xxhash64(key).alias("__hash")).count()
     return counts.filter(F.col("count") > hot_rows).select(
-        "__key", F.ceil(F.col("count") / hot_rows).cast("int").alias("__parts")
+        "__hash", F.ceil(F.col("count") / hot_rows).cast("int").alias("__parts")
     )
 
 
@@ -119,9 +123,8 @@ def join_skewed_key(
     if rows <= hot_rows:
         right = right.hint("merge") if merge else right
         return left.join(right, left[left_key] == right[right_key], how)
-    hot = hot_keys(left, left_key, hot_rows)
-    if rows // hot_rows <= HOT_LIST_LIMIT:
-        hot = F.broadcast(hot)
+    hot_rows = max(hot_rows, rows // HOT_LIST_LIMIT)
+    hot = F.broadcast(hot_keys(left, left_key, hot_rows))
     bits = F.shiftrightunsigned(F.xxhash64(spread_by) if spread_by is not None else row_hash(left), 1)
     salted_left = _salt_left(left, left_key, hot, bits)
     salted_right = _salt_right(right, right_key, hot)
@@ -140,11 +143,11 @@ def _salt_left(df: DataFrame, key: str, hot: DataFrame, bits: Column) -> DataFra
 
     Being a function of the row, it comes out the same when a lost task is run again.
     """
-    marked = df.join(hot, df[key] == hot["__key"], "left")
+    marked = df.join(hot, F.xxhash64(df[key]) == hot["__hash"], "left")
     salt = F.when(df[key].isNull(), (bits % F.lit(1_000_003)).cast("int")).otherwise(
         F.coalesce((bits % F.col("__parts")).cast("int"), F.lit(0))
     )
-    return marked.withColumn(SALT, salt).drop("__key", "__parts")
+    return marked.withColumn(SALT, salt).drop("__hash", "__parts")
 
 
 def row_hash(df: DataFrame) -> Column:
@@ -153,9 +156,9 @@ def row_hash(df: DataFrame) -> Column:
 
 
 def _salt_right(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    marked = df.join(hot, df[key] == hot["__key"], "left")
+    marked = df.join(hot, F.xxhash64(df[key]) == hot["__hash"], "left")
     parts = F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)
-    return marked.withColumn("__part", F.explode(parts)).drop("__key", "__parts")
+    return marked.withColumn("__part", F.explode(parts)).drop("__hash", "__parts")
 
 
 def join_then_sum(
