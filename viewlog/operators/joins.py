@@ -12,6 +12,9 @@ HOT_ROWS = 5_000_000
 # The row limit rises with the input so that no more keys than this can be hot. The list of
 # them is broadcast: a few megabytes at most.
 HOT_LIST_LIMIT = 200_000
+HOT_SCHEMA = "__hash bigint, __parts int"
+# Rows without a key match nothing; they are dealt over this many parts.
+NULL_PARTS = 1_000_003
 SALT = "__salt"
 
 
@@ -113,18 +116,22 @@ def join_skewed_key(
 
     Rows of a hot left key get a part number and the right rows of that key are repeated once
     per part; all other keys keep part 0. A null key can match nothing, so its rows are spread
-    freely. Inputs of at most ``hot_rows`` rows have no hot key and are joined directly.
+    freely. Inputs of at most ``hot_rows`` rows have no hot key and are joined directly, as are
+    larger ones in which none is found (for a left join, null keys are spread all the same).
     ``spread_by`` is what parts are dealt by: by default a hash of the left row's columns; give
     an id where many rows agree in all of them. Key columns of both sides are kept.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"cannot spread a {how} join")
     rows = left.count()
-    if rows <= hot_rows:
+    listed = []
+    if rows > hot_rows:
+        hot_rows = max(hot_rows, rows // HOT_LIST_LIMIT)
+        listed = hot_keys(left, left_key, hot_rows).collect()
+    if not listed and (how == "inner" or rows <= hot_rows):
         right = right.hint("merge") if merge else right
         return left.join(right, left[left_key] == right[right_key], how)
-    hot_rows = max(hot_rows, rows // HOT_LIST_LIMIT)
-    hot = F.broadcast(hot_keys(left, left_key, hot_rows))
+    hot = F.broadcast(left.sparkSession.createDataFrame(listed, HOT_SCHEMA)) if listed else None
     bits = F.shiftrightunsigned(F.xxhash64(spread_by) if spread_by is not None else row_hash(left), 1)
     salted_left = _salt_left(left, left_key, hot, bits)
     salted_right = _salt_right(right, right_key, hot)
@@ -138,15 +145,17 @@ def join_skewed_key(
     return joined.drop(SALT, "__part")
 
 
-def _salt_left(df: DataFrame, key: str, hot: DataFrame, bits: Column) -> DataFrame:
+def _salt_left(df: DataFrame, key: str, hot: DataFrame | None, bits: Column) -> DataFrame:
     """Rows with a part number that depends on the row's content and nothing else.
 
     Being a function of the row, it comes out the same when a lost task is run again.
     """
-    marked = df.join(hot, F.xxhash64(df[key]) == hot["__hash"], "left")
-    salt = F.when(df[key].isNull(), (bits % F.lit(1_000_003)).cast("int")).otherwise(
-        F.coalesce((bits % F.col("__parts")).cast("int"), F.lit(0))
-    )
+    part = F.lit(0)
+    marked = df
+    if hot is not None:
+        marked = df.join(hot, F.xxhash64(df[key]) == hot["__hash"], "left")
+        part = F.coalesce((bits % F.col("__parts")).cast("int"), part)
+    salt = F.when(df[key].isNull(), (bits % F.lit(NULL_PARTS)).cast("int")).otherwise(part)
     return marked.withColumn(SALT, salt).drop("__hash", "__parts")
 
 
@@ -155,7 +164,10 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[f"`{f.name}`" for f in df.schema if "map" not in f.dataType.simpleString()])
 
 
-def _salt_right(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def _salt_right(df: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """Rows of hot keys once per part, all others once."""
+    if hot is None:
+        return df.withColumn("__part", F.lit(0))
     marked = df.join(hot, F.xxhash64(df[key]) == hot["__hash"], "left")
     parts = F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)
     return marked.withColumn("__part", F.explode(parts)).drop("__hash", "__parts")
