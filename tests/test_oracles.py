@@ -6,8 +6,8 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry_point
-
-QUERIES, SQL = entry_point.queries(), entry_point.oracle_sql()
+from viewlog.plans.all_queries import ORACLES as SQL
+from viewlog.plans.all_queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +25,11 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
 
+def test_entry_point_has_every_query():
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(SQL) <= set(entry_point.oracle_sql())
+
+
 def test_entry_has_rows(spark, monkeypatch, data):
     monkeypatch.setattr(entry_point, "SMOKE_DIR", data)
     result = entry_point.entry(spark)
