@@ -1,8 +1,10 @@
 """Quality rules as weak supervision.
 
 Every rule votes good, bad or abstains on a document. Expectation-maximisation over the counts
-of vote patterns estimates how often each rule votes bad on good and on bad documents; the
-posterior probability of "good" then decides, instead of the demand that all rules pass.
+of vote patterns estimates how often each rule votes bad on good documents and on each kind of
+junk; the posterior probability of "good" then decides, instead of the demand that all rules
+pass. Junk is not of one kind (symbol litter and repeated lines seldom meet), so there is a
+class for each anchor rule, and the probability of junk is that of all those classes together.
 
 Only DataFrame functions are used. EM runs over at most 3^rules patterns, whatever the number
 of documents, as one expression over one row.
@@ -23,16 +25,18 @@ WHITE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-EM_ROUNDS = 25
-# Rate of bad votes of each rule on good and on bad documents before EM, worth so many documents.
-PRIOR_BAD_ON_GOOD, PRIOR_BAD_ON_BAD, PRIOR_WEIGHT = 0.02, 0.5, 10.0
+EM_ROUNDS = 15
+# Before EM: share of good documents and rates of bad votes, worth PRIOR_WEIGHT documents. A rule
+# is taken to be right on good documents at least 1 - MAX_BAD_ON_GOOD of the time, and an anchor
+# rule to fire on at least half of its kind of junk.
+PRIOR_GOOD, PRIOR_BAD_ON_GOOD, PRIOR_ANCHOR, PRIOR_OTHER = 0.8, 0.01, 0.9, 0.1
+PRIOR_WEIGHT, MAX_BAD_ON_GOOD, MIN_ANCHOR = 10.0, 0.05, 0.5
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURES = (*BASE, "n_lines", "n_upper", "n_distinct")
 
 # (bad if, good if) over the measures, in integers; both false or the base unknown: abstain.
 RULES = {
-    "length": ("n_words < 50", "n_words >= 80"),
     "word_length": (
         "word_chars * 10 < n_words * 20 OR word_chars * 10 > n_words * 120",
         "word_chars * 10 >= n_words * 30 AND word_chars * 10 <= n_words * 90",
@@ -46,6 +50,22 @@ RULES = {
     "upper": ("n_upper * 100 > word_chars * 40", "n_upper * 100 <= word_chars * 15"),
     "variety": ("n_distinct * 100 < n_words * 15", "n_distinct * 100 >= n_words * 25"),
 }
+ANCHORS = ("word_length", "symbols", "repeats", "upper")
+
+
+def start_rates() -> list[list[float]]:
+    """Rates of bad votes by class (good first, then a class for each anchor) and rule."""
+    kinds = [[PRIOR_ANCHOR if r == a else PRIOR_OTHER for r in RULES] for a in ANCHORS]
+    return [[PRIOR_BAD_ON_GOOD] * len(RULES), *kinds]
+
+
+def start_shares() -> list[float]:
+    return [PRIOR_GOOD] + [(1 - PRIOR_GOOD) / len(ANCHORS)] * len(ANCHORS)
+
+
+def rate_limits() -> list[list[tuple[float, float]]]:
+    kinds = [[(MIN_ANCHOR if r == a else 0.001, 0.999) for r in RULES] for a in ANCHORS]
+    return [[(0.0001, MAX_BAD_ON_GOOD)] * len(RULES), *kinds]
 
 
 def words_of(text: Column) -> Column:
@@ -128,38 +148,45 @@ def votes_sql(prefix: str = "") -> str:
 BASE_FAILED = f"(n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words)"
 
 
+def _sql_array(values) -> str:
+    if isinstance(values, (list, tuple)):
+        return f"array({', '.join(map(_sql_array, values))})"
+    return f"CAST({values} AS DOUBLE)"
+
+
 def pattern_posteriors(patterns: DataFrame) -> DataFrame:
-    """(votes, n) to (votes, p_good): EM over the few distinct vote patterns, in one row."""
-    m = len(RULES)
-    start = f"""named_struct('pi', CAST(0.8 AS DOUBLE),
-        'bg', array_repeat(CAST({PRIOR_BAD_ON_GOOD} AS DOUBLE), {m}),
-        'bb', array_repeat(CAST({PRIOR_BAD_ON_BAD} AS DOUBLE), {m}))"""
-
-    def likelihood(state: str, rates: str) -> str:
-        return f"""aggregate(sequence(1, {m}), CAST(0 AS DOUBLE), (a, j) -> a +
-            CASE substr(p.votes, j, 1) WHEN 'b' THEN ln({state}.{rates}[j - 1])
-                 WHEN 'g' THEN ln(1 - {state}.{rates}[j - 1]) ELSE 0 END)"""
-
-    def posterior(state: str) -> str:
-        return f"""1 / (1 + exp({likelihood(state, "bb")} + ln(1 - {state}.pi)
-            - {likelihood(state, "bg")} - ln({state}.pi)))"""
-
-    def rate(weight: str, prior: float) -> str:
-        def sums(match: str) -> str:
-            return f"""aggregate(q, CAST(0 AS DOUBLE), (a, x) -> a + CASE WHEN
-                {match} THEN {weight} ELSE 0 END)"""
-
-        return f"""transform(sequence(1, {m}), j ->
-            ({sums("substr(x.votes, j, 1) = 'b'")} + {prior} * {PRIOR_WEIGHT}) /
-            ({sums("substr(x.votes, j, 1) <> '-'")} + {PRIOR_WEIGHT}))"""
-
-    total = "aggregate(q, CAST(0 AS DOUBLE), (a, x) -> a + x.n)"
-    good = "aggregate(q, CAST(0 AS DOUBLE), (a, x) -> a + x.n * x.w)"
+    """(votes, n) to (votes, p_good): EM over the few distinct vote patterns, in one row.
+
+    The state of EM is one flat array of rates by class and rule, and one of class shares.
+    """
+    m, k = len(RULES), len(ANCHORS) + 1
+    start = f"named_struct('pi', {_sql_array(start_shares())}, 'r', {_sql_array(start_rates())})"
+    lows = _sql_array([[low for low, _ in row] for row in rate_limits()])
+    highs = _sql_array([[high for _, high in row] for row in rate_limits()])
+
+    def weights(state: str) -> str:
+        """Probabilities of the classes of pattern p, before they are scaled to one."""
+        log = f"""aggregate(sequence(1, {m}), ln({state}.pi[c - 1]), (a, j) -> a +
+            CASE substr(p.votes, j, 1) WHEN 'b' THEN ln({state}.r[c - 1][j - 1])
+                 WHEN 'g' THEN ln(1 - {state}.r[c - 1][j - 1]) ELSE 0 END)"""
+        raw = f"transform(sequence(1, {k}), c -> exp({log}))"
+        return f"""transform(array({raw}), w -> transform(w, x ->
+            x / aggregate(w, CAST(0 AS DOUBLE), (a, y) -> a + y)))[0]"""
+
+    def total(term: str) -> str:
+        return f"aggregate(q, CAST(0 AS DOUBLE), (a, x) -> a + ({term}))"
+
+    bad = "CASE WHEN substr(x.votes, j, 1) = 'b' THEN x.n * x.w[c - 1] ELSE 0 END"
+    voted = "CASE WHEN substr(x.votes, j, 1) <> '-' THEN x.n * x.w[c - 1] ELSE 0 END"
+    prior = f"{_sql_array(start_rates())}[c - 1][j - 1]"
+    rate = f"({total(bad)} + {prior} * {PRIOR_WEIGHT}) / ({total(voted)} + {PRIOR_WEIGHT})"
+    share = f"""({total('x.n * x.w[c - 1]')} + {_sql_array(start_shares())}[c - 1] * {PRIOR_WEIGHT})
+        / ({total('x.n')} + {PRIOR_WEIGHT})"""
     update = f"""transform(array(transform(ps, p -> named_struct('votes', p.votes, 'n', p.n,
-        'w', {posterior("s")}))), q -> named_struct(
-            'pi', ({good} + 8) / ({total} + 10),
-            'bg', {rate("x.n * x.w", PRIOR_BAD_ON_GOOD)},
-            'bb', {rate("x.n * (1 - x.w)", PRIOR_BAD_ON_BAD)}))[0]"""
+        'w', {weights("s")}))), q -> named_struct(
+            'pi', transform(sequence(1, {k}), c -> {share}),
+            'r', transform(sequence(1, {k}), c -> transform(sequence(1, {m}), j ->
+                greatest({lows}[c - 1][j - 1], least({highs}[c - 1][j - 1], {rate}))))))[0]"""
     gathered = patterns.agg(
         F.array_sort(
             F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n")))
@@ -170,7 +197,7 @@ def pattern_posteriors(patterns: DataFrame) -> DataFrame:
     )
     return fitted.select(
         F.explode(
-            F.expr(f"transform(ps, p -> named_struct('votes', p.votes, 'p_good', {posterior('fit')}))")
+            F.expr(f"transform(ps, p -> named_struct('votes', p.votes, 'p_good', {weights('fit')}[0]))")
         ).alias("r")
     ).select("r.votes", "r.p_good")
 
@@ -234,41 +261,48 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words,
 
 
 def _em_sql() -> str:
-    m = len(RULES)
+    m, k = len(RULES), len(ANCHORS) + 1
+    cells = [(c, j) for c in range(k) for j in range(m)]
+    rates, shares, limits = start_rates(), start_shares(), rate_limits()
+    first = [f"{shares[c]}::DOUBLE AS pi{c}" for c in range(k)]
+    first += [f"{rates[c][j]}::DOUBLE AS r{c}_{j}" for c, j in cells]
     ctes = [
         f"v AS (SELECT *, {votes_sql()} AS votes FROM m)",
         "p AS MATERIALIZED (SELECT votes, count(*)::DOUBLE AS n FROM v GROUP BY votes)",
-        "s0 AS (SELECT 0.8::DOUBLE AS pi, "
-        + ", ".join(
-            f"{PRIOR_BAD_ON_GOOD}::DOUBLE AS bg{j}, {PRIOR_BAD_ON_BAD}::DOUBLE AS bb{j}" for j in range(m)
-        )
-        + ")",
+        f"s0 AS (SELECT {', '.join(first)})",
     ]
 
-    def posterior() -> str:
-        def log(side: str) -> str:
-            return " + ".join(
-                f"CASE substr(votes, {j + 1}, 1) WHEN 'b' THEN ln({side}{j}) WHEN 'g'"
-                f" THEN ln(1 - {side}{j}) ELSE 0 END"
-                for j in range(m)
-            )
+    def likelihood(c: int) -> str:
+        logs = " + ".join(
+            f"CASE substr(votes, {j + 1}, 1) WHEN 'b' THEN ln(r{c}_{j}) WHEN 'g'"
+            f" THEN ln(1 - r{c}_{j}) ELSE 0 END"
+            for j in range(m)
+        )
+        return f"exp(ln(pi{c}) + {logs}) AS l{c}"
 
-        return f"1 / (1 + exp({log('bb')} + ln(1 - pi) - ({log('bg')}) - ln(pi)))"
-
-    for r in range(EM_ROUNDS):
-        ctes.append(f"q{r} AS MATERIALIZED (SELECT votes, n, {posterior()} AS w FROM p, s{r})")
-        parts = []
-        for side, weight, prior in (("bg", "n * w", PRIOR_BAD_ON_GOOD), ("bb", "n * (1 - w)", PRIOR_BAD_ON_BAD)):
-            for j in range(m):
-                vote = f"substr(votes, {j + 1}, 1)"
-                parts.append(
-                    f"(coalesce(sum({weight}) FILTER ({vote} = 'b'), 0) + {prior * PRIOR_WEIGHT}) /"
-                    f" (coalesce(sum({weight}) FILTER ({vote} <> '-'), 0) + {PRIOR_WEIGHT}) AS {side}{j}"
-                )
-        ctes.append(
-            f"s{r + 1} AS MATERIALIZED (SELECT (sum(n * w) + 8) / (sum(n) + 10) AS pi, {', '.join(parts)} FROM q{r})"
+    def weighted(state: str) -> str:
+        total = " + ".join(f"l{c}" for c in range(k))
+        return (
+            f"SELECT votes, n, {', '.join(f'l{c} / ({total}) AS w{c}' for c in range(k))} FROM"
+            f" (SELECT votes, n, {', '.join(map(likelihood, range(k)))} FROM p, {state})"
         )
-    ctes.append(f"f AS (SELECT votes, {posterior()} AS p_good FROM p, s{EM_ROUNDS})")
+
+    for step in range(EM_ROUNDS):
+        ctes.append(f"q{step} AS MATERIALIZED ({weighted(f's{step}')})")
+        parts = [
+            f"(sum(n * w{c}) + {shares[c]} * {PRIOR_WEIGHT}) / (sum(n) + {PRIOR_WEIGHT}) AS pi{c}"
+            for c in range(k)
+        ]
+        for c, j in cells:
+            vote = f"substr(votes, {j + 1}, 1)"
+            low, high = limits[c][j]
+            rate = (
+                f"(coalesce(sum(n * w{c}) FILTER ({vote} = 'b'), 0) + {rates[c][j]} * {PRIOR_WEIGHT})"
+                f" / (coalesce(sum(n * w{c}) FILTER ({vote} <> '-'), 0) + {PRIOR_WEIGHT})"
+            )
+            parts.append(f"greatest({low}, least({high}, {rate})) AS r{c}_{j}")
+        ctes.append(f"s{step + 1} AS MATERIALIZED (SELECT {', '.join(parts)} FROM q{step})")
+    ctes.append(f"f AS (SELECT votes, w0 AS p_good FROM ({weighted(f's{EM_ROUNDS}')}))")
     return ",\n".join(ctes)
 
 
