@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from viewlog.llm import line_dedup, quality_rules
+from viewlog.llm import decontaminate, line_dedup, quality_rules
 from viewlog.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -21,3 +21,18 @@ def op7(spark, sf_dir):
     marked = line_dedup.mark_lines(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.coalesce("kept_text", F.lit("")), 256)
     return marked.select("doc.doc_id", "n_lines", "n_removed", digest.alias("kept_sha256"))
+
+
+@query("op6_benchmark_decontamination", decontaminate.ORACLE_SQL)
+def op6(spark, sf_dir):
+    found = decontaminate.find_passages(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]
+    )
+    return found.select(
+        "doc.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
