@@ -40,7 +40,9 @@ BUCKET_PIECES = 5_000
 CACHED_UNITS = 500_000
 
 # White space outside ASCII, and control characters on which definitions of it differ.
-_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
+_ODD_CODES = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B))
+_ODD_CODES += (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+_ODD_SPACE = re.compile(f"[{''.join(map(chr, _ODD_CODES))}]")
 _SPACE = ta.byte_class((0x20, 0x20), (0x09, 0x0D))
 
 PIECE_SCHEMA = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from viewlog.llm import decontaminate, line_dedup, packing, quality_rules
+from viewlog.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
 from viewlog.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -48,3 +48,8 @@ def tokenizer_path() -> str:
 @query("op3_packing")
 def op3(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+
+
+@query("op1_minhash_near_dedup")
+def op1(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
