@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from viewlog.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
+from viewlog.llm import (
+    decontaminate,
+    line_dedup,
+    near_dedup,
+    packing,
+    quality_model,
+    quality_rules,
+    toxicity,
+)
 from viewlog.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -53,3 +61,15 @@ def op3(spark, sf_dir):
 @query("op1_minhash_near_dedup")
 def op1(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score_documents(docs, labels).drop("sentences")
+
+
+@query("op10_quality_classifier")
+def op10(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_model.score_documents(docs, labels)
