@@ -271,7 +271,7 @@ def _cut(data, offsets, row, starts, ends, first, spans) -> str | None:
 def _search(docs: DataFrame, keep: list[str], phrases: Phrases) -> DataFrame:
     spark = docs.sparkSession
     ta.small_batches(spark)
-    sent = spark.sparkContext.broadcast(phrases)
+    sent = ta.send(spark, phrases)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"), "text")
     schema = T.StructType([rows.schema["doc"], *HIT_FIELDS])
     types = pa.schema(
@@ -285,7 +285,7 @@ def _search(docs: DataFrame, keep: list[str], phrases: Phrases) -> DataFrame:
     )
 
     def search(batches):
-        own = sent.value
+        own = ta.received(sent)
 
         def results(shard):
             found, done = shard.hits(own), 0

@@ -196,14 +196,15 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
 
-def _per_text(rows: DataFrame, keep: str, schema: str, make) -> DataFrame:
+def _per_text(rows: DataFrame, keep: str, schema: str, make, sent) -> DataFrame:
     """One output row a text: the column ``keep`` and what ``make`` gives for the texts' bytes."""
 
     def mapped(batches):
+        model = ta.received(sent)
         for batch in batches:
             data, offsets = ta.strings(batch.column("text"))
             for low, high in ta.slices(offsets):
-                made = make(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                made = make(model, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
                 yield pa.RecordBatch.from_arrays([batch.column(keep).slice(low, high - low), made], [keep, "made"])
 
     return rows.mapInArrow(mapped, schema)
@@ -215,15 +216,15 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> Network:
     )
     if len(totals) < 2:
         return Network(float(next(iter(totals), 0.5)))
-    sent = docs.sparkSession.sparkContext.broadcast(vectors)
+    sent = ta.send(docs.sparkSession, vectors)
 
-    def pool(data, offsets):
-        x = pooled(sent.value, data, offsets)
+    def pool(vectors, data, offsets):
+        x = pooled(vectors, data, offsets)
         return ta.binary_rows(x.ravel(), np.arange(len(x) + 1) * x.shape[1])
 
     keyed = sample.select(F.struct("doc_id", "y").alias("key"), "text")
     schema = "key struct<doc_id: bigint, y: int>, made binary"
-    rows = sorted((r["key"]["doc_id"], r["key"]["y"], bytes(r["made"])) for r in _per_text(keyed, "key", schema, pool).collect())
+    rows = sorted((r["key"]["doc_id"], r["key"]["y"], bytes(r["made"])) for r in _per_text(keyed, "key", schema, pool, sent).collect())
     x = np.stack([np.frombuffer(made, np.float32) for _, _, made in rows]).astype(np.float64)
     y = np.array([label for _, label, _ in rows])
     counts = np.bincount(y, minlength=2)
@@ -237,14 +238,14 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> Network:
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
     vectors = context_counts(docs)
-    sent = docs.sparkSession.sparkContext.broadcast((vectors, fit(docs, labels, vectors)))
+    sent = ta.send(docs.sparkSession, (vectors, fit(docs, labels, vectors)))
 
-    def score(data, offsets):
-        vectors, network = sent.value
+    def score(model, data, offsets):
+        vectors, network = model
         return pa.array(network.probability(pooled(vectors, data, offsets)).astype(np.float64))
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    made = _per_text(rows, "doc_id", "doc_id bigint, made double", score)
+    made = _per_text(rows, "doc_id", "doc_id bigint, made double", score, sent)
     return made.select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT_FOLD, F.lit(True)).alias("held_out"),

@@ -11,6 +11,7 @@ from viewlog.llm import (
     packing,
     quality_model,
     quality_rules,
+    substring_dedup,
     toxicity,
 )
 from viewlog.llm.registry import ORACLES, QUERIES, query, table
@@ -73,3 +74,9 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_model.score_documents(docs, labels)
+
+
+@query("op2_substring_dedup")
+def op2(spark, sf_dir):
+    found = substring_dedup.repeats(table(spark, sf_dir, "documents"), digest=True)
+    return found.withColumnRenamed("kept", "kept_sha256")

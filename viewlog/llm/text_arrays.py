@@ -6,11 +6,14 @@ complements, so that byte classes give the same words as character classes.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 # Rows of an Arrow batch, and bytes of text that are turned into arrays at once.
@@ -25,6 +28,15 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def send(spark: SparkSession, value) -> Broadcast:
+    """A broadcast of a value together with its classes; plain broadcasts name them only."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent: Broadcast):
+    return pickle.loads(sent.value)
+
+
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     """A table of 256 booleans, true for bytes in one of the inclusive ranges."""
     table = np.zeros(256, bool)

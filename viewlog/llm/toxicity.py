@@ -98,15 +98,18 @@ class NoisyOr:
             slots.append(rows[2])
             shift += int(sentence.max(initial=0)) + 1
         weight = np.array([1.0, totals[1] / totals[0] * counts[0] / counts[1]])[y]
-        self._descend(np.concatenate(docs), np.concatenate(sentences), np.concatenate(slots), plain, y, weight, chosen)
+        self._descend(np.concatenate(docs), np.concatenate(sentences), np.concatenate(slots), plain, y, weight, chosen, np.log(ratio[chosen]))
         return self
 
-    def _descend(self, docs, sentences, slots, plain, y, weight, chosen):
-        """Adam on the noisy-or likelihood; ``plain`` counts each text's sentences."""
+    def _descend(self, docs, sentences, slots, plain, y, weight, chosen, start):
+        """Adam on the noisy-or likelihood; ``plain`` counts each text's sentences.
+
+        Weights start at the log of how much more often toxic texts hold the feature.
+        """
         _, at, number = np.unique(sentences, return_index=True, return_inverse=True)
         owner = docs[at]
         plain = plain - np.bincount(owner, minlength=len(y))
-        theta = np.append(np.full(len(chosen), 0.5), -7.0)
+        theta = np.append(start, -7.0)
         mean, square = np.zeros(len(theta)), np.zeros(len(theta))
         for step in range(1, ROUNDS + 1):
             z = theta[-1] + np.bincount(number, theta[slots], len(owner))
@@ -156,10 +159,10 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, sentences): the likely toxic sentences as texts."""
     spark = docs.sparkSession
     ta.small_batches(spark)
-    model = spark.sparkContext.broadcast(fit(docs, labels))
+    model = ta.send(spark, fit(docs, labels))
 
     def scored(batches):
-        own = model.value
+        own = ta.received(model)
         for batch in batches:
             names, texts = batch.column("doc_id"), batch.column("text")
             data, offsets = ta.strings(texts)
