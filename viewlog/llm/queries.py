@@ -9,6 +9,7 @@ from viewlog.llm import (
     line_dedup,
     near_dedup,
     packing,
+    pii,
     quality_model,
     quality_rules,
     substring_dedup,
@@ -80,3 +81,21 @@ def op10(spark, sf_dir):
 def op2(spark, sf_dir):
     found = substring_dedup.repeats(table(spark, sf_dir, "documents"), digest=True)
     return found.withColumnRenamed("kept", "kept_sha256")
+
+
+@query("op8_pii")
+def op8(spark, sf_dir):
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"), ["doc_id"])
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc.doc_id",
+        *map(count, pii.KINDS),
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
