@@ -80,18 +80,26 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-np.clip(self.score(x), -30, 30)))
 
 
-def calibrate(score: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and shift of a logistic curve over scores (Platt), by Newton steps."""
+def calibrate(score: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float]:
+    """Slope and shift of a logistic curve over scores (Platt), by damped Newton steps."""
     a, b = 1.0, 0.0
     # Smoothed targets keep the slope finite where the classes are apart.
     target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+
+    def loss(a: float, b: float) -> float:
+        z = a * score + b
+        return float((np.logaddexp(0, z) - target * z).sum())
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a * score + b, -30, 30)))
         g = np.array([((p - target) * score).sum(), (p - target).sum()])
-        w = np.maximum(p * (1 - p), 1e-9)
+        w = p * (1 - p)
         h = np.array([[(w * score**2).sum(), (w * score).sum()], [(w * score).sum(), w.sum()]])
-        step = np.linalg.solve(h + 1e-6 * np.eye(2), g)
-        a, b = a - step[0], b - step[1]
-        if abs(step).max() < 1e-8:
+        step = np.linalg.solve(h + 1e-3 * np.eye(2), g)
+        now, size = loss(a, b), 1.0
+        while size > 1e-6 and loss(a - size * step[0], b - size * step[1]) > now:
+            size /= 2
+        a, b = a - size * step[0], b - size * step[1]
+        if size <= 1e-6 or abs(size * step).max() < 1e-8:
             break
     return float(a), float(b)

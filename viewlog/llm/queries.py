@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from viewlog.llm import (
     decontaminate,
+    html_text,
     line_dedup,
     near_dedup,
     packing,
@@ -99,3 +100,14 @@ def op8(spark, sf_dir):
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
+
+
+@query("op4_html_extraction")
+def op4(spark, sf_dir):
+    found = html_text.extract_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return found.select(
+        "page.page_id",
+        "page.url",
+        F.col("main_text").alias("text"),
+        F.length("main_text").cast("bigint").alias("n_chars"),
+    )
