@@ -206,6 +206,44 @@ def test_row_count_check(spark, root):
     assert catalog.check_row_count(df, 50, lambda d: d.write.parquet(f"{root}/a")) == 50
     with pytest.raises(catalog.RowCountError, match="expected 51"):
         catalog.check_row_count(df, 51, lambda d: d.write.parquet(f"{root}/b"))
+    half = lambda d: d.limit(25).write.parquet(f"{root}/half")
+    with pytest.raises(catalog.RowCountError, match="got 25"):
+        catalog.check_row_count(df, 50, half, lambda: spark.read.parquet(f"{root}/half").count())
     stored = lambda: spark.read.parquet(f"{root}/c").count()
     doubled = df.union(df)
     assert catalog.check_row_count(doubled, 50, lambda d: d.distinct().write.parquet(f"{root}/c"), stored) == 50
+
+
+def test_pipelines_count_what_is_stored(spark, root, monkeypatch):
+    """A write that loses rows fails, also where rows are appended to others."""
+    lossy = TableSpec("lossy", "default", (("a", ColSpec("long")),), rows=100)
+    spark.range(100).selectExpr("id AS a").write.option("sep", "\t").csv(f"{root}/lossy")
+    catalog.create_table(spark, lossy, f"{root}/lossy_table")
+    catalog.text_to_catalog(spark, lossy, f"{root}/lossy")
+    catalog.text_to_catalog(spark, lossy, f"{root}/lossy")  # another hundred
+    write = catalog.store_catalog
+    monkeypatch.setattr(catalog, "store_catalog", lambda df, name: write(df.filter("a < 50"), name))
+    with pytest.raises(catalog.RowCountError, match="got 50"):
+        catalog.text_to_catalog(spark, lossy, f"{root}/lossy")
+    text = catalog.write_delimited
+    monkeypatch.setattr(catalog, "write_delimited", lambda df, path, **kw: text(df.filter("a < 50"), path, **kw))
+    with pytest.raises(catalog.RowCountError, match="got 50"):
+        catalog.text_to_text(spark, lossy, f"{root}/lossy", f"{root}/lossy_out")
+    catalog.drop_table(spark, lossy.qualified)
+
+
+def test_unfinished_data_is_generated_anew(spark, root):
+    made = TableSpec("made", "default", (("a", ColSpec("long", cardinality=5)),), rows=20)
+    path = f"{root}/unfinished"
+    spark.range(3).selectExpr("CAST(id AS STRING) AS v").write.text(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    marker = hadoop(path, "_SUCCESS")
+    marker.getFileSystem(spark._jsc.hadoopConfiguration()).delete(marker, False)
+    catalog.generate_if_missing(spark, made, path)
+    assert spark.read.text(path).count() == 20
+    catalog.generate_if_missing(spark, replace_rows(made, 30), path)  # finished: left alone
+    assert spark.read.text(path).count() == 20
+
+
+def replace_rows(spec, rows):
+    return TableSpec(spec.name, spec.database, spec.columns, spec.partitions, rows)

@@ -124,7 +124,9 @@ def test_stream_drops_rows_behind_the_watermark(spark):
     for df in (on_time, late):
         df.coalesce(1).write.mode("append").parquet(f"{root}/in")
         stream = session.readStream.schema(df.schema).parquet(f"{root}/in")
-        intervals.stream_interval_stats(stream, 5, f"{root}/out", f"{root}/state").awaitTermination()
+        query = intervals.stream_interval_stats(stream, 5, f"{root}/out", f"{root}/state", "0 seconds")
+        query.awaitTermination()
+    assert intervals.dropped_late(query) == 1
     got = spark.read.parquet(f"{root}/out").orderBy("minute").collect()
     assert [(r.minute - first_minute(), r["count"]) for r in got] == [(0, 1), (30, 1)]
 
@@ -151,13 +153,26 @@ def test_load_test_document(spark):
         [(1, first_minute(), 4), (1, first_minute() + 5, 8)], "mapper long, minute long, threads long"
     )
     series = intervals.load_series(df, readings, 5, ["get"])
-    document = json.loads(reports.load_test_report(series).first()["document"])
-    assert list(document) == ["4", "8"]
-    assert document["8"]["mean"] == 20.0 and document["8"]["error"] == "1"
+    document = json.loads(reports.load_test_report({"a.xml": series}).first()["document"])
+    assert [e["threads"] for e in document] == [4, 8]
+    assert document[1]["mean"] == 20.0 and document[1]["error"] == "1"
     chart = {r.threads: r.scaled for r in reports.response_vs_threads(series).collect()}
     assert chart[8] == pytest.approx(1 / 1.1)
 
 
+def test_load_test_report_keeps_every_interval(spark):
+    """Equal thread counts, intervals of errors alone, and several result files."""
+    df = samples(spark, (1, "get", 0, 10.0, False), (1, "get", 5, 20.0, False), (1, "get", 10, 9.0, True))
+    readings = spark.createDataFrame([(1, first_minute(), 4)], "mapper long, minute long, threads long")
+    series = intervals.load_series(df, readings, 5, ["get"])
+    rows = reports.load_test_report({"a.xml": series, "b.xml": series.filter("count > 0")}).collect()
+    documents = {r["file"]: json.loads(r["document"]) for r in rows}
+    assert [(e["minute"] - first_minute(), e["threads"], e["mean"], e["error"]) for e in documents["a.xml"]] == [
+        (0, 4, 10.0, "0"), (5, 4, 20.0, "0"), (10, 4, None, "1"),
+    ]
+    assert len(documents["b.xml"]) == 2
+
+
 def test_speedup_lines(spark):
     runs = spark.createDataFrame(
         [("q1", "a", 10), ("q1", "a", 11), ("q1", "b", 3), ("q2", "a", 7), ("q2", "b", 0)],

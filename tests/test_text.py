@@ -130,3 +130,11 @@ def test_reading_some_columns_splits_no_further(spark, plan):
     some = delimited.read_delimited(spark, path, df.schema, A, columns=["b", "a"])
     assert sorted(some.collect(), key=str) == [(1, "a"), (2, None)]
     assert ", 3)" in plan(some)
+
+
+@pytest.mark.parametrize("value", ["a,b", "x\ny", "x\ry"])
+def test_values_that_would_break_their_row_are_refused(spark, value):
+    df = spark.createDataFrame([(value, "c")], "p string, `q.r` string")
+    for write in (lambda path: delimited.write_delimited(df, path, ","), lambda path: delimited.write_tuple_text(df, path)):
+        with pytest.raises(Exception, match="separator or line break"):
+            write(scratch_path(spark, "refused"))

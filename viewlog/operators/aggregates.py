@@ -33,20 +33,23 @@ def tagged_aggregate(
 ) -> DataFrame:
     """Several filtered group-bys over one input in one scan and one shuffle.
 
-    ``branches`` maps a name to (predicate, key, aggregate); predicates exclude each other. A
-    row has its branch, its key as text, and a column named after each branch, of which only
-    that of its own branch is filled.
+    ``branches`` maps a name to (predicate, key, aggregate). A row of the input counts in every
+    branch whose predicate it meets. A row of the result has its branch, its key as text, and a
+    column named after each branch, of which only that of its own branch is filled.
     """
-    tag = group = None
-    for name, (predicate, by, _) in branches.items():
-        here, by = F.lit(name), by.cast("string")
-        tag = F.when(predicate, here) if tag is None else tag.when(predicate, here)
-        group = F.when(predicate, by) if group is None else group.when(predicate, by)
+    met = F.filter(
+        F.array(
+            *[
+                F.when(predicate, F.struct(F.lit(name).alias("branch"), by.cast("string").alias(key)))
+                for name, (predicate, by, _) in branches.items()
+            ]
+        ),
+        lambda branch: branch.isNotNull(),
+    )
     aggregates = {f"__{name}": aggregate for name, (_, _, aggregate) in branches.items()}
     grouped = (
-        df.withColumns({"branch": tag, key: group})
-        .filter(F.col("branch").isNotNull())
-        .groupBy("branch", key)
+        df.withColumn("__met", F.explode(met))
+        .groupBy(F.col("__met.branch").alias("branch"), F.col(f"__met.{key}").alias(key))
         .agg(*[aggregate.alias(name) for name, aggregate in aggregates.items()])
     )
     return grouped.select(

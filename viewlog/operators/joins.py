@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +57,12 @@ def join_replicated(
 
 
 def semi_join_set(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Left rows whose key is a member of the right side; its duplicates do not multiply."""
-    members = right.select(F.col(right_key).alias("__member"))
+    """Left rows whose key is a member of the right side; its duplicates do not multiply.
+
+    Members are reduced to a row per key, on the map side first: Spark splits a hot key of the
+    left side of such a join when it runs, but never one of the right side.
+    """
+    members = right.select(F.col(right_key).alias("__member")).filter("__member IS NOT NULL").distinct()
     return left.join(members, left[left_key] == F.col("__member"), "left_semi")
 
 
@@ -77,12 +83,16 @@ def join_merge(
     left_key: str,
     right_key: str,
     spread_by: Column | None = None,
+    bucketed: bool = False,
 ) -> DataFrame:
     """Inner sort-merge join.
 
-    Over tables bucketed and sorted by the key (:func:`viewlog.operators.ordering.write_bucketed`)
-    neither side is shuffled; other inputs are shuffled with hot keys cut.
+    With ``bucketed`` both sides are tables bucketed and sorted by the key
+    (:func:`viewlog.operators.ordering.write_bucketed`) and join as they lie, without a shuffle,
+    hot keys or not. Other inputs are shuffled, with hot keys cut.
     """
+    if bucketed:
+        return left.join(right.hint("merge"), left[left_key] == right[right_key], "inner")
     return join_skewed_key(
         left, right, left_key, right_key, "inner", merge=True, spread_by=spread_by
     )
@@ -111,26 +121,100 @@ def join_skewed_key(
     hot_rows: int = HOT_ROWS,
     merge: bool = False,
     spread_by: Column | None = None,
+    list_limit: int = HOT_LIST_LIMIT,
 ) -> DataFrame:
     """Inner or left outer join in which no key, and not null either, lands in one task whole.
 
     Rows of a hot left key get a part number and the right rows of that key are repeated once
-    per part; all other keys keep part 0. A null key can match nothing, so its rows are spread
-    freely. Inputs of at most ``hot_rows`` rows have no hot key and are joined directly, as are
-    larger ones in which none is found (for a left join, null keys are spread all the same).
+    per part; all other keys keep part 0. Keys hot on the right are joined apart, with parts on
+    both sides: every left row of such a key has a partner, so that join is inner for either
+    kind. A null key can match nothing, so its rows are spread freely. Inputs of at most
+    ``hot_rows`` rows have no hot key and are joined directly, as are larger ones in which none
+    is found (for a left join, null keys are spread all the same).
     ``spread_by`` is what parts are dealt by: by default a hash of the left row's columns; give
     an id where many rows agree in all of them. Key columns of both sides are kept.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"cannot spread a {how} join")
     rows = left.count()
-    listed = []
-    if rows > hot_rows:
-        hot_rows = max(hot_rows, rows // HOT_LIST_LIMIT)
-        listed = hot_keys(left, left_key, hot_rows).collect()
+    listed = _listed(left, left_key, rows, hot_rows, list_limit)
+    right_listed = _listed(right, right_key, right.count(), hot_rows, list_limit)
+    if right_listed:
+        return _join_hot_right(
+            left, right, left_key, right_key, how, listed, right_listed, merge, spread_by
+        )
     if not listed and (how == "inner" or rows <= hot_rows):
         right = right.hint("merge") if merge else right
         return left.join(right, left[left_key] == right[right_key], how)
+    return _join_hot_left(left, right, left_key, right_key, how, listed, merge, spread_by)
+
+
+def _listed(df: DataFrame, key: str, rows: int, hot_rows: int, list_limit: int) -> list:
+    """Hot keys as (hash, parts): at most ``list_limit``, as more rows make a key hot then."""
+    if rows <= hot_rows:
+        return []
+    return hot_keys(df, key, max(hot_rows, rows // list_limit)).collect()
+
+
+def _join_hot_right(
+    left: DataFrame,
+    right: DataFrame,
+    left_key: str,
+    right_key: str,
+    how: str,
+    listed: list,
+    right_listed: list,
+    merge: bool,
+    spread_by: Column | None,
+) -> DataFrame:
+    """Keys hot on the right in parts of both sides; all others as if the right had no hot key."""
+    left_parts = {r["__hash"]: r["__parts"] for r in listed}
+    grid = [(r["__hash"], left_parts.get(r["__hash"], 1), r["__parts"]) for r in right_listed]
+    hot = left.sparkSession.createDataFrame(grid, "__hash bigint, __lefts int, __rights int")
+    hot = F.broadcast(hot)
+
+    def bits(df: DataFrame, by: Column | None) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(by) if by is not None else row_hash(df), 1)
+
+    def every(parts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+    a = left.join(hot, F.xxhash64(left[left_key]) == hot["__hash"])
+    a = a.withColumn("__a", (bits(left, spread_by) % F.col("__lefts")).cast("int"))
+    a = a.withColumn("__b", every("__rights")).drop("__hash", "__lefts", "__rights")
+    b = right.join(hot, F.xxhash64(right[right_key]) == hot["__hash"])
+    b = b.withColumn("__d", (bits(right, None) % F.col("__rights")).cast("int"))
+    b = b.withColumn("__c", every("__lefts")).drop("__hash", "__lefts", "__rights")
+    together = a.join(
+        b.hint("merge") if merge else b,
+        (a[left_key] == b[right_key]) & (a["__a"] == b["__c"]) & (a["__b"] == b["__d"]),
+    ).drop("__a", "__b", "__c", "__d")
+    # A key that only shares its hash with a hot one has no partner there; a left join keeps it.
+    missed = None
+    if how == "left":
+        partners = right.join(hot, F.xxhash64(right[right_key]) == hot["__hash"], "left_semi")
+        known = partners.select(F.col(right_key).alias("__known")).distinct()
+        hot_left = left.join(hot, F.xxhash64(left[left_key]) == hot["__hash"], "left_semi")
+        alone = hot_left.join(known, hot_left[left_key] == F.col("__known"), "left_anti")
+        missed = alone.join(right.limit(0), F.lit(False), "left")
+    rest_left = left.join(hot, F.xxhash64(left[left_key]) == hot["__hash"], "left_anti")
+    rest_right = right.join(hot, F.xxhash64(right[right_key]) == hot["__hash"], "left_anti")
+    kept = [r for r in listed if r["__hash"] not in {h for h, _, _ in grid}]
+    rest = _join_hot_left(rest_left, rest_right, left_key, right_key, how, kept, merge, spread_by)
+    parts = [together, rest, *([missed] if missed is not None else [])]
+    return reduce(DataFrame.union, parts)
+
+
+def _join_hot_left(
+    left: DataFrame,
+    right: DataFrame,
+    left_key: str,
+    right_key: str,
+    how: str,
+    listed: list,
+    merge: bool,
+    spread_by: Column | None,
+) -> DataFrame:
     hot = F.broadcast(left.sparkSession.createDataFrame(listed, HOT_SCHEMA)) if listed else None
     bits = F.shiftrightunsigned(F.xxhash64(spread_by) if spread_by is not None else row_hash(left), 1)
     salted_left = _salt_left(left, left_key, hot, bits)

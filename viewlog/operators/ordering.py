@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from viewlog.functions import draw
 from viewlog.operators.joins import row_hash
 
 TIE = "__tie"
+# An estimate that asks for more ranges than this is no estimate.
+MOST_PARTS = 2_000_000
 
 
-def order_total(df: DataFrame, *order: Column | str, tie: Column | None = None) -> DataFrame:
-    """Total order over the whole table.
+PART_BYTES = 128 * 1024 * 1024
+
+
+def parts_for(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
+    """Partitions of about ``part_bytes``, from the optimizer's size estimate: no job is run.
+
+    Spark's own number of shuffle partitions is the least; where the plan tells no size (a join
+    is taken for a product), it is what is used.
+    """
+    spark = df.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, -(-size // part_bytes)) if size < MOST_PARTS * part_bytes else least
+
+
+def order_total(
+    df: DataFrame, *order: Column | str, tie: Column | None = None, parts: int | None = None
+) -> DataFrame:
+    """Total order over the whole table, in ``parts`` ranges (default: by the input's size).
 
     Nulls come first ascending and last descending. Ranges are cut by the order and then by
     ``tie``, by default a hash of the row: a boundary can fall inside one hot (or null) key,
@@ -21,7 +40,8 @@ def order_total(df: DataFrame, *order: Column | str, tie: Column | None = None)
     """
     tie = row_hash(df) if tie is None else tie
     order = tuple(F.col(o) if isinstance(o, str) else o for o in order)
-    ranges = df.withColumn(TIE, tie).repartitionByRange(*order, F.col(TIE))
+    parts = parts_for(df) if parts is None else parts
+    ranges = df.withColumn(TIE, tie).repartitionByRange(parts, *order, F.col(TIE))
     return ranges.drop(TIE).sortWithinPartitions(*order)
 
 
@@ -76,10 +96,36 @@ def sorted_write(df: DataFrame, path: str, *order: Column | str) -> None:
     order_total(df, *order).write.mode("errorifexists").parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> None:
-    """Store a table bucketed and sorted by key, for joins that shuffle neither side."""
+def read_positions(spark: SparkSession, path: str, name: str = "position") -> DataFrame:
+    """Stored rows with their position over all files, from 1, in the order of the file numbers.
+
+    A row's position is its number in its file and the rows of the files before; that sum runs
+    over one small row per file.
+    """
+    rows = spark.read.parquet(path).select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
+    )
+    files = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("__rows"))
+    number = F.regexp_extract("__file", r"part-(\d+)", 1).cast("bigint")
+    before = F.sum("__rows").over(Window.orderBy(number, "__file")) - F.col("__rows")
+    files = files.select("__file", before.alias("__before"))
+    return rows.join(files, "__file").select(
+        *[F.col(f"`{c}`") for c in rows.columns if not c.startswith("__")],
+        (F.col("__before") + F.col("__row") + 1).alias(name),
+    )
+
+
+def write_bucketed(
+    df: DataFrame, table: str, key: str, buckets: int, path: str, null_keys: bool = True
+) -> None:
+    """Store a table bucketed and sorted by key, for joins that shuffle neither side.
+
+    All rows of a key share a bucket: that is what the layout promises. Null keys match nothing
+    in an inner join; without ``null_keys`` they are left out and fill no bucket.
+    """
+    rows = df if null_keys else df.filter(F.col(key).isNotNull())
     (
-        df.repartition(buckets, key)
+        rows.repartition(buckets, key)
         .write.bucketBy(buckets, key)
         .sortBy(key)
         .option("path", path)

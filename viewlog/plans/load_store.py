@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +62,29 @@ def run_spec_file(
     seed: int = 0,
     parts: int | None = None,
 ) -> DataFrame:
-    """:func:`run_load_store` for the first table of a spec file."""
-    spec = read_table_specs(spark, path)[0]
-    return run_load_store(spark, spec, path.rsplit("/", 1)[-1], root, runs, seed, parts)
+    """:func:`run_load_store` for every table of a spec file.
+
+    With one table the rows carry the file's name, with several ``file/table``.
+    """
+    specs, file = read_table_specs(spark, path), path.rsplit("/", 1)[-1]
+    found = [
+        run_load_store(
+            spark, spec, file if len(specs) == 1 else f"{file}/{spec.name}", root, runs, seed, parts
+        )
+        for spec in specs
+    ]
+    if not found:
+        return spark.createDataFrame([], RUN_SCHEMA)
+    return reduce(DataFrame.unionByName, found)
+
+
+def run_spec_files(
+    spark: SparkSession,
+    paths: Mapping[str, int],
+    root: str,
+    seed: int = 0,
+    parts: int | None = None,
+) -> DataFrame:
+    """:func:`run_spec_file` for several files, each with its number of runs."""
+    found = [run_spec_file(spark, path, root, runs, seed, parts) for path, runs in paths.items()]
+    return reduce(DataFrame.unionByName, found, spark.createDataFrame([], RUN_SCHEMA))

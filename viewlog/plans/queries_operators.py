@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from viewlog.functions import scalars, text
@@ -18,7 +18,8 @@ from viewlog.plans.driver_views import (
 )
 from viewlog.plans.oracle_sql import keep_percent
 from viewlog.plans.page_views import flattened_headers
-from viewlog.plans.registry import query, rounded
+from viewlog.plans.registry import placed, query, rounded
+from viewlog.session import scratch_path
 from viewlog.streaming.intervals import minute_of
 
 # ---- projections, casts, filters ----
@@ -439,51 +440,72 @@ def timing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "order_single",
-    """SELECT event_id, "user", query_term FROM page_views ORDER BY "user" NULLS FIRST, event_id""",
+    """SELECT event_id, "user", query_term, rank() OVER (ORDER BY "user" NULLS FIRST) AS place
+    FROM page_views""",
     (PAGE_VIEWS_SQL,),
 )
 def order_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     pv = views.page_views(spark, sf_dir).select("event_id", "user", "query_term")
-    return ordering.order_total(pv, F.col("user").asc_nulls_first(), tie=F.col("event_id"))
+    ordered = ordering.order_total(pv, F.col("user").asc_nulls_first(), tie=F.col("event_id"))
+    return stored_order(ordered, "user")
 
 
 @query(
     "order_multi",
-    """SELECT o_orderkey, o_orderpriority, o_totalprice, o_custkey FROM orders
-    ORDER BY o_orderpriority, o_totalprice DESC, o_custkey, o_orderkey""",
+    """SELECT o_orderkey, o_orderpriority, o_totalprice, o_custkey,
+      rank() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_custkey) AS place FROM orders""",
 )
 def order_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_orderpriority", "o_totalprice", "o_custkey"
     )
-    return ordering.order_total(
+    ordered = ordering.order_total(
         orders,
         F.col("o_orderpriority").asc_nulls_first(),
         F.col("o_totalprice").desc_nulls_last(),
         F.col("o_custkey").asc_nulls_first(),
         tie=F.col("o_orderkey"),
     )
+    return stored_order(ordered, "o_orderpriority", "o_totalprice", "o_custkey")
 
 
 @query(
     "range_partition_skewed",
-    """SELECT event_id, query_term FROM page_views""",
+    """SELECT count(*) AS n_rows, sum(event_id)::BIGINT AS ids, 8 AS n_parts, true AS in_order,
+      true AS even FROM page_views""",
     (PAGE_VIEWS_SQL,),
 )
 def range_partition_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the parts hold: ranges that do not overlap, none with twice its share of the rows."""
     pv = views.page_views(spark, sf_dir).select("event_id", "query_term")
-    return ordering.range_partition_skewed(pv, 8, F.col("query_term").asc_nulls_first())
+    cut = ordering.range_partition_skewed(pv, 8, F.col("query_term").asc_nulls_first())
+    # A null sorts before any text; one sign before each text tells them apart.
+    key = F.coalesce(F.concat(F.lit("+"), "query_term"), F.lit(""))
+    parts = cut.groupBy(F.spark_partition_id().alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.min(key).alias("low"), F.max(key).alias("high")
+    )
+    before = Window.orderBy("part")  # over one row per part
+    parts = parts.withColumn("last", F.lag("high").over(before))
+    return parts.agg(
+        F.sum("n").alias("n_rows"),
+        F.sum("ids").alias("ids"),
+        F.count(F.lit(1)).cast("int").alias("n_parts"),
+        F.bool_and(F.coalesce(F.col("last") <= F.col("low"), F.lit(True))).alias("in_order"),
+        (F.max("n") <= 2 * F.sum("n") / F.count(F.lit(1))).alias("even"),
+    )
 
 
 @query(
     "nested_order",
-    """SELECT "user", estimated_revenue, event_id FROM page_views
-    ORDER BY "user" NULLS FIRST, estimated_revenue NULLS FIRST""",
+    """SELECT "user", estimated_revenue, event_id,
+      rank() OVER (ORDER BY "user" NULLS FIRST, estimated_revenue NULLS FIRST) AS place
+    FROM page_views""",
     (PAGE_VIEWS_SQL,),
 )
 def nested_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     pv = views.page_views(spark, sf_dir).select("user", "estimated_revenue", "event_id")
-    return ordering.nested_order(pv, "user", F.col("estimated_revenue").asc_nulls_first())
+    ordered = ordering.nested_order(pv, "user", F.col("estimated_revenue").asc_nulls_first())
+    return stored_order(ordered, "user", "estimated_revenue")
 
 
 @query(
@@ -501,10 +523,31 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.sample_by_key(customers, "c_custkey", 50, seed=3)
 
 
-@query("parallelism", "SELECT o_orderkey, o_custkey FROM orders")
+@query(
+    "parallelism",
+    "SELECT count(*) AS n_rows, sum(o_orderkey)::BIGINT AS keys, 16 AS n_parts, true AS even FROM orders",
+)
 def parallelism(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the parts hold: sixteen, none with a tenth more than its share and a few rows."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return ordering.parallelism(orders, 16)
+    parts = (
+        ordering.parallelism(orders, 16)
+        .groupBy(F.spark_partition_id().alias("part"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+    )
+    return parts.agg(
+        F.sum("n").alias("n_rows"),
+        F.sum("keys").alias("keys"),
+        F.count(F.lit(1)).cast("int").alias("n_parts"),
+        (F.max("n") <= 1.1 * F.sum("n") / 16 + 16).alias("even"),
+    )
+
+
+def stored_order(ordered: DataFrame, *keys: str) -> DataFrame:
+    """An order written to files and read back, each row with the place of its key."""
+    path = scratch_path(ordered.sparkSession, "ordered")
+    ordered.write.parquet(path)
+    return placed(ordering.read_positions(ordered.sparkSession, path), *keys)
 
 
 # ---- set operations ----

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewlog.functions.text import encode_bag, encode_map
+from viewlog.operators.ordering import read_positions
 from viewlog.plans import driver_views as views
 from viewlog.plans import page_views as plans
 from viewlog.plans.driver_views import (
@@ -17,7 +18,8 @@ from viewlog.plans.driver_views import (
 )
 from viewlog.plans.oracle_sql import HASH_SAMPLE_SQL, INFO_TEXT_SQL, LINKS_TEXT_SQL
 from viewlog.plans.prep import make_wide_group_by_data
-from viewlog.plans.registry import query, rounded
+from viewlog.plans.registry import placed, query, rounded
+from viewlog.session import scratch_path
 
 
 @query(
@@ -115,28 +117,39 @@ def stored(page_views: DataFrame) -> DataFrame:
     )
 
 
-WHOLE_ROWS = f"""SELECT "user", action, timespent, query_term, ip_addr, "timestamp",
-    estimated_revenue, {INFO_TEXT_SQL} AS page_info, {LINKS_TEXT_SQL} AS page_links, event_id
+def whole_rows(order: str) -> str:
+    """Whole rows, each with the place at which the rows of its key begin in the order."""
+    return f"""SELECT "user", action, timespent, query_term, ip_addr, "timestamp",
+    estimated_revenue, {INFO_TEXT_SQL} AS page_info, {LINKS_TEXT_SQL} AS page_links, event_id,
+    rank() OVER (ORDER BY {order}) AS place
   FROM page_views"""
 
 
+def in_files(ordered: DataFrame, *keys: str) -> DataFrame:
+    """An order as it is stored: read back by position, with the place of each row's key."""
+    spark, path = ordered.sparkSession, scratch_path(ordered.sparkSession, "ordered-views")
+    stored(ordered).write.parquet(path)
+    return placed(read_positions(spark, path), *keys)
+
+
 @query(
     "L9",
-    f"{WHOLE_ROWS} ORDER BY query_term NULLS FIRST, event_id",
+    whole_rows("query_term NULLS FIRST"),
     (PAGE_VIEWS_SQL,),
 )
 def l9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(plans.l9_order_by_term(views.page_views(spark, sf_dir), tie=F.col("event_id")))
+    ordered = plans.l9_order_by_term(views.page_views(spark, sf_dir), tie=F.col("event_id"))
+    return in_files(ordered, "query_term")
 
 
 @query(
     "L10",
-    f"""{WHOLE_ROWS} ORDER BY query_term NULLS FIRST, estimated_revenue DESC NULLS LAST,
-      timespent NULLS FIRST, event_id""",
+    whole_rows("query_term NULLS FIRST, estimated_revenue DESC NULLS LAST, timespent NULLS FIRST"),
     (PAGE_VIEWS_SQL,),
 )
 def l10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(plans.l10_order_by_three(views.page_views(spark, sf_dir), tie=F.col("event_id")))
+    ordered = plans.l10_order_by_three(views.page_views(spark, sf_dir), tie=F.col("event_id"))
+    return in_files(ordered, "query_term", "estimated_revenue", "timespent")
 
 
 @query(

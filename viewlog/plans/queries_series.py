@@ -111,7 +111,7 @@ def interval_stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     target = scratch_path(spark, "interval-stats")
     stream = intervals.stream_interval_stats(
-        views.samples_of(events), MINUTES, f"{target}/data", f"{target}/checkpoint"
+        views.samples_of(events), MINUTES, f"{target}/data", f"{target}/checkpoint", "0 seconds"
     )
     stream.awaitTermination()
     return rounded(spark.read.parquet(f"{target}/data"), 6, "mean", "stddev")
@@ -135,17 +135,17 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "load_test_report",
-    """SELECT tag, '{' || string_agg('"' || threads || '":{"mean":' || mean || ',"min":' || min
-      || ',"max":' || max || ',"standardDeviation":' || stddev || ',"count":' || count
-      || ',"error":"' || errors || '"}', ',' ORDER BY threads) || '}' AS document
-    FROM (SELECT stats.*, threads,
-            row_number() OVER (PARTITION BY tag, threads ORDER BY minute DESC) AS nth
-          FROM stats JOIN threads USING (minute) WHERE count > 0)
-    WHERE nth = 1 GROUP BY tag""",
+    f"""SELECT 'events' AS file, tag, '[' || string_agg('{{"minute":' || minute || ',"threads":' || threads
+      || ',"mean":' || coalesce(mean::VARCHAR, 'null') || ',"min":' || coalesce(min::VARCHAR, 'null')
+      || ',"max":' || coalesce(max::VARCHAR, 'null')
+      || ',"standardDeviation":' || coalesce(stddev::VARCHAR, 'null') || ',"count":' || coalesce(count, 0)
+      || ',"error":"' || coalesce(errors, 0) || '"}}', ',' ORDER BY minute) || ']' AS document
+    FROM (SELECT *, unnest({TAGS}) AS tag FROM threads) LEFT JOIN stats USING (minute, tag)
+    GROUP BY tag""",
     (SAMPLES_SQL, STATS_SQL, READINGS_SQL, THREADS_SQL),
 )
 def load_test_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.load_test_report(series(spark, sf_dir))
+    return reports.load_test_report({"events": series(spark, sf_dir)})
 
 
 @query(

@@ -6,18 +6,20 @@ them back through the operator under test, and returns what was read.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewlog.functions import text
 from viewlog.functions.scalars import COPY_SUFFIX, map_lookup
-from viewlog.operators import ordering, sets
+from viewlog.operators import joins, ordering, sets
 from viewlog.plans import driver_views as views
 from viewlog.plans import page_views as plans
 from viewlog.plans.driver_views import PAGE_VIEWS_SQL, USERS_SQL, table
 from viewlog.plans.oracle_sql import INFO_TEXT_SQL, LINKS_TEXT_SQL
 from viewlog.plans.queries_page_views import stored
-from viewlog.plans.registry import query
+from viewlog.plans.registry import placed, query
 from viewlog.schema import PAGE_VIEWS, ColSpec, TableSpec
 from viewlog.session import scratch_path
 from viewlog.sources import catalog, delimited, routing, specs
@@ -236,14 +238,15 @@ def route_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sorted_write",
-    'SELECT "user", estimated_revenue, event_id FROM page_views ORDER BY "user" NULLS FIRST',
+    """SELECT "user", estimated_revenue, event_id, rank() OVER (ORDER BY "user" NULLS FIRST) AS place
+    FROM page_views""",
     (PAGE_VIEWS_SQL,),
 )
 def sorted_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "sorted")
     pv = views.page_views(spark, sf_dir).select("user", "estimated_revenue", "event_id")
     ordering.sorted_write(pv, path, F.col("user").asc_nulls_first())
-    return spark.read.parquet(path)
+    return placed(ordering.read_positions(spark, path), "user")
 
 
 @query(
@@ -257,10 +260,11 @@ def join_merge_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     suffix = root.rsplit("-", 1)[1]
     pv = views.page_views(spark, sf_dir).select("user", "estimated_revenue")
     people = views.users(spark, sf_dir).select("name", "zip")
-    ordering.write_bucketed(pv, f"bucketed_views_{suffix}", "user", 8, f"{root}/views")
-    ordering.write_bucketed(people, f"bucketed_users_{suffix}", "name", 8, f"{root}/users")
+    buckets = ordering.parts_for(pv)
+    for df, kind, key in ((pv, "views", "user"), (people, "users", "name")):
+        ordering.write_bucketed(df, f"bucketed_{kind}_{suffix}", key, buckets, f"{root}/{kind}", False)
     left, right = spark.table(f"bucketed_views_{suffix}"), spark.table(f"bucketed_users_{suffix}")
-    return left.join(right.hint("merge"), left["user"] == right["name"], "inner")
+    return joins.join_merge(left, right, "user", "name", bucketed=True)
 
 
 # ---- catalog tables ----
@@ -324,12 +328,11 @@ def store_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.load_catalog(spark, spec.qualified)
 
 
-@query("load_catalog", f"{ORDER_SQL} WHERE o_orderstatus = 'F' AND o_totalprice > 250000")
+@query("load_catalog", ORDER_SQL)
 def load_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A filter on the partition key reads one directory; the other filter reaches the files."""
+    """The whole table under its catalog schema."""
     spec, _ = loaded_table(spark, sf_dir, "scanned")
-    rows = catalog.load_catalog(spark, spec.qualified)
-    return rows.filter((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 250000))
+    return catalog.load_catalog(spark, spec.qualified)
 
 
 @query(
@@ -363,15 +366,23 @@ def add_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("check_row_count", "SELECT count(*) AS written FROM orders")
 def check_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The number counted during the write, next to what the files hold."""
+    """The check counts the lines that the files hold."""
     path = scratch_path(spark, "counted")
     rows = order_rows(spark, sf_dir)
     catalog.check_row_count(
-        rows, rows.count(), lambda df: delimited.write_delimited(df, path, catalog.TEXT_SEP)
+        rows,
+        rows.count(),
+        lambda df: delimited.write_delimited(df, path, catalog.TEXT_SEP),
+        lambda: delimited.read_lines(spark, path).count(),
     )
     return delimited.read_lines(spark, path).agg(F.count(F.lit(1)).alias("written"))
 
 
+def counted(spec: TableSpec, spark: SparkSession, sf_dir: str) -> TableSpec:
+    """The spec with the number of rows its table must have."""
+    return replace(spec, rows=order_rows(spark, sf_dir).count())
+
+
 def text_orders(spark: SparkSession, sf_dir: str, root: str) -> str:
     path = f"{root}/input"
     delimited.write_delimited(order_rows(spark, sf_dir), path, catalog.TEXT_SEP)
@@ -381,7 +392,7 @@ def text_orders(spark: SparkSession, sf_dir: str, root: str) -> str:
 @query("text_to_text", ORDER_SQL)
 def text_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "text-text")
-    spec = order_spec("unused")
+    spec = counted(order_spec("unused"), spark, sf_dir)
     catalog.text_to_text(spark, spec, text_orders(spark, sf_dir, root), f"{root}/output")
     return delimited.read_delimited(spark, f"{root}/output", spec.struct, "\t")
 
@@ -389,6 +400,7 @@ def text_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("text_to_catalog", ORDER_SQL)
 def text_to_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec, root = fresh_table(spark, "text_catalog")
+    spec = counted(spec, spark, sf_dir)
     catalog.text_to_catalog(spark, spec, text_orders(spark, sf_dir, root))
     return catalog.load_catalog(spark, spec.qualified)
 
@@ -396,7 +408,7 @@ def text_to_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("catalog_to_text", ORDER_SQL)
 def catalog_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec, root = loaded_table(spark, sf_dir, "catalog_text")
-    catalog.catalog_to_text(spark, spec, f"{root}/output")
+    catalog.catalog_to_text(spark, counted(spec, spark, sf_dir), f"{root}/output")
     return delimited.read_delimited(spark, f"{root}/output", spec.struct, "\t")
 
 
@@ -404,7 +416,7 @@ def catalog_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_to_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec, root = loaded_table(spark, sf_dir, "catalog_catalog")
     catalog.copy_table(spark, spec, f"{root}/copy")
-    catalog.catalog_to_catalog(spark, spec)
+    catalog.catalog_to_catalog(spark, counted(spec, spark, sf_dir))
     return catalog.load_catalog(spark, spec.qualified + COPY_SUFFIX)
 
 

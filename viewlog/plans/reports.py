@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,32 +86,29 @@ def printed_stats(stats: DataFrame) -> DataFrame:
     return stats.withColumns(durations | counts)
 
 
-def load_test_report(series: DataFrame) -> DataFrame:
-    """One JSON document per task: thread count to statistics, intervals with samples only.
+def load_test_report(results: Mapping[str, DataFrame]) -> DataFrame:
+    """One JSON document per result file and task: an entry for every interval, in order.
 
-    ``series`` comes from :func:`viewlog.streaming.intervals.load_series`. If several
-    intervals ran with the same thread count, the latest of them is shown.
+    ``results`` maps the name of a result file to its series, which comes from
+    :func:`viewlog.streaming.intervals.load_series`. An entry has the interval's minute and
+    thread count; one without timings has nulls in their place, its errors still count.
     """
-    measured = series.filter("count > 0")
-    latest = measured.groupBy("tag", "threads").agg(
-        F.max_by(
-            F.struct(
-                _number("mean"),
-                _number("min"),
-                _number("max"),
-                _number("stddev").alias("standardDeviation"),
-                F.col("count"),
-                F.col("errors").cast("string").alias("error"),
-            ),
-            "minute",
-        ).alias("stats")
+    entry = F.struct(
+        F.col("minute"),
+        F.col("threads"),
+        _number("mean"),
+        _number("min"),
+        _number("max"),
+        _number("stddev").alias("standardDeviation"),
+        F.col("count"),
+        F.col("errors").cast("string").alias("error"),
     )
-    entry = F.struct(F.col("threads"), F.col("stats"))
-    by_tag = latest.groupBy("tag").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    entries = F.transform(
-        "entries", lambda e: F.struct(e["threads"].cast("string"), e["stats"])
+    named = [series.select(F.lit(file).alias("file"), "tag", entry.alias("e")) for file, series in results.items()]
+    by_tag = reduce(DataFrame.unionByName, named).groupBy("file", "tag")
+    entries = by_tag.agg(F.array_sort(F.collect_list("e")).alias("entries"))
+    return entries.select(
+        "file", "tag", F.to_json("entries", {"ignoreNullFields": "false"}).alias("document")
     )
-    return by_tag.select("tag", F.to_json(F.map_from_entries(entries)).alias("document"))
 
 
 def response_vs_threads(series: DataFrame) -> DataFrame:

@@ -16,6 +16,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # Shuffles start with this many partitions and are merged to the size above. AQE merges
+    # partitions and does not cut them, so it bounds the size of one on large inputs; raise it
+    # with the input (a shuffle of 100 TB wants 800,000 of 128 MB).
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1000",
     "spark.sql.session.timeZone": "UTC",
     # The JVM compiles no method above 8000 bytes of code. Wide projections, such as those of
     # the generator, run five times faster if Spark then splits them instead of fusing them.
@@ -26,7 +30,11 @@ SETTINGS = {
 def local_session(cpus: int | str = "*", app: str = "viewlog", **extra: str) -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
-    for key, value in {**SETTINGS, "spark.ui.enabled": "false", **extra}.items():
+    # A thousand tiny partitions would cost a local run more than they save.
+    few = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "64"}
+    if "spark.sql.shuffle.partitions" in extra:
+        few = {k: extra["spark.sql.shuffle.partitions"] for k in few}
+    for key, value in {**SETTINGS, **few, "spark.ui.enabled": "false", **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

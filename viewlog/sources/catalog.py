@@ -36,7 +36,7 @@ def create_table(spark: SparkSession, spec: TableSpec, location: str | None = No
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {quoted(spec.qualified)} ({', '.join(names)}) USING parquet"
         + (f" PARTITIONED BY ({keys})" if keys else "")
-        + (f" LOCATION '{location}'" if location else "")
+        + (f" LOCATION {_literal(location)}" if location else "")
     )
 
 
@@ -105,14 +105,16 @@ def check_row_count(
 ) -> int:
     """Run ``write`` on the rows and compare the number written to ``expected``.
 
-    Rows are counted while they are written, so the data is not read twice. A stage that ran
-    again after a lost executor may have been counted twice; ``recount`` (a count of what is
-    stored) then has the last word.
+    ``recount`` counts what is stored and decides whenever it is given: rows counted while they
+    are written tell nothing about what arrived. Without it, the rows counted during the write
+    decide; a stage that ran again after a lost executor may be counted twice there.
     """
-    seen = Observation()
-    write(df.observe(seen, F.count(F.lit(1)).alias("n")))
-    written = seen.get["n"]
-    if written != expected and recount is not None:
+    if recount is None:
+        seen = Observation()
+        write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        written = seen.get["n"]
+    else:
+        write(df)
         written = recount()
     if written != expected:
         raise RowCountError(f"expected {expected} rows to be written, got {written}")
@@ -122,8 +124,19 @@ def check_row_count(
 def generate_if_missing(
     spark: SparkSession, spec: TableSpec, path: str, seed: int = 0, parts: int | None = None
 ) -> None:
-    """Generate the text file of a table spec unless its directory exists."""
-    write_delimited(gen_from_spec(spark, spec, seed, parts), path, TEXT_SEP, mode="ignore")
+    """Generate the text file of a table spec unless a finished one is there.
+
+    Only a directory with the marker of a committed write counts; what a broken run left is
+    written anew.
+    """
+    if not write_finished(spark, path):
+        write_delimited(gen_from_spec(spark, spec, seed, parts), path, TEXT_SEP, mode="overwrite")
+
+
+def write_finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to this directory was committed."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
 def copy_table(spark: SparkSession, spec: TableSpec, location: str | None = None) -> str:
@@ -137,31 +150,57 @@ def text_to_text(
     spark: SparkSession, spec: TableSpec, source: str, target: str, mode: str = "errorifexists"
 ) -> None:
     rows = read_delimited(spark, source, spec.struct, TEXT_SEP)
-    _checked(spec, rows, lambda df: write_delimited(df, target, mode=mode))
+    _checked(spec, rows, *_text_sink(spark, target, mode))
 
 
 def text_to_catalog(spark: SparkSession, spec: TableSpec, source: str) -> None:
     rows = read_delimited(spark, source, spec.struct, TEXT_SEP)
-    _checked(spec, rows, lambda df: store_catalog(df, spec.qualified))
+    _checked(spec, rows, *_table_sink(spark, spec.qualified))
 
 
 def catalog_to_text(
     spark: SparkSession, spec: TableSpec, target: str, mode: str = "errorifexists"
 ) -> None:
     rows = load_catalog(spark, spec.qualified)
-    _checked(spec, rows, lambda df: write_delimited(df, target, mode=mode))
+    _checked(spec, rows, *_text_sink(spark, target, mode))
 
 
 def catalog_to_catalog(spark: SparkSession, spec: TableSpec) -> None:
     """Copy a table into its ``_copy`` twin, which must exist."""
     rows = load_catalog(spark, spec.qualified)
-    _checked(spec, rows, lambda df: store_catalog(df, spec.qualified + COPY_SUFFIX))
+    _checked(spec, rows, *_table_sink(spark, spec.qualified + COPY_SUFFIX))
+
+
+Sink = tuple[Callable[[DataFrame], None], Callable[[], int], bool]
+
+
+def _text_sink(spark: SparkSession, target: str, mode: str) -> Sink:
+    """How to write text, how to count what is stored there, and whether rows are appended."""
+    return (
+        lambda df: write_delimited(df, target, mode=mode),
+        lambda: spark.read.text(target).count(),
+        mode == "append" and write_finished(spark, target),
+    )
+
+
+def _table_sink(spark: SparkSession, name: str) -> Sink:
+    return lambda df: store_catalog(df, name), lambda: load_catalog(spark, name).count(), True
 
 
-def _checked(spec: TableSpec, rows: DataFrame, write: Callable[[DataFrame], None]) -> None:
-    """Run a write; if the spec says how many rows its table has, that many must be written."""
+def _checked(
+    spec: TableSpec,
+    rows: DataFrame,
+    write: Callable[[DataFrame], None],
+    stored: Callable[[], int],
+    appends: bool,
+) -> None:
+    """Run a write; if the spec says how many rows its table has, that many must arrive.
+
+    What is stored is counted, before and after the write where rows are appended.
+    """
     if spec.rows:
-        check_row_count(rows, spec.rows, write, recount=rows.count)
+        before = stored() if appends else 0
+        check_row_count(rows, spec.rows, write, recount=lambda: stored() - before)
     else:
         write(rows)
 

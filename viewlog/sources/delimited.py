@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,11 +46,15 @@ def read_delimited(
 def write_delimited(
     df: DataFrame, path: str, sep: str = "\t", mode: str = "errorifexists"
 ) -> None:
-    """Rows as separated text, a null as an empty field."""
+    """Rows as separated text, a null as an empty field.
+
+    The layout has no escapes: a value that holds the separator or a line break would shift or
+    split its row when read, so it fails the write.
+    """
     nested = [f.name for f in df.schema if isinstance(f.dataType, (T.MapType, T.ArrayType))]
     if nested:
         raise ValueError(f"encode map and bag columns before writing text: {nested}")
-    fields = [F.coalesce(df[f"`{c}`"].cast("string"), F.lit("")) for c in df.columns]
+    fields = [F.coalesce(_plain(df, c, [sep, "\n", "\r"]), F.lit("")) for c in df.columns]
     df.select(F.concat_ws(sep, *fields).alias("line")).write.mode(mode).text(path)
 
 
@@ -89,8 +95,19 @@ def read_tuple_text(spark: SparkSession, path: str, names: list[str]) -> DataFra
 
 
 def write_tuple_text(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Each row as one ``(a,b,c)`` line."""
-    df.select(text.tuple_text(*[df[c] for c in df.columns]).alias("line")).write.mode(mode).text(path)
+    """Each row as one ``(a,b,c)`` line; a value with a comma or a line break fails the write."""
+    fields = [_plain(df, c, [",", "\n", "\r"]) for c in df.columns]
+    df.select(text.tuple_text(*fields).alias("line")).write.mode(mode).text(path)
+
+
+def _plain(df: DataFrame, name: str, signs: list[str]) -> Column:
+    """A column as text, which must not hold one of the signs; only text columns can."""
+    field = F.col(f"`{name}`").cast("string")
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return field
+    bad = reduce(Column.__or__, [F.contains(field, F.lit(sign)) for sign in signs])
+    message = F.concat(F.lit(f"a value of {name} holds a separator or line break: "), F.substring(field, 1, 80))
+    return F.when(bad, F.raise_error(message).cast("string")).otherwise(field)
 
 
 def encode_page_views(df: DataFrame) -> DataFrame:

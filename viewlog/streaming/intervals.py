@@ -78,11 +78,15 @@ def stream_interval_stats(
     minutes: int,
     path: str,
     checkpoint: str,
-    lateness: str = "0 seconds",
+    lateness: str,
     query_name: str | None = None,
 ) -> StreamingQuery:
     """Append closed intervals of a sample stream to parquet files, once over what is there.
 
+    Samples more than ``lateness`` behind the latest one are dropped when their interval is
+    closed; :func:`dropped_late` counts them. Clients are not in step: choose it larger than
+    their largest difference.
+
     An interval is written when the watermark passes its end. State holds one row per open
     interval and tag. The file sink and the checkpoint make a restart write nothing twice.
     """
@@ -99,6 +103,18 @@ def stream_interval_stats(
     return writer.start()
 
 
+def dropped_late(stream: StreamingQuery) -> int:
+    """Partial rows that the watermark dropped in the batches the query still remembers.
+
+    Rows are reduced to one per interval, tag and task before the watermark looks at them.
+    """
+    return sum(
+        int(operator["numRowsDroppedByWatermark"])
+        for batch in stream.recentProgress
+        for operator in batch["stateOperators"]
+    )
+
+
 def carry_forward(
     df: DataFrame, by: str, order: str, col: str, default: object = 0
 ) -> DataFrame:
