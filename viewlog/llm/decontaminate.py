@@ -61,22 +61,23 @@ def suffix_order(codes: np.ndarray, bits: int) -> np.ndarray:
     order = np.argsort(key)
     changed = np.ones(n, bool)
     changed[1:] = key[order][1:] != key[order][:-1]
+    # Suffixes that met a zero are done: equal ones stand in order of position.
+    rows = np.flatnonzero(~alive[order] & ~_lone(changed))
+    order[rows] = order[rows][np.lexsort((order[rows], key[order[rows]]))]
+    changed[rows] = True
     rank = np.empty(n, np.int64)
     rank[order] = np.flatnonzero(changed)[np.cumsum(changed) - 1]
-    ended = ~alive
     del key, alive
     while True:
-        lone = changed & np.append(changed[1:], True)
-        rows = np.flatnonzero(~lone)
+        rows = np.flatnonzero(~_lone(changed))
         if not len(rows):
             return order
+        # No zero within ``depth`` symbols, so something follows there.
         part = order[rows]
-        follow = np.where(ended[part], part, rank[np.minimum(part + depth, n - 1)])
-        key = rank[part] * n + follow
+        key = rank[part] * n + rank[part + depth]
         sort = np.argsort(key)
         part, key = part[sort], key[sort]
         order[rows] = part
-        changed[rows[0]] = True
         new = np.ones(len(rows), bool)
         new[1:] = key[1:] != key[:-1]
         changed[rows] = new
@@ -84,6 +85,11 @@ def suffix_order(codes: np.ndarray, bits: int) -> np.ndarray:
         depth *= 2
 
 
+def _lone(changed: np.ndarray) -> np.ndarray:
+    """Rows that are a group of their own, from where groups begin."""
+    return changed & np.append(changed[1:], True)
+
+
 class FmIndex:
     """Backward search and location over a code sequence that ends in 0."""
 
