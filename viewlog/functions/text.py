@@ -73,12 +73,12 @@ def encode_map(col: Column) -> Column:
     )
 
 
-def decode_bag(col: Column, element: str = "m") -> Column:
+def decode_bag(col: Column, element: str = "m", duplicates: str = "last") -> Column:
     """Elements separated by ``^B``, each with a leading type letter, to an array.
 
     ``element`` is the letter the array is typed by. A letter outside the known set
     is an error, as is one that cannot be held by the array's type; a scalar whose
-    text does not parse becomes null.
+    text does not parse becomes null. ``duplicates`` is that of :func:`decode_map`.
     """
     if element not in TYPE_LETTERS or element == "b":
         raise ValueError(f"cannot build an array of type letter [{element}]")
@@ -87,7 +87,7 @@ def decode_bag(col: Column, element: str = "m") -> Column:
     def parse(item: Column) -> Column:
         letter, body = F.substring(item, 1, 1), F.substring(item, 2, 2**31 - 1)
         if element == "m":
-            value, accepted = decode_map(body), letter == "m"
+            value, accepted = decode_map(body, duplicates), letter == "m"
         elif element == "s":
             value, accepted = body, letter.isin([k for k in known if k not in "mb"])
         else:
@@ -98,9 +98,14 @@ def decode_bag(col: Column, element: str = "m") -> Column:
         ).otherwise(F.concat(F.lit("unknown type "), letter))
         return F.when(accepted, value).otherwise(F.raise_error(problem))
 
-    return F.when(F.length(col) == 0, F.array().cast(_array_type(element))).otherwise(
-        F.transform(F.split(col, BAG_SEP, -1), parse)
-    )
+    items = F.split(col, BAG_SEP, -1)
+    parsed = F.transform(items, parse)
+    if element == "m":
+        # The usual bag has nothing but maps: one test for the bag, none for its elements.
+        maps = F.forall(items, lambda item: item.startswith("m"))
+        bodies = F.transform(items, lambda item: decode_map(F.substring(item, 2, 2**31 - 1), duplicates))
+        parsed = F.when(maps, bodies).otherwise(parsed)
+    return F.when(F.length(col) == 0, F.array().cast(_array_type(element))).otherwise(parsed)
 
 
 def _array_type(element: str) -> str:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from viewlog import generate
 from viewlog.functions import draw
 from viewlog.functions.text import encode_bag, encode_map
 from viewlog.generate import gen_append, gen_from_spec, gen_table
@@ -15,8 +16,9 @@ from viewlog.plans import driver_views as views
 from viewlog.plans import oracle_sql as sql
 from viewlog.plans import prep
 from viewlog.plans.driver_views import PAGE_VIEWS_SQL, table
+from viewlog.plans.oracle_sql import INFO_TEXT_SQL, LINKS_TEXT_SQL
 from viewlog.plans.registry import query
-from viewlog.schema import POWER_USERS, USER_DETAIL_SPECS, TableSpec, parse_colspec
+from viewlog.schema import PAGE_VIEWS, POWER_USERS, USER_DETAIL_SPECS, TableSpec, parse_colspec
 from viewlog.session import scratch_path
 from viewlog.sources import catalog, delimited
 
@@ -199,12 +201,8 @@ def gen_string(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def value_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One domain value per customer: as many different strings as customers."""
-    customers = table(spark, sf_dir, "customer").select("c_custkey")
-    spec = parse_colspec(f"s:10:{customers.count()}:u:0")
-    stream = draw.salt(SEED, 0, draw.TEXT)
-    values = draw.add_columns(
-        customers, {"value": draw.domain_string(spec, F.col("c_custkey"), stream)}
-    )
+    size = table(spark, sf_dir, "customer").count()
+    values = generate.value_domain(spark, f"s:10:{size}:u:0", SEED)
     size = F.length("value")
     return values.agg(
         F.count(F.lit(1)).alias("n_values"),
@@ -334,15 +332,19 @@ def prep_power_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.make_power_users(views.page_views(spark, sf_dir), seed=SEED).select("name")
 
 
+SCALARS = [n for n in PAGE_VIEWS.names if n not in ("page_info", "page_links")]
+
+
 @query(
     "prep_wide_group_by_data",
-    """SELECT "user", action_1, timespent_2, estimated_revenue_1, count(*) AS n_rows
-    FROM (SELECT "user", action AS action_1, timespent AS timespent_2,
-            estimated_revenue AS estimated_revenue_1 FROM page_views)
-    GROUP BY ALL""",
+    f"""SELECT {", ".join(f'"{c}", "{c}" AS {c}_1, "{c}" AS {c}_2' for c in SCALARS)},
+      {INFO_TEXT_SQL} AS page_info, {INFO_TEXT_SQL} AS page_info_1, {INFO_TEXT_SQL} AS page_info_2,
+      {LINKS_TEXT_SQL} AS page_links, {LINKS_TEXT_SQL} AS page_links_1,
+      {LINKS_TEXT_SQL} AS page_links_2 FROM page_views""",
     (PAGE_VIEWS_SQL,),
 )
 def prep_wide_group_by_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 27 columns, maps and bags as text."""
     wide = prep.make_wide_group_by_data(views.page_views(spark, sf_dir))
-    keys = ["user", "action_1", "timespent_2", "estimated_revenue_1"]
-    return wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    texts = {"page_info": encode_map, "page_links": encode_bag}
+    return wide.withColumns({f"{c}{n}": f(F.col(f"{c}{n}")) for c, f in texts.items() for n in ("", "_1", "_2")})

@@ -191,16 +191,21 @@ def load_store_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.load_store_report(load_store_runs(spark, sf_dir))
 
 
+def printed_sql(name: str) -> str:
+    """A duration below a minute as seconds with three decimals."""
+    return f"""CAST(round({name}) AS BIGINT) // 1000 || '.'
+      || lpad(CAST(CAST(round({name}) AS BIGINT) % 1000 AS VARCHAR), 3, '0') || 's' AS {name}"""
+
+
 @query(
     "load_store_printed",
-    """SELECT file, tag, CAST(round(max) AS BIGINT) // 1000 || '.'
-      || lpad(CAST(CAST(round(max) AS BIGINT) % 1000 AS VARCHAR), 3, '0') || 's' AS max,
+    f"""SELECT file, tag, {", ".join(map(printed_sql, ("mean", "min", "max", "stddev")))},
       CAST(count AS VARCHAR) AS count FROM run_stats""",
     (RUNS_SQL, RUN_STATS_SQL),
 )
 def load_store_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = reports.load_store_stats(load_store_runs(spark, sf_dir))
-    return reports.printed_stats(stats).select("file", "tag", "max", "count")
+    return reports.printed_stats(stats)
 
 
 @query(

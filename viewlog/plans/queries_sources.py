@@ -19,7 +19,7 @@ from viewlog.plans import page_views as plans
 from viewlog.plans.driver_views import PAGE_VIEWS_SQL, USERS_SQL, table
 from viewlog.plans.oracle_sql import INFO_TEXT_SQL, LINKS_TEXT_SQL
 from viewlog.plans.queries_page_views import stored
-from viewlog.plans.registry import placed, query
+from viewlog.plans.registry import ORACLES, placed, query
 from viewlog.schema import PAGE_VIEWS, ColSpec, TableSpec
 from viewlog.session import scratch_path
 from viewlog.sources import catalog, delimited, routing, specs
@@ -77,6 +77,26 @@ def read_page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(delimited.read_page_views(spark, path))
 
 
+@query(
+    "L1_text",
+    """SELECT "user", CASE WHEN "user" IS NULL THEN 0 ELSE sum(greatest(coalesce(n_links, 1), 1)) END::BIGINT
+      AS cnt FROM page_views GROUP BY "user" """,
+    (PAGE_VIEWS_SQL,),
+)
+def l1_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 from page views stored as text, which has one form for an empty and a null bag."""
+    path = stored_page_views(spark, sf_dir, "l1-views")
+    return plans.l1_links_per_user(delimited.read_page_views(spark, path, ["user", "action", "page_links"]))
+
+
+@query("L12_text", ORACLES["L12"])
+def l12_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L12 from page views stored as text."""
+    path = stored_page_views(spark, sf_dir, "l12-views")
+    columns = ["user", "action", "timespent", "query_term", "estimated_revenue"]
+    return plans.l12_three_outputs(delimited.read_page_views(spark, path, columns))
+
+
 @query(
     "decode_map",
     "SELECT info_a, info_c, CASE WHEN info_a IS NULL THEN 1 ELSE 2 END AS n_entries FROM page_views",
