@@ -6,10 +6,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from viewlog.llm import packing
+from viewlog.llm import text_arrays as ta
 from viewlog.llm.queries import QUERIES, tokenizer_path
 
 
@@ -60,6 +62,8 @@ def test_odd_texts(spark, tokenizer):
         1: None, 2: "", 3: " ", 4: "  two  spaces \n and\ttabs  ", 5: "a b c  d \x85 e",
         6: "it's  <|endoftext|> here", 7: "word " * 5000, 8: "x" * 9000, 9: "a\x1cb c \x1f d", 10: "é ü 你好 世界 　 z",
         11: "word " * 5000, 12: "\n\n a \n b", 13: "end ",
+        14: "it's. 'tis a.b,c's x's'y 3's l'été l'a a\nb\n c \nd.\n\n.e a_b a-'s 1.5,\n\"q\" é. é's ß!\n",
+        15: "\n", 16: ".\n", 17: "a\n", 18: "a.\r\nb", 19: "don't. we'll, I'm\nI'd 're've",
     }
     df = spark.createDataFrame(
         [(k, v, k, "x") for k, v in texts.items()], "doc_id int, text string, length int, ids string"
@@ -68,6 +72,20 @@ def test_odd_texts(spark, tokenizer):
     check(rows, texts, tokenizer)
 
 
+LETTERS = "ab'sé. ,\n\t0_-ß\u00a0"
+
+
+def test_units_give_the_ids_of_whole_texts(tokenizer):
+    """Random texts of awkward characters, without Spark."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list(LETTERS), rng.integers(0, 30))) for _ in range(4000)]
+    data, offsets = ta.strings(pa.array(texts))
+    ids, counts = packing.UnitTokenizer(tokenizer_path()).ids(data, offsets)
+    ends = np.cumsum(counts)
+    for text, low, high in zip(texts, ends - counts, ends, strict=True):
+        assert ids[low:high].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_repeated_rows_and_null_ids(spark, tokenizer):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (None, None)], "doc_id long, text string")
     rows = packing.pack_documents(df, tokenizer_path()).collect()

@@ -38,12 +38,15 @@ END_ID = 1
 # Pieces per bucket of a length, on average; units of text kept by a task.
 BUCKET_PIECES = 5_000
 CACHED_UNITS = 500_000
+JOINED_UNITS = 500
 
 # White space outside ASCII, and control characters on which definitions of it differ.
 _ODD_CODES = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B))
 _ODD_CODES += (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _ODD_SPACE = re.compile(f"[{''.join(map(chr, _ODD_CODES))}]")
 _SPACE = ta.byte_class((0x20, 0x20), (0x09, 0x0D))
+_LETTER = ta.byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
+_SIGN = ta.byte_class((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 
 PIECE_SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids array<int>"
@@ -53,9 +56,10 @@ PIECE_SCHEMA = (
 class UnitTokenizer:
     """Token ids of many texts; a unit of text that was seen before is looked up.
 
-    The vocabulary's pre-tokeniser never joins what stands before and after a single space
-    between two other characters: a text can be cut before such a space, and the ids of the
-    units, in order, are the ids of the text. Texts with other white space go in whole.
+    A text is cut where the vocabulary's pre-tokeniser always cuts: before a single space, before
+    and after a single newline, and between a letter or digit and a sign other than an apostrophe
+    (all ASCII). The ids of the units, in order, are then the ids of the text. Texts with other
+    white space go in whole.
     """
 
     def __init__(self, path: str):
@@ -64,11 +68,32 @@ class UnitTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.known: dict[int, np.ndarray] = {}
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in encoded]
+    def _encode(self, units: list[str]) -> list[np.ndarray]:
+        """Ids of each unit. Units without inner white space are encoded many at a time, joined
+        by newlines, which are tokens of their own there."""
+        found: list = [None] * len(units)
+        plain = [i for i, u in enumerate(units) if (u[1:] if u[0] == " " else u).split() == [u.lstrip(" ")]]
+        if len(self.newline) == 1:
+            for at in range(0, len(plain), JOINED_UNITS):
+                some = plain[at : at + JOINED_UNITS]
+                joined = "\n".join([units[i] for i in some])
+                encoded = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0]
+                ids = np.array(encoded.ids, np.uint32)
+                stops = np.flatnonzero(ids == self.newline[0])
+                if len(stops) == len(some) - 1:
+                    begins = [0, *(stops + 1).tolist()]
+                    ends = [*stops.tolist(), len(ids)]
+                    for i, b, e in zip(some, begins, ends, strict=True):
+                        found[i] = ids[b:e]
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for i, e in zip(
+            rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True
+        ):
+            found[i] = np.array(e.ids, np.uint32)
+        return found
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of each text's ids."""
@@ -100,7 +125,10 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return none, none, np.zeros(len(offsets), np.int64)
     white = _SPACE[data]
     cut = np.zeros(len(data), bool)
-    cut[1:-1] = (data[1:-1] == 0x20) & ~white[:-2] & ~white[2:]
+    lone = ~white[:-2] & ~white[2:]
+    cut[1:-1] = lone & ((data[1:-1] == 0x20) | (data[1:-1] == 0x0A))
+    cut[2:] |= lone & (data[1:-1] == 0x0A)
+    cut[1:] |= _LETTER[data[:-1]] & _SIGN[data[1:]]
     whole = np.zeros(len(offsets) - 1, bool)
     # Bytes that begin a space outside ASCII, or a separator control character.
     odd = np.isin(data, (0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3))
