@@ -83,6 +83,14 @@ def test_null_ids_repeats_and_empty_table(spark):
     assert near_dedup.near_duplicates(df.limit(0), 4).collect() == []
 
 
+def test_rows_of_one_id_count_as_one_document(spark):
+    """Another text under the same id links as well."""
+    words = " ".join(WORDS)
+    df = spark.createDataFrame([(1, "q r s t u"), (1, words), (2, words + " x"), (3, "z")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(df, 4).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3)}
+
+
 def test_short_texts_differ_by_length(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a a"), (3, "a a a")], "doc_id long, text string")
     assert {r["component_id"] for r in near_dedup.near_duplicates(df, 4).collect()} == {1, 2, 3}

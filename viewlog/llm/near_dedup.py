@@ -35,8 +35,9 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 TREES, DEPTH, MIN_DEPTH = 16, 8, 3
 REGION = 64
-TASK_SHINGLES = 1_000_000
+TASK_SHINGLES = 200_000
 BROADCAST_ROWS = 500_000
+BROADCAST_REGIONS = 250_000
 
 SIGNATURE_SCHEMA = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, signature binary"
 
@@ -136,8 +137,13 @@ def forest_links(classes: DataFrame) -> DataFrame:
         region = F.xxhash64(F.lit(depth), "tree", F.substring("key", 1, 4 * depth))
         rows = rows.withColumn("region", region)
         sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("smallest"))
+        path = scratch_path(spark, f"region-sizes-{depth}")
+        sizes.filter("n > 1").write.parquet(path)
+        sizes = spark.read.parquet(path)
+        # With few regions no row is shuffled, however many rows a region has.
+        sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_REGIONS else sizes
         path = scratch_path(spark, f"regions-{depth}")
-        rows.join(sizes.filter("n > 1"), "region").write.parquet(path)
+        rows.join(sizes, "region").write.parquet(path)
         stored = spark.read.parquet(path)
         last = depth == DEPTH
         found = stored.filter(F.lit(last) | (F.col("n") <= REGION)).select(
@@ -210,9 +216,12 @@ def member_sets(docs: DataFrame, tasks: DataFrame, width: int) -> DataFrame:
     return made.select("rep", "shingles", F.explode("tasks").alias("t")).select("rep", "shingles", "t.*")
 
 
-def confirmed_links(sets: list[np.ndarray], side: np.ndarray, crossed: bool, percent: int = PERCENT):
+def confirmed_links(
+    reps: np.ndarray, sets: list[np.ndarray], side: np.ndarray, crossed: bool, percent: int = PERCENT
+) -> list[tuple[int, int]]:
     """Pairs (i, j) that reach the limit and connect all that can be connected by such pairs.
 
+    Rows of one ``reps`` value are one document and connected from the start.
     With ``crossed``, pairs of side 0 and side 1 alone are looked at.
     """
     size = np.array([len(s) for s in sets], np.int64)
@@ -227,7 +236,8 @@ def confirmed_links(sets: list[np.ndarray], side: np.ndarray, crossed: bool, per
     sort = np.argsort(token[prefix], kind="stable")
     listed, holders = token[prefix][sort], owner[prefix][sort]
     bounds = np.searchsorted(listed, np.arange(len(often) + 1))
-    label, mark = np.arange(len(sets)), np.zeros(len(often), bool)
+    label = np.unique(reps, return_inverse=True)[1]
+    mark = np.zeros(len(often), bool)
     links = []
     for i in range(len(sets)):
         if crossed and side[i] == 0:
@@ -262,15 +272,12 @@ def verified_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     def solve(table: pa.Table) -> pa.Table:
         table = table.sort_by([("rep", "ascending")])
         reps = table.column("rep").to_numpy()
-        # A member that stands in several rows of its doc_id counts once.
-        pick = np.flatnonzero(np.append(True, reps[1:] != reps[:-1])) if len(reps) else []
-        raw = table.column("shingles").to_pylist()
-        arrays = [np.frombuffer(raw[i], np.uint64) for i in pick]
-        side = table.column("side").to_numpy()[pick]
+        arrays = [np.frombuffer(raw, np.uint64) for raw in table.column("shingles").to_pylist()]
+        side = table.column("side").to_numpy()
         crossed = bool(table.column("crossed")[0].as_py())
-        links = confirmed_links(arrays, side, crossed, percent) if len(pick) > 1 else []
-        u = [int(reps[pick[i]]) for i, _ in links]
-        v = [int(reps[pick[j]]) for _, j in links]
+        links = confirmed_links(reps, arrays, side, crossed, percent) if len(reps) > 1 else []
+        u = [int(reps[i]) for i, _ in links]
+        v = [int(reps[j]) for _, j in links]
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return sets.groupBy("task").applyInArrow(solve, "u bigint, v bigint")
@@ -286,7 +293,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
         F.min("doc_id").alias("rep"), F.first("signature").alias("signature")
     )
     candidates = components(forest_links(classes.select("rep", "signature")))
-    sizes = signed.select(F.col("doc_id").alias("rep"), "n_shingles").dropDuplicates(["rep"])
+    sizes = signed.groupBy(F.col("doc_id").alias("rep")).agg(F.max("n_shingles").alias("n_shingles"))
     members = candidates.withColumnRenamed("node", "rep").join(sizes, "rep")
     links = verified_links(member_sets(docs, solve_tasks(members), width), percent)
     path = scratch_path(spark, "near-links")
