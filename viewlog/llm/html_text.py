@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from viewlog.llm import text_arrays as ta
 from viewlog.llm.boosting import BoostedTrees
+from viewlog.llm.labelled import thinned
 
 SAMPLE_PAGES = 400
 MADE_PAGES = 600
@@ -479,7 +480,8 @@ def main_texts(model: BoostedTrees, pages: list[str]) -> list[str]:
 
 def sample_pages(pages: DataFrame, rows: int = SAMPLE_PAGES) -> list[str]:
     """Pages with the smallest hashes, whatever the partitioning."""
-    chosen = pages.select("html").filter("html IS NOT NULL").orderBy(F.xxhash64("html"), F.length("html")).limit(rows)
+    few = thinned(F.col("html"), rows, pages.count())
+    chosen = pages.select("html").filter(F.col("html").isNotNull() & few).orderBy(F.xxhash64("html"), F.length("html")).limit(rows)
     return [r["html"] for r in chosen.collect()]
 
 
