@@ -22,6 +22,7 @@ whatever their names.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from viewlog.llm import text_arrays as ta
 WIDTH = 10
 SHARD_WORDS = 1 << 20
 SAMPLE_EVERY = 8
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 2 << 20
 
 HIT_FIELDS = [
     T.StructField("n_words", T.LongType()),
@@ -181,18 +182,18 @@ class Phrases:
         return np.where(self.vocabulary[at] == hashes, at + 1, 0)
 
 
-def phrase_blocks(benchmark: DataFrame, width: int, block_bytes: int) -> list[Phrases]:
-    """The benchmark's windows in blocks whose texts have about ``block_bytes`` each."""
+def phrase_blocks(benchmark: DataFrame, width: int, block_bytes: int) -> tuple[int, Iterator[Phrases]]:
+    """How many blocks of about ``block_bytes`` of text there are, and their windows in turn."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter(
         "text IS NOT NULL"
     )
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [
+    return blocks, (
         Phrases([(r["item_id"] or "", r["text"]) for r in items.filter(block == b).collect()], width)
         for b in range(blocks)
-    ]
+    )
 
 
 class _Shard:
@@ -328,14 +329,14 @@ def find_passages(
     ``doc`` holds the columns named in ``keep`` (default: all). ``spans`` are merged ranges of
     word numbers, end exclusive; ``clean_text`` is the text without them, null if nothing goes.
     """
-    blocks = phrase_blocks(benchmark, width, block_bytes)
+    count, blocks = phrase_blocks(benchmark, width, block_bytes)
     keep = docs.columns if keep is None else keep
-    if len(blocks) == 1:
-        return _search(docs, keep, blocks[0])
+    if count == 1:
+        return _search(docs, keep, next(blocks))
     return _merged(docs, keep, blocks)
 
 
-def _merged(docs: DataFrame, keep: list[str], blocks: list[Phrases]) -> DataFrame:
+def _merged(docs: DataFrame, keep: list[str], blocks: Iterator[Phrases]) -> DataFrame:
     """Several blocks: spans of each are gathered per document, merged, and cut out at last."""
     key = F.xxhash64("text")
     keyed = docs.select("doc_id", "text", key.alias("text_key"))
