@@ -230,12 +230,20 @@ def judge_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns. Measures are taken twice, not stored."""
+    """The documents that pass, with their own columns.
+
+    Documents are stored once with their votes: measures cost far more than a copy.
+    """
+    spark = docs.sparkSession
+    path = scratch_path(spark, "quality-votes")
     own = [F.col(f"`{c}`") for c in docs.columns]
     measured = docs.select(F.struct(*own).alias("doc"), measures(F.col("text")).alias("m"))
-    voted = measured.select("doc", "m.*").withColumn("votes", F.expr(votes_sql()))
+    measured.select("doc", "m.*").select(
+        "doc", F.expr(votes_sql()).alias("votes"), F.expr(BASE_FAILED).alias("base_failed")
+    ).write.parquet(path)
+    voted = spark.read.parquet(path)
     scores = pattern_posteriors(_counts(voted))
-    kept = voted.join(F.broadcast(scores), "votes").filter(f"NOT {BASE_FAILED} AND p_good >= 0.5")
+    kept = voted.join(F.broadcast(scores), "votes").filter("NOT base_failed AND p_good >= 0.5")
     return kept.select("doc.*")
 
 
