@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from viewlog.llm import text_arrays as ta
 
 WIDTH = 10
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 SAMPLE_EVERY = 8
 BLOCK_BYTES = 2 << 20
 

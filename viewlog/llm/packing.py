@@ -37,7 +37,7 @@ SEQUENCE = 2048
 END_ID = 1
 # Pieces per bucket of a length, on average; units of text kept by a task.
 BUCKET_PIECES = 5_000
-CACHED_UNITS = 500_000
+CACHED_UNITS = 200_000
 JOINED_UNITS = 500
 
 # White space outside ASCII, and control characters on which definitions of it differ.
