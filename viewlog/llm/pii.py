@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from viewlog.llm import text_arrays as ta
 from viewlog.llm.boosting import BoostedTrees, calibrate
+from viewlog.llm.labelled import thinned
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_ROWS = 4_000
@@ -240,7 +241,8 @@ def in_order(spans: list[Span]) -> list[Span]:
 def fit(docs: DataFrame) -> SpanModel:
     """The model of a bounded sample: the documents with the smallest hashes of their text."""
     rows = docs.select("text").filter(F.col("text").rlike("[0-9@]"))
-    sample = rows.orderBy(F.xxhash64("text"), F.xxhash64(F.lit(5), "text")).limit(SAMPLE_ROWS)
+    few = thinned(F.col("text"), SAMPLE_ROWS, rows.count())
+    sample = rows.filter(few).orderBy(F.xxhash64("text"), F.xxhash64(F.lit(5), "text")).limit(SAMPLE_ROWS)
     return SpanModel().fit([r["text"] for r in sample.collect()])
 
 
