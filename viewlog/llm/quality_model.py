@@ -17,6 +17,8 @@ result. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +30,7 @@ from viewlog.llm.labelled import fold, training_sample
 FOLDS, HELD_OUT_FOLD = 3, 1
 ROWS_PER_CLASS = 8_000
 BUCKETS, DIMS, ONES = 1 << 14, 32, 4
-BLOCKS, SALTS = 32, 64
+BLOCKS = 32
 REACH = 2
 HIDDEN, ROUNDS, RATE, DECAY = 32, 600, 0.01, 1e-3
 
@@ -66,6 +68,7 @@ def context_counts(docs: DataFrame) -> np.ndarray:
     """Word vectors of all buckets, from every document."""
     ta.small_batches(docs.sparkSession)
     size = BUCKETS // BLOCKS * DIMS
+    salts = math.isqrt(docs.rdd.getNumPartitions()) + 1  # a group adds that many blocks at most
 
     def counted(batches):
         dims, signs = _index_vectors()
@@ -81,24 +84,24 @@ def context_counts(docs: DataFrame) -> np.ndarray:
                     for own, other in ((a, b), (b, a)):
                         at = (own[:, None] * DIMS + dims[other]).ravel()
                         matrix += np.bincount(at, signs[other].ravel(), BUCKETS * DIMS).astype(np.int64)
-        blocks = [matrix[i * size : (i + 1) * size].tobytes() for i in range(BLOCKS)]
-        salt = int(abs(matrix.sum())) % SALTS
+        blocks = [_packed(matrix[i * size : (i + 1) * size]) for i in range(BLOCKS)]
+        salt = int(ta.mixed(matrix[:1000].view(np.uint64)).sum() % np.uint64(salts))
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(BLOCKS), pa.int32()), pa.array([salt] * BLOCKS, pa.int32()), pa.array(blocks, pa.binary())],
             ["block", "salt", "counts"],
         )
 
-    def added(batches_key, batches):
+    def added(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
             for raw in batch.column("counts"):
-                total += np.frombuffer(raw.as_buffer(), np.int64)
+                total += _unpacked(raw.as_buffer(), size)
         return total
 
     def add_salted(key, batches):
-        total = added(key, batches)
+        total = added(batches)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"]
+            [pa.array([key[0].as_py()], pa.int32()), pa.array([_packed(total)], pa.binary())], ["block", "counts"]
         )
 
     parts = docs.select("text").mapInArrow(counted, "block int, salt int, counts binary")
@@ -107,12 +110,22 @@ def context_counts(docs: DataFrame) -> np.ndarray:
         parts = parts.groupBy(*keys).applyInArrow(_streamed(add_salted), schema)
     matrix = np.zeros((BLOCKS, size), np.int64)
     for row in parts.collect():  # BLOCKS rows of a fixed size
-        matrix[row["block"]] = np.frombuffer(row["counts"], np.int64)
+        matrix[row["block"]] = _unpacked(row["counts"], size)
     vectors = matrix.reshape(BUCKETS, DIMS).astype(np.float64)
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     return (vectors / np.maximum(norm, 1)).astype(np.float32)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Four bytes a count where they suffice, else eight."""
+    narrow = np.abs(counts).max(initial=0) < 1 << 31
+    return counts.astype(np.int32 if narrow else np.int64).tobytes()
+
+
+def _unpacked(raw, size: int) -> np.ndarray:
+    return np.frombuffer(raw, np.int32 if len(raw) == 4 * size else np.int64).astype(np.int64)
+
+
 def _streamed(add):
     """A grouped function over a table, from one over batches."""
 
