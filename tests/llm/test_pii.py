@@ -84,3 +84,44 @@ def test_odd_rows(spark):
     rows = pii.find_personal_data(df).collect()
     assert sorted(r["redacted"] or "" for r in rows) == ["", "", "x [email] é [ip]", "é" * 9 + " [email]"]
     assert pii.find_personal_data(df.limit(0)).collect() == []
+
+
+def parts(text: str) -> set:
+    return {text[s:e] for s, e in pii.proposals(text)}
+
+
+def test_numbers_side_by_side_are_proposed():
+    for sep in (" ", "  ", " / ", " - "):
+        for numbers in (
+            ["555-123-4567", "555-987-6543"],
+            ["(555) 123-4567", "(555) 987-6543"],
+            ["555-123-4567", "555-987-6543", "555-777-8888", "555-222-3333"],
+            ["+1 (826) 555-4081", "190.137.223.204", "4111.1111.1111.1111", "+44 20 7946 0958"],
+            [f"555-{i:03}-{i:04}" for i in range(300)],
+        ):
+            assert set(numbers) <= parts(f"call {sep.join(numbers)} now"), (sep, numbers[:2])
+    assert {"(555-123-4567", "555-123-4567"} <= parts("(555-123-4567)")
+    assert parts("(call) 555 12 or 1.23 in 2020") == set()
+
+
+def test_model_keeps_neighbours_apart():
+    rng = np.random.default_rng(3)
+    texts = []
+    for i in range(500):
+        number = f"+1 ({rng.integers(100, 999)}) 555-{rng.integers(1000, 9999)}"
+        ip = ".".join(map(str, rng.integers(1, 255, 4)))
+        texts.append(f"words {number} and {ip} then 12{i} or 4.0 and 2019-03-{i % 28 + 1:02} at 10:{i % 50 + 10} of {i} 1{i}")
+    model = pii.SpanModel().fit(texts)
+    for text, want in (
+        ("see 555-123-4567 555-987-6543 there", ["555-123-4567", "555-987-6543"]),
+        ("see (555) 123-4567 (555) 987-6543 there", ["(555) 123-4567", "(555) 987-6543"]),
+        ("see +1 (826) 555-4081 190.137.223.204 there", ["+1 (826) 555-4081"]),
+    ):
+        added = model.added(text, pii.base_spans(text))
+        assert sorted(text[s:e] for k, s, e in added if k == "phone") == sorted(want), text
+
+
+def test_phone_beside_an_address_of_the_given_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = pii.find_personal_data(docs).filter("doc.doc_id = 1377").select("doc.text", "spans").collect()
+    assert "+1 (826) 555-4081" in [r["text"][s["start"] : s["end"]] for r in rows for s in r["spans"]]

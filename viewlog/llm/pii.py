@@ -8,6 +8,7 @@ a base span or each other.
 The trees learn from at most ``SAMPLE_ROWS`` documents that hold a digit or an at-sign: base
 matches are examples of their kind, other proposals are counter-examples, and rewritings of base
 matches (no plus sign, other separators, "(at)" for "@") stand for what the base patterns miss.
+Numbers put side by side teach that a run across two of them, or a part of one, is no number.
 Thresholds come from a part of the sample the trees did not see. Scoring is one pass without a
 shuffle; texts without digits and at-signs are not decoded.
 
@@ -19,6 +20,7 @@ Only the columns asked for are read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,12 @@ from viewlog.llm.labelled import thinned
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_ROWS = 4_000
 MIN_PROBABILITY, CLEAN_QUANTILE = 0.95, 0.999
-MAX_VARIANTS = 2_000
+MAX_VARIANTS, MAX_JOINED = 2_000, 500
+JOINED = (2, 2, 2, 2, 3, 3)
+JOINTS = (" ", " ", "  ", " / ", " - ")
+# An IP address has four digits at least, a card number nineteen at most.
+LEAST_DIGITS, MOST_DIGITS, LEAST_LENGTH = 4, 19, 7
+BLOCK = 4_096
 
 Span = tuple[str, int, int]
 
@@ -49,8 +56,10 @@ _AT = re.compile(r" ?(?:\(at\)|\[at\]|\{at\}) ?|@", re.IGNORECASE)
 _SPELT_DOMAIN = re.compile(
     r"[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63}){0,6}", re.IGNORECASE
 )
-_CHAIN = re.compile(r"[0-9+(][0-9 ().+/-]{5,40}[0-9]")
+_CHAIN = re.compile(r"[0-9]++(?:[ ().+/-]++[0-9]++)*+")
 _GROUP = re.compile(r"[0-9]+")
+# The digit groups beside a span, with nothing but separators between.
+_LEFT, _RIGHT = re.compile(r"([0-9]+)[ ().+/-]*$"), re.compile(r"[ ().+/-]*([0-9]+)")
 _CONTEXT = [
     re.compile(p, re.IGNORECASE)
     for p in (r"phone|call|tel\b|fax|mobile", r"mail|contact", r"card|visa|credit|pay", r"\bip\b|host|server|addr")
@@ -102,18 +111,38 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def _opening(text: str, begin: int) -> int:
+    """Where a number starts whose first digit is at ``begin``: a plus sign and a bracket may open it."""
+    for _ in range(2):
+        before = text[max(0, begin - 2) : begin]
+        if before[-1:] in ("+", "("):
+            begin -= 1
+        elif before in ("+ ", "( "):
+            begin -= 2
+    return begin
+
+
 def proposals(text: str) -> list[tuple[int, int]]:
-    """Spans that may be personal data; they may overlap."""
+    """Spans that may be personal data; they may overlap.
+
+    Of a chain of digit groups every run of groups is proposed whose digits may fit a kind. A
+    bracket that opens a run and is not closed in it is taken in and left out.
+    """
     found = set()
     for match in _CHAIN.finditer(text):
-        start, end = match.span()
-        found.add((start, end))
-        groups = [g.span() for g in _GROUP.finditer(text, start, end)]
-        # Parts of a chain: up to the end from each of its first groups, and without the last ones.
-        for begin, _ in groups[1:3]:
-            found.add((begin, end))
-        for _, stop in groups[-3:-1]:
-            found.add((start, stop))
+        groups = [g.span() for g in _GROUP.finditer(text, *match.span())]
+        for first, (begin, _) in enumerate(groups):
+            opened, digits = _opening(text, begin), 0
+            bare = opened + 1 if text[opened] == "(" else begin
+            # Each group has a digit, so at most MOST_DIGITS runs begin here, however long the chain is.
+            for at, stop in groups[first : first + MOST_DIGITS]:
+                digits += stop - at
+                if digits > MOST_DIGITS:
+                    break
+                if digits >= LEAST_DIGITS and stop - opened >= LEAST_LENGTH:
+                    found.add((opened, stop))
+                    if text.find("(", opened, begin) >= 0 > text.find(")", begin, stop):
+                        found.add((bare, stop))
     for match in _AT.finditer(text):
         start = _local_start(text, match.start(), max(0, match.start() - 64))
         domain = _SPELT_DOMAIN.match(text, match.end())
@@ -125,6 +154,7 @@ def proposals(text: str) -> list[tuple[int, int]]:
 def features(text: str, start: int, end: int) -> list[float]:
     """Format of the span and what stands around it."""
     span, before, after = text[start:end], text[max(0, start - 24) : start], text[end : end + 2]
+    left, right = _LEFT.search(before), _RIGHT.match(text[end : end + 24])
     groups = [g.group() for g in _GROUP.finditer(span)]
     sizes = [len(g) for g in groups] or [0]
     digits = "".join(groups)
@@ -156,10 +186,20 @@ def features(text: str, start: int, end: int) -> list[float]:
         before[-1:].isalnum() or before[-1:] in ("+", ".", "-", "/", "_") and before != "",
         after[:1].isalnum() or after[:1] in ("-", "/", "_", "@") and after != "",
         before[-1:] in ('"', "'", "=", "#"),
+        len(left.group(1)) if left else 0,
+        len(right.group(1)) if right else 0,
         *(p.search(before) is not None for p in _CONTEXT),
     ]
 
 
+def _covered(text: str, spans: list[Span]) -> bytearray:
+    """One for each character inside a span, else zero."""
+    covered = bytearray(len(text))
+    for _, start, end in spans:
+        covered[start:end] = b"\1" * (end - start)
+    return covered
+
+
 def _variants(kind: str, span: str, draw: int) -> str:
     """A way to write the same that the base patterns do not see."""
     digits = _digits(span)
@@ -182,24 +222,48 @@ class SpanModel:
         self.kinds: dict[str, tuple[BoostedTrees, tuple[float, float], float]] = {}
 
     def fit(self, texts: list[str]) -> SpanModel:
-        rows, kinds, fold, made = [], [], [], 0
+        rows, kinds, fold = [], [], []
+        made, beside, draws = Counter(), ([], []), np.random.default_rng(8)
+
+        def learn(text: str, span: tuple[int, int], kind: str, check: bool) -> None:
+            rows.append(features(text, *span))
+            kinds.append(kind)
+            fold.append(check)
+
         for number, text in enumerate(texts):
-            base = {(s, e): k for k, s, e in base_spans(text)}
+            spans, check = base_spans(text), number % 4 == 0
+            base, covered = {(s, e): k for k, s, e in spans}, _covered(text, spans)
             for start, end in sorted(set(proposals(text)) | set(base)):
                 kind = base.get((start, end), "")
-                inside = any(s < end and start < e for s, e in base) and not kind
-                if inside:  # neither an example nor a counter-example
+                if not kind and covered.find(1, start, end) >= 0:  # neither an example nor a counter-example
+                    continue
+                learn(text, (start, end), kind, check)
+                if not kind or sum(made.values()) >= MAX_VARIANTS:
+                    continue
+                before, after = text[max(0, start - 24) : start], text[end : end + 2]
+                other = _variants(kind, text[start:end], made[kind])
+                learn(before + other + after, (len(before), len(before) + len(other)), kind, check)
+                made[kind] += 1
+                if kind == "email" or sum(map(len, beside)) >= MAX_JOINED:
                     continue
-                rows.append(features(text, start, end))
-                kinds.append(kind)
-                fold.append(number % 4 == 0)
-                if kind and made < MAX_VARIANTS:
-                    other = _variants(kind, text[start:end], made)
-                    changed = text[max(0, start - 24) : start] + other
-                    rows.append(features(changed + text[end : end + 2], len(changed) - len(other), len(changed)))
-                    kinds.append(kind)
-                    fold.append(number % 4 == 0)
-                    made += 1
+                # Numbers side by side: each is an example, every other run of their groups is none.
+                line = beside[check]
+                line.append((kind, text[start:end]))
+                # A plain number has fewer digits than any kind asks for.
+                plain = str(draws.integers(10**6, 10**8))
+                learn(before + plain + after, (len(before), len(before) + len(plain)), "", check)
+                for size in JOINED:
+                    own, both, whole = int(draws.integers(size)), before, {}
+                    for place in range(size):
+                        which, written = line[-1 if place == own else int(draws.integers(len(line)))]
+                        if draws.integers(4):
+                            written = _variants(which, written, int(draws.integers(8)))
+                        both += JOINTS[int(draws.integers(len(JOINTS)))] if place else ""
+                        whole[len(both), len(both) + len(written)] = which
+                        both += written
+                    for span in sorted(set(proposals(both)) | set(whole)):
+                        if span[0] >= len(before):
+                            learn(both + after, span, whole.get(span, ""), check)
         if not rows:
             return self
         x, check = np.array(rows, float), np.array(fold)
@@ -217,19 +281,20 @@ class SpanModel:
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
         """Further spans of the text, best first, apart from base spans and each other."""
-        taken = [(s, e) for _, s, e in base]
-        free = [p for p in proposals(text) if not any(s < p[1] and p[0] < e for s, e in taken)]
-        if not free or not self.kinds:
-            return []
-        x = np.array([features(text, *p) for p in free], float)
+        taken = _covered(text, base)
+        free = [p for p in proposals(text) if taken.find(1, *p) < 0]
         ranked = []
-        for kind, (trees, (slope, shift), limit) in self.kinds.items():
-            p = 1 / (1 + np.exp(-np.clip(slope * trees.score(x) + shift, -30, 30)))
-            ranked += [(-p[i], free[i], kind) for i in np.flatnonzero(p > limit)]
+        for at in range(0, len(free) if self.kinds else 0, BLOCK):
+            block = free[at : at + BLOCK]
+            x = np.array([features(text, *p) for p in block], float)
+            for kind, (trees, (slope, shift), limit) in self.kinds.items():
+                logit = slope * trees.score(x) + shift
+                p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+                ranked += [(-logit[i], block[i], kind) for i in np.flatnonzero(p > limit)]
         chosen: list[Span] = []
         for _, (start, end), kind in sorted(ranked):
-            if not any(s < end and start < e for s, e in taken):
-                taken.append((start, end))
+            if taken.find(1, start, end) < 0:
+                taken[start:end] = b"\1" * (end - start)
                 chosen.append((kind, start, end))
         return chosen
 
