@@ -125,3 +125,14 @@ def test_phone_beside_an_address_of_the_given_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     rows = pii.find_personal_data(docs).filter("doc.doc_id = 1377").select("doc.text", "spans").collect()
     assert "+1 (826) 555-4081" in [r["text"][s["start"] : s["end"]] for r in rows for s in r["spans"]]
+
+
+def test_rare_kinds_are_learnt_from_distinct_texts(spark):
+    rows = [f"number {i} of 1{i} and 2019-03-{i % 28 + 1:02}" for i in range(20_000)]
+    rows += [f"write {i} to ann.{i}@mail{i % 7}.example.com now" for i in range(12)]
+    rows += ["one text 1234567 of many copies"] * 3_000
+    docs = spark.createDataFrame([(r,) for r in rows], "text string").repartition(4)
+    texts = pii.sample(docs)
+    assert len(texts) == len(set(texts)) <= pii.KIND_ROWS + pii.CLEAN_ROWS
+    assert sum("@" in t for t in texts) == 12
+    assert "email" in pii.SpanModel().fit(texts).kinds

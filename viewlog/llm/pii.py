@@ -5,10 +5,10 @@ overlap (number chains, addresses spelt with "(at)"), boosted trees score each p
 kind from its format and context, and a calibrated threshold decides. Chosen spans never touch
 a base span or each other.
 
-The trees learn from at most ``SAMPLE_ROWS`` documents that hold a digit or an at-sign: base
-matches are examples of their kind, other proposals are counter-examples, and rewritings of base
-matches (no plus sign, other separators, "(at)" for "@") stand for what the base patterns miss.
-Numbers put side by side teach that a run across two of them, or a part of one, is no number.
+The trees learn from a sample by kind: at most ``KIND_ROWS`` distinct texts with a base match of
+each kind and ``CLEAN_ROWS`` with a digit or an at-sign and no match. Base matches are examples of
+their kind, other proposals are counter-examples, and rewritings of base matches (no plus sign,
+other separators, "(at)" for "@") stand for what the base patterns miss. Numbers put side by side teach that a run across two of them, or a part of one, is no number.
 Thresholds come from a part of the sample the trees did not see. Scoring is one pass without a
 shuffle; texts without digits and at-signs are not decoded.
 
@@ -31,9 +31,10 @@ from pyspark.sql import types as T
 from viewlog.llm import text_arrays as ta
 from viewlog.llm.boosting import BoostedTrees, calibrate
 from viewlog.llm.labelled import thinned
+from viewlog.session import scratch_path
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_ROWS = 4_000
+KIND_ROWS, CLEAN_ROWS = 1_000, 2_000
 MIN_PROBABILITY, CLEAN_QUANTILE = 0.95, 0.999
 MAX_VARIANTS, MAX_JOINED = 2_000, 500
 JOINED = (2, 2, 2, 2, 3, 3)
@@ -303,12 +304,53 @@ def in_order(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
+def _telling_rows(column: pa.Array):
+    """(row, text) of the rows that can hold a span at all."""
+    data, offsets = ta.strings(column)
+    telling = ta.byte_class((0x30, 0x39), (0x40, 0x40))
+    telling[[ord("("), ord("["), ord("{")]] = True
+    marks = np.concatenate([[0], np.cumsum(telling[data])])
+    for row in np.flatnonzero(marks[offsets[1:]] > marks[offsets[:-1]]).tolist():
+        yield row, data[offsets[row] : offsets[row + 1]].tobytes().decode("utf-8", "replace")
+
+
+def sample(docs: DataFrame) -> list[str]:
+    """Distinct texts, those with the smallest hashes: ``KIND_ROWS`` with a base match of each kind
+    and ``CLEAN_ROWS`` with a digit or an at-sign and no base match."""
+    spark = docs.sparkSession
+    ta.small_batches(spark)
+    rows = docs.select("text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(5), "text").alias("g"))
+    rows = rows.filter(F.col("text").rlike("[0-9@]"))
+
+    def marked(batches):
+        for batch in batches:
+            kinds = np.zeros(batch.num_rows, np.int32)
+            for row, text in _telling_rows(batch.column("text")):
+                for kind in {k for k, _, _ in base_spans(text)}:
+                    kinds[row] |= 1 << KINDS.index(kind)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("h"), batch.column("g"), pa.array(kinds)], ["h", "g", "kinds"]
+            )
+
+    path = scratch_path(spark, "pii-kinds")
+    found = rows.mapInArrow(marked, "h bigint, g bigint, kinds int")
+    found.groupBy("h", "g").agg(F.max("kinds").alias("kinds")).write.parquet(path)
+    stored = spark.read.parquet(path)
+    parts = [(F.col("kinds").bitwiseAND(F.lit(1 << k)) != 0, KIND_ROWS) for k in range(len(KINDS))]
+    parts.append((F.col("kinds") == 0, CLEAN_ROWS))
+    totals = stored.agg(*(F.count_if(has).alias(f"n{i}") for i, (has, _) in enumerate(parts))).first()
+    picked = set()
+    for (has, wanted), total in zip(parts, totals, strict=True):
+        few = stored.filter(has & thinned(F.col("h"), wanted, total)).select("h", "g")
+        picked |= {tuple(r) for r in few.orderBy("h", "g").limit(wanted).collect()}
+    keys = spark.createDataFrame(sorted(picked), "h bigint, g bigint")
+    texts = rows.join(F.broadcast(keys), ["h", "g"]).groupBy("h", "g").agg(F.first("text").alias("text"))
+    return [r["text"] for r in sorted(texts.collect(), key=lambda r: (r["h"], r["g"]))]
+
+
 def fit(docs: DataFrame) -> SpanModel:
-    """The model of a bounded sample: the documents with the smallest hashes of their text."""
-    rows = docs.select("text").filter(F.col("text").rlike("[0-9@]"))
-    few = thinned(F.col("text"), SAMPLE_ROWS, rows.count())
-    sample = rows.filter(few).orderBy(F.xxhash64("text"), F.xxhash64(F.lit(5), "text")).limit(SAMPLE_ROWS)
-    return SpanModel().fit([r["text"] for r in sample.collect()])
+    """The model of a bounded sample."""
+    return SpanModel().fit(sample(docs))
 
 
 SPAN = T.StructType(
@@ -334,19 +376,13 @@ def find_personal_data(docs: DataFrame, keep: list[str] | None = None) -> DataFr
         + [T.StructField("redacted", T.StringType())]
     )
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    telling = ta.byte_class((0x30, 0x39), (0x40, 0x40))
-    telling[[ord("("), ord("["), ord("{")]] = True
 
     def found(batches):
         model = ta.received(sent)
         for batch in batches:
-            data, offsets = ta.strings(batch.column("text"))
-            marks = np.concatenate([[0], np.cumsum(telling[data])])
-            with_marks = np.flatnonzero(marks[offsets[1:]] > marks[offsets[:-1]])
             base: list[list] = [[] for _ in range(batch.num_rows)]
             every, redacted = [[] for _ in base], [None] * len(base)
-            for row in with_marks.tolist():
-                text = data[offsets[row] : offsets[row + 1]].tobytes().decode("utf-8", "replace")
+            for row, text in _telling_rows(batch.column("text")):
                 base[row] = in_order(base_spans(text))
                 every[row] = in_order(base[row] + model.added(text, base[row]))
                 if every[row]:
