@@ -71,3 +71,10 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "p"), (1, "", "p"), (None, f"<main><p>{LONG}</p></main>", "p")], "page_id long, html string, page string")
     assert sorted(r["main_text"] for r in html_text.extract_text(df).collect()) == ["", "", LONG]
     assert html_text.extract_text(df.limit(0)).collect() == []
+
+
+def test_all_siblings_of_a_tag_count():
+    blocks = html_text.parse("<body><div>" + "<section>s</section>" * 50 + "<p>text</p>" * 200 + "</div></body>")
+    alike = html_text.block_features(blocks)[:, 4]
+    assert {a for b, a in zip(blocks, alike, strict=True) if b.tag == "p"} == {200}
+    assert {a for b, a in zip(blocks, alike, strict=True) if b.tag == "section"} == {50}

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -243,6 +244,7 @@ def block_features(blocks: list[Block]) -> np.ndarray:
     _sum_up(blocks)
     total = max(1, blocks[0].chars)
     rows, above, before = [], {}, 0
+    tags: dict[int, Counter] = {}  # of the children of a block
     groups = len(WORD_GROUPS)
     for b in blocks:
         parent = b.parent
@@ -251,7 +253,9 @@ def block_features(blocks: list[Block]) -> np.ndarray:
         above[id(b)] = (up_tags | (1 << tag if tag >= 0 else 0), up_words | b.groups)
         own = sum(len(t) for _, t in b.runs)
         siblings = parent.children if parent else [b]
-        alike = sum(1 for s in siblings[:50] if s.tag == b.tag)
+        if id(parent) not in tags:
+            tags[id(parent)] = Counter(s.tag for s in siblings)
+        alike = tags[id(parent)][b.tag]
         near = siblings[b.order - 1].chars if b.order else 0
         after = siblings[b.order + 1].chars if b.order + 1 < len(siblings) else 0
         rows.append(
