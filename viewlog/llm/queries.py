@@ -8,6 +8,7 @@ from viewlog.llm import (
     decontaminate,
     html_text,
     line_dedup,
+    merkle,
     near_dedup,
     packing,
     pii,
@@ -111,3 +112,8 @@ def op4(spark, sf_dir):
         F.col("main_text").alias("text"),
         F.length("main_text").cast("bigint").alias("n_chars"),
     )
+
+
+@query("op13_merkle_manifest", merkle.ORACLE_SQL)
+def op13(spark, sf_dir):
+    return merkle.Manifest(table(spark, sf_dir, "documents")).verified()
