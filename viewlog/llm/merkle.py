@@ -423,7 +423,7 @@ folded AS (
     l.tampered AS node, '' AS siblings
   FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source
   UNION ALL
-  SELECT f.row, tree, place, height, f.level + 1, number // 16,
+  SELECT f.row, f.tree, place, height, f.level + 1, number // 16,
     sha256(array_to_string(digests[1:number % 16], '') || node || array_to_string(digests[number % 16 + 2:], '')),
     siblings || array_to_string(digests[1:number % 16], '') || array_to_string(digests[number % 16 + 2:], '')
   FROM (
