@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from viewlog.llm import (
+    conversations,
     decontaminate,
     html_text,
     line_dedup,
@@ -117,3 +118,8 @@ def op4(spark, sf_dir):
 @query("op13_merkle_manifest", merkle.ORACLE_SQL)
 def op13(spark, sf_dir):
     return merkle.Manifest(table(spark, sf_dir, "documents")).verified()
+
+
+@query("op11_conversation_repair", conversations.ORACLE_SQL)
+def op11(spark, sf_dir):
+    return conversations.repair(table(spark, sf_dir, "conversations"))
