@@ -362,8 +362,9 @@ def _repair_long(rows: DataFrame, ids: DataFrame) -> DataFrame:
     result = result.join(digests, F.col("conv_id").eqNullSafe(F.col("own_id")), "left")
     nothing = hashlib.sha256(b"").hexdigest()
     result = ids.join(result.drop("c", "own_id"), F.col("long_id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
-    result = result.withColumnRenamed("long_id", "conv_id").fillna({"audit": "", "repaired_sha256": nothing}).fillna(0)
-    return result.select(*_arrow_schema(RESULT).names)
+    result = result.withColumnRenamed("long_id", "conv_id").fillna({"audit": "", "repaired_sha256": nothing})
+    names = _arrow_schema(RESULT).names
+    return result.fillna(0, [n for n in names if n != "conv_id"]).select(*names)
 
 
 def _added(cost: int | str, letters: str, best: str) -> str:
