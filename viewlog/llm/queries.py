@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from viewlog.llm import (
     conversations,
     decontaminate,
+    hilbert_search,
     html_text,
     line_dedup,
     merkle,
@@ -123,3 +124,8 @@ def op13(spark, sf_dir):
 @query("op11_conversation_repair", conversations.ORACLE_SQL)
 def op11(spark, sf_dir):
     return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_nearest_neighbours")
+def op12(spark, sf_dir):
+    return hilbert_search.Index(table(spark, sf_dir, "embeddings")).search()
