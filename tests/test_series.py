@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from viewlog.plans import driver_views, reports
 from viewlog.plans.driver_views import table
 from viewlog.session import scratch_path
-from viewlog.streaming import intervals
+from viewlog.streaming import intervals, ledger, timing_states
+from viewlog.streaming.load_stream import LoadStream
 
 START = datetime(2024, 1, 1)
 SAMPLE = "mapper long, tag string, start timestamp, elapsed_ms double, error boolean"
@@ -180,3 +181,84 @@ def test_speedup_lines(spark):
     )
     got = {r["query"]: tuple(r)[1:] for r in reports.speedup_report(runs, "a", "b").collect()}
     assert got == {"q1": (10, 3, 3.33), "q2": (7, 0, None), "Total": (17, 3, 5.66)}
+
+
+def test_merged_states_equal_statistics_of_samples(spark):
+    """Also for states without a timed call, and values far from zero."""
+    calls = [(1, "get", at % 50, 1e9 + at * 0.5, at % 7 == 0) for at in range(200)] + [(1, "list", 3, 5.0, True)]
+    df = samples(spark, *calls)
+    path = scratch_path(spark, "states")
+    for part in range(4):
+        timing_states.append_states(df.filter(F.pmod(F.hash("elapsed_ms"), F.lit(4)) == part), path)
+    for deviation in (False, True):
+        want = {(r.minute, r.tag): r for r in intervals.interval_stats(df, 30, deviation).collect()}
+        merged = timing_states.merge_states(spark.read.parquet(path), 30)
+        got = timing_states.stats_of(merged, deviation).collect()
+        assert len(got) == len(want) == 3
+        for r in got:
+            same = want[r.minute, r.tag]
+            assert (r["count"], r["min"], r["max"], r.errors) == (same["count"], same["min"], same["max"], same.errors)
+            for found, exact, digits in ((r.mean, same.mean, 1e-12), (r.stddev, same.stddev, 1e-6)):
+                assert found == (None if exact is None else pytest.approx(exact, rel=digits))
+
+
+def test_merging_states_shuffles_once(spark, plan):
+    states = timing_states.timing_states(samples(spark, (1, "get", 0, 1.0, False)))
+    path = scratch_path(spark, "states")
+    states.write.parquet(path)
+    assert plan(timing_states.merge_states(spark.read.parquet(path), 60)).count("Exchange") == 1
+
+
+JOINING = SAMPLE + ", joins boolean"
+
+
+def joining(spark, *calls):
+    rows = [(m, t, None if at is None else START + timedelta(minutes=at), ms, bad, j) for m, t, at, ms, bad, j in calls]
+    return spark.createDataFrame(rows, JOINING)
+
+
+def test_load_stream_repeats_a_batch_without_a_trace(spark):
+    """A batch that runs twice, late rows, an empty batch, rows without a start, a null client."""
+    stream = LoadStream(spark, scratch_path(spark, "load"), 5, 5)
+    first = joining(spark, (1, "get", 0, 1.0, False, True), (1, "get", 12, 3.0, False, True), (None, "get", 1, 2.0, True, False))
+    second = joining(spark, (1, "get", 2, 9.0, False, True), (1, "get", 21, 5.0, False, False), (1, "get", None, 5.0, False, True))
+    for batch, rows in [(0, first), (0, first), (1, first.limit(0)), (2, second), (2, second)]:
+        stream.advance(rows, batch)
+    books = [tuple(r)[:5] for r in stream.ledger().orderBy("batch").collect()]
+    assert books == [(0, 3, 2, 0, 1), (1, 0, 0, 0, 1), (2, 2, 1, 1, 1)]
+    assert sum(b[1] for b in books) == sum(b[2] + b[3] for b in books) + books[-1][4]
+    base = first_minute()
+    closed = {(r.mapper, r.minute - base): r.threads for r in stream.client_threads().collect()}
+    assert closed == {(1, 0): 1, (None, 0): 0, (1, 10): 2}
+    everything = {(r.mapper, r.minute - base): r.threads for r in stream.client_threads(True).collect()}
+    assert everything == {**closed, (1, 20): 2}
+    stats = {r.minute - base: (r["count"], r.mean, r.errors) for r in stream.statistics(True).collect()}
+    assert stats == {0: (1, 1.0, 1), 10: (1, 3.0, 0), 20: (1, 5.0, 0)}
+
+
+def test_load_stream_needs_the_state_before(spark):
+    stream = LoadStream(spark, scratch_path(spark, "load"), 5, 5)
+    with pytest.raises(RuntimeError, match="state of batch 0"):
+        stream.advance(joining(spark, (1, "get", 0, 1.0, False, True)), 1)
+
+
+def test_ledger_outlives_the_query(spark):
+    """Two starts of one stream; each remembers two batches, the ledger all of them."""
+    root, name = scratch_path(spark, "ledger"), "ledger-test"
+    session = intervals.stream_session(spark, 1)
+    session.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    times = [[0, 30], [1, 60], [90], [31, 95, 100]]
+    for start in range(2):
+        for part in times[start * 2 : start * 2 + 2]:
+            rows = samples(spark, *[(1, "get", at, 1.0, False) for at in part])
+            rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = session.readStream.schema(SAMPLE).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        books = ledger.BatchLedger(session, f"{root}/state", name)
+        query = books.follow(
+            lambda stream=stream: intervals.stream_interval_stats(stream, 5, f"{root}/out", f"{root}/state", "0 seconds", name)
+        )
+    stored = ledger.records(spark, f"{root}/state")
+    assert stored.count() > 2 >= len(query.recentProgress)
+    got = ledger.account(spark, spark.read.parquet(f"{root}/out"), f"{root}/state", f"{root}/state").first()
+    assert (got.read, got.emitted + got.open + got.dropped, got.open) == (8, 8, 1)
+    assert got.dropped == got.dropped_rows > 0

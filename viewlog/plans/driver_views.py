@@ -84,6 +84,13 @@ FLAT_LINKS_SQL = """flat AS (
         FROM page_views))"""
 
 
+def dated_page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page views with the day of the event, ``day``."""
+    days = table(spark, sf_dir, "events").select(F.col("event_id").alias("__id"), F.to_date("ts").alias("day"))
+    views = page_views(spark, sf_dir)
+    return views.join(days, views["event_id"] == days["__id"]).drop("__id")
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as users; those in debt have no name."""
     s = table(spark, sf_dir, "supplier")

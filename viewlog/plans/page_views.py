@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewlog.functions.scalars import bincond, map_lookup
-from viewlog.operators import aggregates, joins, ordering, sets, shaping
+from viewlog.operators import aggregates, bitmaps, joins, ordering, sets, shaping
+from viewlog.operators.exact_sum import exact_sum
 from viewlog.schema import NOON_SECOND
 
 
@@ -174,6 +175,27 @@ def l15_distinct_values_per_user(page_views: DataFrame) -> DataFrame:
     )
 
 
+def store_daily_bitmaps(page_views: DataFrame, path: str) -> None:
+    """The distinct actions and times of each user and ``day``, for L4 and L15 over any days."""
+    rows = page_views.select("user", "action", "timespent", "day")
+    bitmaps.append_bitmaps(rows, path, ["user"], ["action", "timespent"], F.col("day"))
+
+
+def l4_from_bitmaps(spark: SparkSession, path: str, days: Column | None = None) -> DataFrame:
+    return bitmaps.stored_counts(spark, path, ["user"], {"action": "n_actions"}, days)
+
+
+def l15_counts_from_bitmaps(spark: SparkSession, path: str, days: Column | None = None) -> DataFrame:
+    """The counts of integer values of L15; its sums of distinct values need the values."""
+    names = {"action": "n_actions", "timespent": "n_timespent"}
+    return bitmaps.stored_counts(spark, path, ["user"], names, days)
+
+
+def l16_exact_revenue(page_views: DataFrame) -> DataFrame:
+    """Revenue per user as the exact sum rounded once: the same bits for any order and partitioning."""
+    return exact_sum(page_views, ["user"], "estimated_revenue", "revenue")
+
+
 def l16_revenue_per_user(page_views: DataFrame) -> DataFrame:
     """Revenue per user. A sum does not depend on the order asked for, so nothing is sorted."""
     return page_views.groupBy("user").agg(F.sum("estimated_revenue").alias("revenue"))

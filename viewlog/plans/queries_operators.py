@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from viewlog.functions import scalars, text
-from viewlog.operators import aggregates, joins, ordering, sets, shaping
+from viewlog.operators import aggregates, bitmaps, joins, ordering, sets, shaping
+from viewlog.operators.exact_sum import exact_sum, exact_sum_sql
 from viewlog.plans import driver_views as views
 from viewlog.plans.driver_views import (
     FLAT_LINKS_SQL,
@@ -387,13 +388,28 @@ def conditional_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ordered_sum",
-    """SELECT c_nationkey, round(sum(c_acctbal ORDER BY c_acctbal), 4) AS balance FROM customer
-    GROUP BY c_nationkey""",
+    f"""SELECT c_nationkey, {exact_sum_sql("c_acctbal")} AS balance FROM customer GROUP BY c_nationkey""",
 )
 def ordered_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer")
-    sums = customers.groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("balance"))
-    return rounded(sums, 4, "balance")
+    """The same bits in any order, so no order has to be made; compared without rounding."""
+    return exact_sum(table(spark, sf_dir, "customer"), ["c_nationkey"], "c_acctbal", "balance")
+
+
+@query(
+    "bitmap_distinct",
+    """SELECT l_suppkey, count(DISTINCT l_partkey) AS n_parts, count(DISTINCT l_linenumber) AS n_numbers
+    FROM lineitem GROUP BY l_suppkey""",
+)
+def bitmap_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct parts and line numbers per supplier, from bitmaps stored by return flag."""
+    path = scratch_path(spark, "bitmaps")
+    lines = table(spark, sf_dir, "lineitem")
+    bitmaps.append_bitmaps(
+        lines, path, ["l_suppkey"], ["l_partkey", "l_linenumber"], F.col("l_returnflag"), "l_returnflag"
+    )
+    return bitmaps.stored_counts(
+        spark, path, ["l_suppkey"], {"l_partkey": "n_parts", "l_linenumber": "n_numbers"}
+    )
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewlog.functions.text import encode_bag, encode_map
+from viewlog.operators.exact_sum import exact_sum_sql
 from viewlog.operators.ordering import read_positions
 from viewlog.plans import driver_views as views
 from viewlog.plans import page_views as plans
@@ -252,6 +253,41 @@ def l16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(plans.l16_revenue_per_user(views.page_views(spark, sf_dir)), 4, "revenue")
 
 
+@query(
+    "L16_exact",
+    f'SELECT "user", {exact_sum_sql("estimated_revenue")} AS revenue FROM page_views GROUP BY "user"',
+    (PAGE_VIEWS_SQL,),
+)
+def l16_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compared to the last bit, without rounding."""
+    return plans.l16_exact_revenue(views.page_views(spark, sf_dir))
+
+
+def daily_bitmaps(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, "daily-bitmaps")
+    plans.store_daily_bitmaps(views.dated_page_views(spark, sf_dir), path)
+    return path
+
+
+@query(
+    "L4_bitmaps",
+    'SELECT "user", count(DISTINCT action) AS n_actions FROM page_views GROUP BY "user"',
+    (PAGE_VIEWS_SQL,),
+)
+def l4_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.l4_from_bitmaps(spark, daily_bitmaps(spark, sf_dir))
+
+
+@query(
+    "L15_bitmaps",
+    """SELECT "user", count(DISTINCT action) AS n_actions, count(DISTINCT timespent) AS n_timespent
+    FROM page_views GROUP BY "user" """,
+    (PAGE_VIEWS_SQL,),
+)
+def l15_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.l15_counts_from_bitmaps(spark, daily_bitmaps(spark, sf_dir))
+
+
 @query(
     "L17",
     """SELECT CAST(sum(timespent) AS BIGINT) AS sum_timespent,

@@ -84,7 +84,8 @@ def stream_interval_stats(
     """Append closed intervals of a sample stream to parquet files, once over what is there.
 
     Samples more than ``lateness`` behind the latest one are dropped when their interval is
-    closed; :func:`dropped_late` counts them. Clients are not in step: choose it larger than
+    closed; :func:`viewlog.streaming.ledger.account` counts them over the stream's whole life and
+    :func:`dropped_late` over its last batches. Clients are not in step: choose it larger than
     their largest difference.
 
     An interval is written when the watermark passes its end. State holds one row per open
