@@ -10,6 +10,7 @@ from viewlog.plans import driver_views
 from viewlog.schema import PAGE_VIEWS
 from viewlog.session import scratch_path
 from viewlog.sources import delimited, routing
+from viewlog.sources.catalog import write_finished
 
 A, B, C, D = text.FIELD_SEP, text.BAG_SEP, text.PAIR_SEP, text.KEY_SEP
 
@@ -123,6 +124,40 @@ def test_routes_may_overlap_and_store_chosen_columns(spark):
     assert delimited.read_lines(spark, f"{root}/all").count() == 3
 
 
+def test_routes_are_written_in_one_pass(spark, plan):
+    """One scan, nothing cached, and a line per route a row meets."""
+    path = scratch_path(spark, "test-one-pass")
+    spark.range(100).write.parquet(path)
+    df = spark.read.parquet(path)
+    routes = {"low": (F.col("id") < 30, ["id"]), "even": (F.col("id") % 2 == 0, ["id"]), "none": (F.col("id") < 0, ["id"])}
+    lines = routing.routed_lines(df, routes)
+    assert plan(lines).count("FileScan") == 1
+    assert not any(word in plan(lines) for word in ("InMemoryTableScan", "Exchange", "Union"))
+    assert lines.count() == 80
+
+
+def test_modes_of_routes(spark):
+    root = scratch_path(spark, "test-modes")
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "route string, v int")
+    routes = {f"{root}/x/{r}": (F.col("route") == r, ["v"]) for r in "abz"}
+
+    def stored(r):
+        return sorted(x[0] for x in delimited.read_lines(spark, f"{root}/x/{r}").collect())
+
+    routing.route_write(df, routes)
+    routing.route_write(df, routes, mode="append")
+    assert (stored("a"), stored("b"), stored("z")) == (["1", "1"], ["2", "2"], [])
+    routing.route_write(df.filter("v = 2"), routes, mode="overwrite")
+    assert (stored("a"), stored("b")) == ([], ["2"])
+    assert all(write_finished(spark, path) for path in routes)
+    bad = spark.createDataFrame([("a", "x\ty")], "route string, v string")
+    with pytest.raises(Exception, match="separator or line break"):
+        routing.route_write(bad, {f"{root}/x/b": (F.lit(True), ["v"])}, mode="overwrite")
+    assert stored("b") == ["2"]
+    with pytest.raises(ValueError, match="mode"):
+        routing.route_write(df, routes, mode="ignore")
+
+
 def test_reading_some_columns_splits_no_further(spark, plan):
     path = scratch_path(spark, "test-some")
     df = spark.createDataFrame([("a", 1, None, "z"), (None, 2, "y", "z")], "a string, b int, c string, d string")

@@ -24,7 +24,7 @@ WIDE = "decimal(38,0)"
 def _parts(value: Column) -> tuple[Column, Column, Column]:
     """Sign, integer below 2^53, and the power of its last bit, of a finite double other than 0."""
     size = F.abs(value)
-    guess = F.floor(F.log2(size)).cast("int")
+    guess = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1074)), F.lit(1023)).cast("int")
     scaled = size / F.pow(F.lit(2.0), guess)
     # The logarithm may be off by one next to a power of two.
     power = guess + F.when(scaled >= 2, 1).when(scaled < 1, -1).otherwise(0)

@@ -51,11 +51,16 @@ def write_delimited(
     The layout has no escapes: a value that holds the separator or a line break would shift or
     split its row when read, so it fails the write.
     """
-    nested = [f.name for f in df.schema if isinstance(f.dataType, (T.MapType, T.ArrayType))]
+    df.select(as_line(df, df.columns, sep).alias("line")).write.mode(mode).text(path)
+
+
+def as_line(df: DataFrame, columns: list[str], sep: str) -> Column:
+    """A row's line in the layout of :func:`write_delimited`, of the named columns."""
+    nested = [c for c in columns if isinstance(df.schema[c].dataType, (T.MapType, T.ArrayType))]
     if nested:
         raise ValueError(f"encode map and bag columns before writing text: {nested}")
-    fields = [F.coalesce(_plain(df, c, [sep, "\n", "\r"]), F.lit("")) for c in df.columns]
-    df.select(F.concat_ws(sep, *fields).alias("line")).write.mode(mode).text(path)
+    fields = [F.coalesce(_plain(df, c, [sep, "\n", "\r"]), F.lit("")) for c in columns]
+    return F.concat_ws(sep, *fields)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
