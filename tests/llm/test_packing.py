@@ -19,9 +19,7 @@ from viewlog.llm.queries import QUERIES, tokenizer_path
 def tokenizer():
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(tokenizer_path())
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def check(rows, texts, tokenizer):
@@ -86,6 +84,20 @@ def test_units_give_the_ids_of_whole_texts(tokenizer):
         assert ids[low:high].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_have_their_ids(tokenizer):
+    """Inside, at the edges, next to letters and signs, broken, and across the end of a text."""
+    rng = np.random.default_rng(7)
+    parts = ["<|endoftext|>", "<|endof", "text|>", "<|", "|>", "a", " ", ".", "\n", "b c", "é", "\u00a0", "'s"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 9))) for _ in range(3000)]
+    texts += ["end of text <|endoftext|> next", "x <|endof", "text|> y", "<|endoftext|>", "", "<|endoftext|><|endoftext|>"]
+    data, offsets = ta.strings(pa.array(texts))
+    ids, counts = packing.UnitTokenizer(tokenizer_path()).ids(data, offsets)
+    ends = np.cumsum(counts)
+    for text, low, high in zip(texts, ends - counts, ends, strict=True):
+        assert ids[low:high].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert 50256 in ids
+
+
 def test_repeated_rows_and_null_ids(spark, tokenizer):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (None, None)], "doc_id long, text string")
     rows = packing.pack_documents(df, tokenizer_path()).collect()

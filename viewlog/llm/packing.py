@@ -24,6 +24,7 @@ import os
 import re
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,8 @@ class UnitTokenizer:
     A text is cut where the vocabulary's pre-tokeniser always cuts: before a single space, before
     and after a single newline, and between a letter or digit and a sign other than an apostrophe
     (all ASCII). The ids of the units, in order, are then the ids of the text. Texts with other
-    white space go in whole.
+    white space go in whole, as do those that hold an added token of the vocabulary, which is
+    looked for before any cut and may lie across one.
     """
 
     def __init__(self, path: str):
@@ -67,7 +69,7 @@ class UnitTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.known: dict[int, np.ndarray] = {}
 
@@ -75,7 +77,11 @@ class UnitTokenizer:
         """Ids of each unit. Units without inner white space are encoded many at a time, joined
         by newlines, which are tokens of their own there."""
         found: list = [None] * len(units)
-        plain = [i for i, u in enumerate(units) if (u[1:] if u[0] == " " else u).split() == [u.lstrip(" ")]]
+        plain = [
+            i
+            for i, u in enumerate(units)
+            if (u[1:] if u[0] == " " else u).split() == [u.lstrip(" ")] and not any(t in u for t in self.added)
+        ]
         if len(self.newline) == 1:
             for at in range(0, len(plain), JOINED_UNITS):
                 some = plain[at : at + JOINED_UNITS]
@@ -97,7 +103,7 @@ class UnitTokenizer:
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of each text's ids."""
-        starts, ends, first = _units(data, offsets)
+        starts, ends, first = _units(data, offsets, self.added)
         hashes = ta.span_hashes(data, starts, ends)
         distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > CACHED_UNITS:
@@ -118,7 +124,23 @@ class UnitTokenizer:
         return ids, np.diff(sums[first])
 
 
-def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _holding(data: np.ndarray, offsets: np.ndarray, contents: list[str]) -> Iterator[int]:
+    """Texts in which one of the contents lies; one across the end of a text is none."""
+    raw = data.tobytes()
+    for content in contents:
+        wanted = content.encode()
+        at = raw.find(wanted)
+        while at >= 0:
+            row = int(np.searchsorted(offsets, at, "right")) - 1
+            inside = at + len(wanted) <= offsets[row + 1]
+            if inside:
+                yield row
+            at = raw.find(wanted, int(offsets[row + 1]) if inside else at + 1)
+
+
+def _units(
+    data: np.ndarray, offsets: np.ndarray, added: list[str] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of the units of all texts; units of text i are first[i] .. first[i+1]."""
     if not len(data):
         none = np.zeros(0, np.int64)
@@ -129,15 +151,15 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     cut[1:-1] = lone & ((data[1:-1] == 0x20) | (data[1:-1] == 0x0A))
     cut[2:] |= lone & (data[1:-1] == 0x0A)
     cut[1:] |= _LETTER[data[:-1]] & _SIGN[data[1:]]
-    whole = np.zeros(len(offsets) - 1, bool)
     # Bytes that begin a space outside ASCII, or a separator control character.
     odd = np.isin(data, (0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3))
     suspects = np.unique(np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1)
     for row in suspects.tolist():
         text = data[offsets[row] : offsets[row + 1]].tobytes().decode("utf-8", "replace")
         if _ODD_SPACE.search(text):
-            whole[row] = True
             cut[offsets[row] : offsets[row + 1]] = False
+    for row in _holding(data, offsets, added or []):
+        cut[offsets[row] : offsets[row + 1]] = False
     begins = np.unique(offsets[:-1][np.diff(offsets) > 0])
     cut[begins] = True
     starts = np.flatnonzero(cut)
