@@ -38,7 +38,7 @@ SEQUENCE = 2048
 END_ID = 1
 # Pieces per bucket of a length, on average; units of text kept by a task.
 BUCKET_PIECES = 5_000
-CACHED_UNITS = 200_000
+CACHED_UNITS = 600_000
 JOINED_UNITS = 500
 
 # White space outside ASCII, and control characters on which definitions of it differ.
@@ -71,55 +71,78 @@ class UnitTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.known: dict[int, np.ndarray] = {}
-
-    def _encode(self, units: list[str]) -> list[np.ndarray]:
-        """Ids of each unit. Units without inner white space are encoded many at a time, joined
-        by newlines, which are tokens of their own there."""
-        found: list = [None] * len(units)
-        plain = [
-            i
-            for i, u in enumerate(units)
-            if (u[1:] if u[0] == " " else u).split() == [u.lstrip(" ")] and not any(t in u for t in self.added)
-        ]
-        if len(self.newline) == 1:
-            for at in range(0, len(plain), JOINED_UNITS):
-                some = plain[at : at + JOINED_UNITS]
-                joined = "\n".join([units[i] for i in some])
-                encoded = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0]
-                ids = np.array(encoded.ids, np.uint32)
-                stops = np.flatnonzero(ids == self.newline[0])
-                if len(stops) == len(some) - 1:
-                    begins = [0, *(stops + 1).tolist()]
-                    ends = [*stops.tolist(), len(ids)]
-                    for i, b, e in zip(some, begins, ends, strict=True):
-                        found[i] = ids[b:e]
-        rest = [i for i, ids in enumerate(found) if ids is None]
-        for i, e in zip(
-            rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True
-        ):
-            found[i] = np.array(e.ids, np.uint32)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known units: sorted hashes, and where in ``flat`` the ids of each begin and how many."""
+        self.hashes, self.begins = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _alone(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, ids per unit) of units without inner white space, many at a time.
+
+        They are joined by newlines, which are tokens of their own there; where they are not, the
+        units are encoded one by one.
+        """
+        lengths = ends - starts + 1
+        at = np.cumsum(lengths)
+        text = np.full(int(at[-1]), 0x0A, np.uint8)
+        text[ta.ranges(lengths - 1) + np.repeat(at - lengths, lengths - 1)] = data[ta.ranges(lengths - 1) + np.repeat(starts, lengths - 1)]
+        firsts = np.arange(0, len(starts), JOINED_UNITS)
+        lasts = np.append(firsts[1:], len(starts))
+        lines = [text[at[f] - lengths[f] : at[e - 1] - 1].tobytes().decode("utf-8") for f, e in zip(firsts, lasts, strict=True)]
+        found = []
+        for line, ids, n in zip(lines, self._alone(lines), lasts - firsts, strict=True):
+            stops = np.flatnonzero(ids == self.newline[0])
+            if len(self.newline) == 1 and len(stops) == n - 1:
+                found.append((ids[ids != self.newline[0]], np.diff([-1, *stops, len(ids)]) - 1))
+            else:
+                each = self._alone(line.split("\n"))
+                found.append((np.concatenate(each), np.array([len(e) for e in each])))
         return found
 
+    def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> None:
+        """Encode new units (``hashes`` ascend) and put them among the known ones."""
+        white = np.concatenate([[0], np.cumsum(_SPACE[data])])
+        led = data[starts] == 0x20
+        plain = (white[ends] == white[starts + led]) & (ends - starts > led) & ~whole
+        counts, begins = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        parts = [self.flat]
+        if plain.any():
+            joined = self._joined(data, starts[plain], ends[plain])
+            parts += [ids for ids, _ in joined]
+            counts[plain] = np.concatenate([n for _, n in joined])
+        rest = np.flatnonzero(~plain)
+        if len(rest):
+            each = self._alone([data[starts[i] : ends[i]].tobytes().decode("utf-8") for i in rest])
+            parts += each
+            counts[rest] = [len(e) for e in each]
+        order = np.concatenate([np.flatnonzero(plain), rest])
+        begins[order] = len(self.flat) + np.cumsum(counts[order]) - counts[order]
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.flat = np.insert(self.hashes, place, hashes), np.concatenate(parts)
+        self.begins, self.counts = np.insert(self.begins, place, begins), np.insert(self.counts, place, counts)
+
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of each text's ids."""
-        starts, ends, first = _units(data, offsets, self.added)
+        starts, ends, first, whole = _units(data, offsets, self.added)
         hashes = ta.span_hashes(data, starts, ends)
         distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > CACHED_UNITS:
-            self.known.clear()
-        keys = distinct.tolist()
-        new = [i for i, key in enumerate(keys) if key not in self.known]
-        raw = data.tobytes()
-        texts = [raw[starts[where[i]] : ends[where[i]]].decode("utf-8") for i in new]
-        for i, found in zip(new, self._encode(texts), strict=True):
-            self.known[keys[i]] = found
-        each = [self.known[key] for key in keys]
-        lengths = np.array([len(e) for e in each], np.int64)
-        flat = np.concatenate([np.zeros(0, np.uint32), *each])
-        begin = np.cumsum(lengths) - lengths
-        counts = lengths[inverse]
-        ids = flat[np.repeat(begin[inverse], counts) + ta.ranges(counts)]
+        if len(self.hashes) > CACHED_UNITS:
+            self._forget()
+        place = np.searchsorted(self.hashes, distinct)
+        new = np.append(self.hashes, np.uint64(0))[place] != distinct
+        new |= place == len(self.hashes)
+        if new.any():
+            unit = where[new]
+            self._learn(data, distinct[new], starts[unit], ends[unit], whole[unit])
+            place = np.searchsorted(self.hashes, distinct)
+        place = place[inverse]
+        counts = self.counts[place]
+        ids = self.flat[np.repeat(self.begins[place], counts) + ta.ranges(counts)]
         sums = np.concatenate([[0], np.cumsum(counts)])
         return ids, np.diff(sums[first])
 
@@ -140,11 +163,12 @@ def _holding(data: np.ndarray, offsets: np.ndarray, contents: list[str]) -> Iter
 
 def _units(
     data: np.ndarray, offsets: np.ndarray, added: list[str] | None = None
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of the units of all texts; units of text i are first[i] .. first[i+1]."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of the units of all texts, units of text i being first[i] .. first[i+1], and which
+    of them are texts that must not be cut."""
     if not len(data):
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros(len(offsets), np.int64)
+        return none, none, np.zeros(len(offsets), np.int64), np.zeros(0, bool)
     white = _SPACE[data]
     cut = np.zeros(len(data), bool)
     lone = ~white[:-2] & ~white[2:]
@@ -153,18 +177,20 @@ def _units(
     cut[1:] |= _LETTER[data[:-1]] & _SIGN[data[1:]]
     # Bytes that begin a space outside ASCII, or a separator control character.
     odd = np.isin(data, (0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3))
+    uncut = np.zeros(len(offsets) - 1, bool)
     suspects = np.unique(np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1)
     for row in suspects.tolist():
         text = data[offsets[row] : offsets[row + 1]].tobytes().decode("utf-8", "replace")
-        if _ODD_SPACE.search(text):
-            cut[offsets[row] : offsets[row + 1]] = False
+        uncut[row] = _ODD_SPACE.search(text) is not None
     for row in _holding(data, offsets, added or []):
+        uncut[row] = True
+    for row in np.flatnonzero(uncut):
         cut[offsets[row] : offsets[row + 1]] = False
     begins = np.unique(offsets[:-1][np.diff(offsets) > 0])
     cut[begins] = True
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], len(data))
-    return starts, ends, np.searchsorted(starts, offsets)
+    return starts, ends, np.searchsorted(starts, offsets), uncut[np.searchsorted(offsets, starts, "right") - 1]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFrame:
