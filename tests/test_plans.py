@@ -10,10 +10,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from viewlog.operators import joins, ordering, shaping
+from viewlog.operators.key_filter import drop_unmatched
+from viewlog.operators.table_sizes import known_size
 from viewlog.plans import driver_views as views
 from viewlog.plans import page_views as plans
 from viewlog.plans.driver_views import table
 from viewlog.session import scratch_path, shared_dir
+from viewlog.sources import catalog
 
 
 def exchanges(text: str) -> int:
@@ -66,7 +69,10 @@ def test_side_beyond_the_limit_is_not_broadcast(spark, data, pv, plan):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         joined = joins.join_replicated(pv, views.users(spark, data), "user", "name", limit=10)
-        assert "BroadcastHashJoin" not in plan(joined)
+        text = plan(joined)
+        assert "SortMergeJoin [user" in text
+        # Only the bits of the key filter are broadcast, never the side itself.
+        assert "BroadcastHashJoin [user" not in text and text.count("BroadcastExchange") == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -268,10 +274,99 @@ def test_cut_join_equals_nested_loops(spark, left_rows, right_rows, how):
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, expected))
 
 
-def test_hot_list_is_exact(hot):
+def test_hot_list_finds_the_hot_key(spark, hot):
+    """From sketches of many tasks; nulls, another third of the rows, are no key."""
     expected = hot.select(F.xxhash64(F.lit("hot"))).first()[0]
-    got = {r["__hash"]: r["__parts"] for r in joins.hot_keys(hot, "k", 4000).collect()}
-    assert got == {expected: 3}
+    rows, listed = joins.key_profile(hot.repartition(70), "k", 4000)
+    assert (rows, {r["__hash"]: r["__parts"] for r in listed}) == (30_000, {expected: 3})
+    assert joins.key_profile(hot, "k", 30_000) == (30_000, [])
+    assert joins.key_profile(hot.limit(0), "k", 10) == (0, [])
+    assert joins.key_profile(hot.filter("k IS NULL"), "k", 10) == (10_000, [])
+
+
+def test_sketch_with_more_keys_than_it_keeps(spark, monkeypatch):
+    """No key above the limit is missed, and each gets parts enough."""
+    monkeypatch.setattr(joins, "SKETCH_KEYS", 64)
+    n = F.col("id")
+    df = spark.range(0, 40_000, 1, 40).select(F.when(n % 4 == 0, -(n / 4 % 3).cast("bigint") - 1).otherwise(n).alias("k"))
+    rows, listed = joins.key_profile(df, "k", 2000)
+    hashes = {r[0] for r in spark.sql("SELECT xxhash64(k) FROM VALUES (-1L), (-2L), (-3L) AS t(k)").collect()}
+    assert rows == 40_000 and {r["__hash"] for r in listed} == hashes
+    assert all(r["__parts"] in (2, 3) for r in listed)
+
+
+def jobs_of(spark, group, run):
+    """Number of jobs that building (not running) something takes."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        result = run()
+        return result, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_skewed_join_reads_each_side_once_more(spark, hot):
+    names = spark.createDataFrame([("hot", 1)], "name string, v int")
+    # With adaptive execution each of the two shuffles of a profile is a job of its own.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined, jobs = jobs_of(spark, "profile", lambda: joins.join_skewed_key(hot, names, "k", "name", hot_rows=1000))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert jobs == 2
+    assert joined.count() == 10_000
+
+
+@pytest.fixture(scope="module")
+def analysed(spark, data):
+    """Page views and users as catalog tables with statistics."""
+    names = {"viewlog_test_views": views.page_views(spark, data), "viewlog_test_users": views.users(spark, data)}
+    for name, df in names.items():
+        df.write.mode("overwrite").saveAsTable(name)
+        catalog.analyze_table(spark, name)
+    yield [spark.table(name) for name in names]
+    for name in names:
+        catalog.drop_table(spark, name)
+
+
+def test_joins_of_analysed_tables_are_planned_without_a_job(spark, analysed):
+    pv, users = analysed
+    for number, run in enumerate((plans.l2_power_user_views, plans.l14_merge_join)):
+        joined, jobs = jobs_of(spark, f"planned-{number}", lambda run=run: run(pv, users))
+        assert jobs == 0
+        assert joined.count() > 0
+
+
+def test_known_sizes_are_bounds(spark, analysed):
+    pv, users = analysed
+    known = known_size(users.filter("zip > 3").select("name", "zip"))
+    assert known.rows == users.count() and known.bytes >= joins.measured_bytes(users.filter("zip > 3").select("name", "zip"))
+    assert known_size(users.groupBy("zip").count()).rows is None
+    assert known_size(pv.select("user", "page_links")).bytes is None
+    assert known_size(pv.select(F.upper("user").alias("u"))) .bytes is None
+    assert known_size(spark.range(5)).rows is None
+
+
+def test_rows_without_a_partner_are_not_shuffled(spark, plan):
+    left = spark.range(20_000).select(F.when(F.col("id") % 7 > 0, F.col("id") % 5000).alias("k"), "id")
+    right = spark.range(0, 5000, 10).select(F.col("id").alias("name"))
+    kept = drop_unmatched(left, right, "k", "name", 500)
+    matched = left.join(right, left["k"] == right["name"])
+    assert kept.columns == left.columns
+    assert kept.join(right, kept["k"] == right["name"]).count() == matched.count()
+    assert matched.count() <= kept.count() <= matched.count() + left.count() // 10
+    text = plan(joins.join_replicated(left, right, "k", "name", limit=0))
+    assert "bitmap_construct_agg" in text and "BroadcastHashJoin" in text
+    joined = joins.join_replicated(left, right, "k", "name", limit=0)
+    assert joined.exceptAll(matched).count() == 0 and joined.count() == matched.count()
+
+
+def test_filters_that_cannot_help_are_left_out(spark):
+    left, right = spark.range(10).withColumnRenamed("id", "k"), spark.range(3).select(F.col("id").cast("int").alias("name"))
+    assert drop_unmatched(left, right, "k", "name", 3) is left
+    same = right.select(F.col("name").cast("bigint").alias("name"))
+    assert drop_unmatched(left, same, "k", "name", 1 << 40) is left
+    assert drop_unmatched(left, same.limit(0), "k", "name", 0).count() == 0
 
 
 def test_hot_list_stays_bounded(spark, monkeypatch):

@@ -6,6 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from viewlog.operators.key_filter import drop_unmatched
+from viewlog.operators.table_sizes import OVERHEAD, known_size
 
 # A side is broadcast only if its measured size stays below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -14,6 +18,10 @@ HOT_ROWS = 5_000_000
 # The row limit rises with the input so that no more keys than this can be hot. The list of
 # them is broadcast: a few megabytes at most.
 HOT_LIST_LIMIT = 200_000
+# Keys that a sketch of frequent ones keeps, about 1.5 MB; the sketches of all tasks meet in this
+# many groups first. A key with more than 3 / SKETCH_KEYS of the rows is never missed.
+SKETCH_KEYS = 65_536
+SKETCH_GROUPS = 64
 HOT_SCHEMA = "__hash bigint, __parts int"
 # Rows without a key match nothing; they are dealt over this many parts.
 NULL_PARTS = 1_000_003
@@ -21,15 +29,25 @@ SALT = "__salt"
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Upper estimate of a side's size in memory, from its actual values in one aggregate."""
-    per_row = F.lit(16 * (len(df.columns) + 1)).cast("bigint")
-    for name in df.columns:
-        per_row += F.coalesce(F.octet_length(F.col(f"`{name}`").cast("string")), F.lit(0))
+    """Upper estimate of a side's size in memory, from its actual values in one aggregate.
+
+    Columns of fixed width count by their type and are not read.
+    """
+    per_row = F.lit(OVERHEAD).cast("bigint")
+    for field in df.schema:
+        if isinstance(field.dataType, (T.NumericType, T.BooleanType, T.DatetimeType)):
+            per_row += 2 * OVERHEAD
+        else:
+            value = F.col(f"`{field.name}`")
+            value = value if isinstance(field.dataType, (T.StringType, T.BinaryType)) else value.cast("string")
+            per_row += OVERHEAD + F.coalesce(F.octet_length(value), F.lit(0))
     return df.agg(F.sum(per_row).alias("n")).first()["n"] or 0
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    return measured_bytes(df) <= limit
+    """Whether a side stays below the limit: from the catalog where that is enough, else measured."""
+    known = known_size(df).bytes
+    return (known is not None and known <= limit) or measured_bytes(df) <= limit
 
 
 def join_inner(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -49,11 +67,12 @@ def join_replicated(
     """Join with the right side in the memory of every task, if it measures small enough.
 
     The left side then needs no shuffle and its hot keys do no harm. A right side beyond
-    the limit is joined by :func:`join_skewed_key`, which cuts hot keys.
+    the limit is joined by :func:`join_skewed_key`, which cuts hot keys; an inner join then drops
+    left rows without a partner before they are shuffled.
     """
     if fits_broadcast(right, limit):
         return left.join(F.broadcast(right), left[left_key] == right[right_key], how)
-    return join_skewed_key(left, right, left_key, right_key, how, spread_by=spread_by)
+    return join_skewed_key(left, right, left_key, right_key, how, spread_by=spread_by, prefilter=how == "inner")
 
 
 def semi_join_set(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -98,18 +117,33 @@ def join_merge(
     )
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Hashes of the keys with more than ``hot_rows`` rows, and how many parts to cut each into.
+def key_profile(df: DataFrame, key: str, hot_rows: int, list_limit: int = HOT_LIST_LIMIT) -> tuple[int, list]:
+    """Row count, and (hash, parts) of the keys with more than ``hot_rows`` rows, in one pass.
 
-    There are at most (rows / hot_rows) of them, whatever the key distribution, and each takes
-    twelve bytes, however long the key. Keys that share a hash are treated alike on both sides
-    of a join, which changes how rows are dealt and not what they match.
+    A sketch of frequent hashes is made where rows are read; only sketches are shuffled. It counts
+    a key too high by at most 1.4 / ``SKETCH_KEYS`` of the rows, so the row limit rises with the input to
+    where it misses none, and to where no more than ``list_limit`` keys can be hot. Parts only say
+    how rows are dealt, so counts need not be exact. Keys that share a hash are dealt alike on both
+    sides of a join, which changes nothing in what they match.
     """
-    known = df.filter(F.col(key).isNotNull())
-    counts = known.groupBy(F.xxhash64(key).alias("__hash")).count()
-    return counts.filter(F.col("count") > hot_rows).select(
-        "__hash", F.ceil(F.col("count") / hot_rows).cast("int").alias("__parts")
+    hashed = F.when(F.col(key).isNotNull(), F.xxhash64(key))
+    seen = df.select(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("__group"), hashed.alias("__hash"))
+    counted = F.expr(f"approx_top_k_accumulate(__hash, {SKETCH_KEYS}) FILTER (WHERE __hash IS NOT NULL)")
+    some = seen.groupBy("__group").agg(F.count(F.lit(1)).alias("n"), counted.alias("sketch"))
+    # By a constant key, as an empty task of an aggregate without keys has no sketch to give.
+    whole = some.groupBy(F.lit("all")).agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_combine(sketch, {SKETCH_KEYS})").alias("sketch"))
+    items = F.expr(f"approx_top_k_estimate(sketch, {SKETCH_KEYS})")
+    limit = F.greatest(F.lit(hot_rows), F.col("n") / list_limit, F.col("n") * 3 / SKETCH_KEYS)
+    hot = F.filter(items, lambda item: item["item"].isNotNull() & (item["count"] > limit))
+    listed = F.transform(
+        hot,
+        lambda item: F.struct(
+            item["item"].alias("__hash"),
+            F.least(F.ceil(item["count"] / hot_rows), F.lit(NULL_PARTS)).cast("int").alias("__parts"),
+        ),
     )
+    found = whole.select("n", F.when(F.col("n") > hot_rows, listed).alias("listed")).collect()
+    return (found[0]["n"], found[0]["listed"] or []) if found else (0, [])
 
 
 def join_skewed_key(
@@ -122,6 +156,7 @@ def join_skewed_key(
     merge: bool = False,
     spread_by: Column | None = None,
     list_limit: int = HOT_LIST_LIMIT,
+    prefilter: bool = False,
 ) -> DataFrame:
     """Inner or left outer join in which no key, and not null either, lands in one task whole.
 
@@ -133,12 +168,17 @@ def join_skewed_key(
     is found (for a left join, null keys are spread all the same).
     ``spread_by`` is what parts are dealt by: by default a hash of the left row's columns; give
     an id where many rows agree in all of them. Key columns of both sides are kept.
+
+    Each side is read once more to find its hot keys (:func:`key_profile`), and not at all if the
+    catalog says that it is small. ``prefilter`` drops left rows of an inner join that have no
+    partner before they are shuffled (:func:`viewlog.operators.key_filter.drop_unmatched`).
     """
     if how not in ("inner", "left"):
         raise ValueError(f"cannot spread a {how} join")
-    rows = left.count()
-    listed = _listed(left, left_key, rows, hot_rows, list_limit)
-    right_listed = _listed(right, right_key, right.count(), hot_rows, list_limit)
+    right_rows, right_listed = _profile(right, right_key, hot_rows, list_limit)
+    if prefilter and how == "inner":
+        left = drop_unmatched(left, right, left_key, right_key, right_rows)
+    rows, listed = _profile(left, left_key, hot_rows, list_limit)
     if right_listed:
         return _join_hot_right(
             left, right, left_key, right_key, how, listed, right_listed, merge, spread_by
@@ -149,11 +189,10 @@ def join_skewed_key(
     return _join_hot_left(left, right, left_key, right_key, how, listed, merge, spread_by)
 
 
-def _listed(df: DataFrame, key: str, rows: int, hot_rows: int, list_limit: int) -> list:
-    """Hot keys as (hash, parts): at most ``list_limit``, as more rows make a key hot then."""
-    if rows <= hot_rows:
-        return []
-    return hot_keys(df, key, max(hot_rows, rows // list_limit)).collect()
+def _profile(df: DataFrame, key: str, hot_rows: int, list_limit: int) -> tuple[int, list]:
+    """Rows (or a bound of them) and hot keys; a side the catalog knows to be small has none."""
+    known = known_size(df).rows
+    return (known, []) if known is not None and known <= hot_rows else key_profile(df, key, hot_rows, list_limit)
 
 
 def _join_hot_right(

@@ -271,6 +271,19 @@ def join_skewed_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.join_skewed_key(pv, terms, "query_term", "term", "left", hot_rows=500)
 
 
+@query(
+    "join_prefiltered",
+    """SELECT l_orderkey, l_linenumber, p_partkey, p_size FROM lineitem JOIN part ON l_partkey = p_partkey
+    WHERE p_size = 7""",
+)
+def join_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A right side that is not broadcast (limit 0): lines of other parts go before the shuffle."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    parts = table(spark, sf_dir, "part").filter("p_size = 7").select("p_partkey", "p_size")
+    joined = joins.join_replicated(lines, parts, "l_partkey", "p_partkey", limit=0, spread_by=F.col("l_orderkey"))
+    return joined.drop("l_partkey")
+
+
 # ---- aggregates ----
 
 

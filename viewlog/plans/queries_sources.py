@@ -6,6 +6,7 @@ them back through the operator under test, and returns what was read.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -384,6 +385,22 @@ def add_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.load_catalog(spark, spec.qualified)
 
 
+@query(
+    "add_partitions",
+    "SELECT o_custkey % 600 AS part, count(*) AS n_rows FROM orders GROUP BY ALL",
+)
+def add_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 600 partitions registered by one statement, then their rows by their statistics."""
+    root, name = scratch_path(spark, "many"), f"many_{uuid.uuid4().hex[:12]}"
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 600).cast("int").alias("part"))
+    rows.hint("rebalance", "part").write.partitionBy("part").parquet(root)
+    spark.sql(f"CREATE TABLE {name} (o_orderkey BIGINT, part INT) USING parquet PARTITIONED BY (part) LOCATION '{root}'")
+    parts = [r["part"] for r in rows.select("part").distinct().collect()]  # 600 at most
+    catalog.add_partitions(spark, name, [{"part": p} for p in parts])
+    catalog.analyze_table(spark, name)
+    return catalog.partition_sizes(spark, name).select(F.col("part").cast("bigint").alias("part"), "n_rows")
+
+
 @query("check_row_count", "SELECT count(*) AS written FROM orders")
 def check_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The check counts the lines that the files hold."""

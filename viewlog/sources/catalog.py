@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Mapping
+import re
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from viewlog.functions.scalars import COPY_SUFFIX
 from viewlog.generate import gen_from_spec
@@ -80,6 +82,44 @@ def add_partition(spark: SparkSession, name: str, values: Mapping[str, object])
     spark.sql(f"ALTER TABLE {quoted(name)} ADD IF NOT EXISTS PARTITION ({spec})")
 
 
+def add_partitions(spark: SparkSession, name: str, values: Sequence[Mapping[str, object]]) -> None:
+    """Register many partitions in one statement, which the catalog takes as one request."""
+    if values:
+        specs = [", ".join(f"`{k}` = {_literal(v)}" for k, v in each.items()) for each in values]
+        listed = " ".join(f"PARTITION ({spec})" for spec in specs)
+        spark.sql(f"ALTER TABLE {quoted(name)} ADD IF NOT EXISTS {listed}")
+
+
+def recover_partitions(spark: SparkSession, name: str) -> None:
+    """Register every partition whose directory lies below the table, in one statement."""
+    spark.sql(f"ALTER TABLE {quoted(name)} RECOVER PARTITIONS")
+
+
+def analyze_table(spark: SparkSession, name: str) -> None:
+    """Store the row count and column statistics of a table, and the rows of each partition.
+
+    Joins then know its size without a job (:mod:`viewlog.operators.table_sizes`).
+    """
+    columns = spark.table(quoted(name)).schema
+    keys = [c.name for c in spark.catalog.listColumns(quoted(name)) if c.isPartition]
+    plain = [f"`{f.name}`" for f in columns if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
+    if keys:
+        listed = ", ".join(f"`{k}`" for k in keys)
+        spark.sql(f"ANALYZE TABLE {quoted(name)} PARTITION ({listed}) COMPUTE STATISTICS")
+    spark.sql(f"ANALYZE TABLE {quoted(name)} COMPUTE STATISTICS")
+    if plain:
+        spark.sql(f"ANALYZE TABLE {quoted(name)} COMPUTE STATISTICS FOR COLUMNS {', '.join(plain)}")
+
+
+def partition_rows(spark: SparkSession, name: str, values: Mapping[str, object]) -> int | None:
+    """Rows of a partition by its statistics, without a look at its files; None if not analysed."""
+    spec = ", ".join(f"`{k}` = {_literal(v)}" for k, v in values.items())
+    said = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(name)} PARTITION ({spec})")
+    found = said.filter("col_name = 'Partition Statistics'").select("data_type").first()
+    rows = re.search(r"(\d+) rows", found[0]) if found else None
+    return int(rows.group(1)) if rows else None
+
+
 def _literal(value: object) -> str:
     if isinstance(value, (int, float)):
         return str(value)
