@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import numpy as np
 
@@ -136,3 +137,13 @@ def test_rare_kinds_are_learnt_from_distinct_texts(spark):
     assert len(texts) == len(set(texts)) <= pii.KIND_ROWS + pii.CLEAN_ROWS
     assert sum("@" in t for t in texts) == 12
     assert "email" in pii.SpanModel().fit(texts).kinds
+
+
+def test_spelt_addresses_of_any_length():
+    """The whole run before the sign and the whole domain after it, in linear time."""
+    text = "write to " + "a" * 80 + " (at) " + "b" * 90 + ".c" * 12 + " now"
+    assert (9, len(text) - 4) in pii.proposals(text)
+    began = time.perf_counter()
+    for unit in ("a(at)", "a@", "a" * 50 + "@b.", "(dot)a@"):
+        pii.proposals(unit * (200_000 // len(unit)))
+    assert time.perf_counter() - began < 20

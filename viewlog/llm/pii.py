@@ -55,7 +55,7 @@ _ANY = re.compile(r"[0-9@]")
 
 _AT = re.compile(r" ?(?:\(at\)|\[at\]|\{at\}) ?|@", re.IGNORECASE)
 _SPELT_DOMAIN = re.compile(
-    r"[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63}){0,6}", re.IGNORECASE
+    r"[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]) ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)*+", re.IGNORECASE
 )
 _CHAIN = re.compile(r"[0-9]++(?:[ ().+/-]++[0-9]++)*+")
 _GROUP = re.compile(r"[0-9]+")
@@ -144,11 +144,14 @@ def proposals(text: str) -> list[tuple[int, int]]:
                     found.add((opened, stop))
                     if text.find("(", opened, begin) >= 0 > text.find(")", begin, stop):
                         found.add((bare, stop))
+    # Local parts and domains of any length: each lies between two neighbouring signs.
+    last = 0
     for match in _AT.finditer(text):
-        start = _local_start(text, match.start(), max(0, match.start() - 64))
+        start = _local_start(text, match.start(), last)
         domain = _SPELT_DOMAIN.match(text, match.end())
         if start < match.start() and domain:
             found.add((start, domain.end()))
+        last = match.end()
     return sorted(s for s in found if s[1] - s[0] >= 6)
 
 
