@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,6 +43,7 @@ from viewlog.session import scratch_path
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 1, 2, 5, 5
 LONG_ROWS, LONG_CHARS = 4096, 8 << 20
 BLOCK = 32
+KNOWN = 100_000  # solved codes that a task keeps
 SPACE = " \t\n\v\f\r"
 ENDS = ".!?"
 
@@ -134,13 +134,15 @@ class Lattice:
         return reached[i, state]
 
 
-def solve(codes: str) -> tuple[int, str]:
-    return _short(codes) if len(codes) <= BLOCK else Lattice(codes).trace()
-
-
-@lru_cache(maxsize=100_000)
-def _short(codes: str) -> tuple[int, str]:
-    return Lattice(codes).trace()
+def solve(codes: str, known: dict[str, tuple[int, str]] | None = None) -> tuple[int, str]:
+    """Cost and audit; short conversations of equal codes are solved once a task (``known``)."""
+    if known is None or len(codes) > BLOCK:
+        return Lattice(codes).trace()
+    if codes not in known:
+        if len(known) >= KNOWN:
+            known.clear()
+        known[codes] = Lattice(codes).trace()
+    return known[codes]
 
 
 def edits(audit: str, codes: str) -> Iterator[tuple[int | None, str | None]]:
@@ -191,7 +193,7 @@ class Conversation:
         self.conv_id = conv_id
         self.rows: list[tuple[int | None, str, str]] = []
 
-    def result(self) -> tuple:
+    def result(self, known: dict[str, tuple[int, str]]) -> tuple:
         codes, counts, seen = [], [0, 0, 0], set()
         for _, role, text in self.rows:
             body, first = text.strip(SPACE), role[:1] if role[:1] in BY_INITIAL else "o"
@@ -209,7 +211,7 @@ class Conversation:
         turns = {t for t, _, _ in self.rows if t is not None}
         gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
         initials = "".join([role[:1] if role[:1] in BY_INITIAL else "o" for _, role, _ in self.rows])
-        cost, audit = solve("".join(codes))
+        cost, audit = solve("".join(codes), known)
         lines = [
             f"{self.rows[row][1] if role is None else role}:{'' if row is None else self.rows[row][2]}"
             for row, role in edits(audit, "".join(codes))
@@ -254,13 +256,13 @@ def _repair_short(found: DataFrame) -> DataFrame:
     schema = _arrow_schema(RESULT)
 
     def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, out = None, []
+        current, out, known = None, [], {}
         for b in batches:
             columns = [b.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text", "gone")]
             for conv_id, turn, role, text, gone in zip(*columns, strict=True):
                 if current is None or current.conv_id != conv_id:
                     if current is not None:
-                        out.append(current.result())
+                        out.append(current.result(known))
                     current = Conversation(conv_id)
                 if not gone:
                     current.rows.append((turn, role, text))
@@ -268,7 +270,7 @@ def _repair_short(found: DataFrame) -> DataFrame:
                 yield _table(out, schema)
                 out = []
         if current is not None:
-            out.append(current.result())
+            out.append(current.result(known))
         if out:
             yield _table(out, schema)
 
