@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import pytest
 
@@ -67,6 +68,46 @@ def test_broken_markup_and_long_pages():
         html_text.block_features(html_text.parse(page))
 
 
+@pytest.mark.parametrize("part", ["<a ", '<a href="', "<a href='x\" ", "<div>", "<div>x", "<b>", "<li>", "<td><p>", "<!", "<?", "</b>", "<p><i></p>", "&#1", "<a title=\"'>"])
+def test_a_megabyte_of_any_markup_takes_seconds(part):
+    """Time grows with the page, not with its square, whatever is left open."""
+    page = part * (2**20 // len(part))
+    for text in (page, page + "</a>end>"):
+        start = time.process_time()
+        blocks = html_text.parse(text)
+        html_text.decode(blocks, html_text.block_features(blocks)[:, 6])
+        assert time.process_time() - start < 15
+
+
+TAG = re.compile(
+    r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S
+)
+
+
+def test_tags_match_a_plain_pattern():
+    """The scanner finds what a backtracking pattern finds (names hold no quotes here)."""
+    rng = html_text.np.random.default_rng(3)
+    parts = ["<a ", "<b", ">", '"', "'", "x ", " y=", "/", "</", "<!--", "-->", "<!", "<?", "- ", "<"]
+    for _ in range(5000):
+        page = "".join(rng.choice(parts, rng.integers(1, 14)))
+        if re.search(r"<[a-z/]*[\"'<]", page):
+            continue
+        want = [(m.start(), (m[2] or "").lower(), bool(m[1])) for m in TAG.finditer(page)]
+        assert list(html_text._tags(page)) == want, page
+
+
+def test_numbers_of_characters_of_any_length():
+    digits = "9" * 6000
+    texts = {
+        f"<p>a &#{digits}; b &#x{digits} c": "a \ufffd b \ufffd c",
+        f"<p>&#{'0' * 5000}65;&#x{'0' * 5000}42;&#{'0' * 20}67d": "ABCd",
+        "<p>&#xabcdefabcdefabcdefg &#abcdefabcdefabc; &#0;": "\ufffdg &#abcdefabcdefabc; \ufffd",
+    }
+    for page, want in texts.items():
+        blocks = html_text.parse(page)
+        assert html_text.text_of(blocks, [True] * len(blocks)) == want
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "p"), (1, "", "p"), (None, f"<main><p>{LONG}</p></main>", "p")], "page_id long, html string, page string")
     assert sorted(r["main_text"] for r in html_text.extract_text(df).collect()) == ["", "", LONG]

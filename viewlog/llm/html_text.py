@@ -37,9 +37,9 @@ SAMPLE_PAGES = 400
 MADE_PAGES = 600
 PAGES_AT_ONCE = 64
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.DOTALL
-)
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_TAG_SIGN = re.compile("[>\"']")
+_LONG_NUMBER = re.compile(r"&#(?:([xX])([0-9a-fA-F]{12,})|([0-9]{12,}));?")
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _ATTRIBUTE_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -126,17 +126,87 @@ def _word_groups(attributes: str) -> int:
     return found
 
 
+class _Tags:
+    """The markup of a page from left to right, in time linear in its length.
+
+    A tag ends at the first ``>`` outside quotes. Where a scan from one place ends depends only
+    on the first sign (``>`` or a quote) it meets, so the end found for a sign is kept: tags that
+    never close, or quotes that swallow others, are not scanned again and again.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {sign: page.rfind(sign) for sign in ">\"'"}
+        self.ends: dict[int, int] = {}  # by place of a sign: the end of a tag scanned from there, or -1
+        self.seen = (0, -1)  # from the first place on, the next sign is at the second
+
+    def _sign(self, at: int) -> int:
+        found = _TAG_SIGN.search(self.page, at)
+        return found.start() if found else len(self.page)
+
+    def _end(self, at: int) -> int:
+        """The place of the ``>`` that closes a tag whose name ends at ``at``; -1 if none does."""
+        if not self.seen[0] <= at <= self.seen[1]:
+            self.seen = (at, self._sign(at))
+        sign, chain = self.seen[1], []
+        while sign < len(self.page) and sign not in self.ends and self.page[sign] != ">":
+            chain.append(sign)
+            quote = self.page[sign]
+            if sign == self.last[quote]:
+                sign = len(self.page)
+            else:
+                sign = self._sign(self.page.find(quote, sign + 1) + 1)
+        end = -1 if sign == len(self.page) else self.ends.get(sign, sign)
+        self.ends.update(dict.fromkeys(chain, end))
+        return end
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str, bool] | None:
+        """(start, end, name, is an end tag, attributes, closes itself); no name for a comment."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), "", False, "", False
+            if start > self.last[">"]:
+                start = page.find("<!--", start)  # no tag closes here; a comment may be left open
+                return (start, len(page), "", False, "", False) if start >= 0 else None
+            if page.startswith(("<!", "<?"), start):
+                return start, page.index(">", start) + 1, "", False, "", False
+            ends = page.startswith("/", start + 1)
+            name = _TAG_NAME.match(page, start + 1 + ends)
+            end = self._end(name.end()) if name else -1
+            if end >= 0:
+                attributes = page[name.end() : end]
+                alone = attributes.endswith("/")
+                return start, end + 1, name[0].lower(), ends, attributes[:-1] if alone else attributes, alone
+            at = start + 1
+        return None
+
+
+def _characters(text: str) -> str:
+    """Text with its references decoded; numbers beyond all characters are the replacement sign."""
+    return html.unescape(_LONG_NUMBER.sub(_long_number, text))
+
+
+def _long_number(match: re.Match) -> str:
+    sign, digits = (match[1], match[2]) if match[1] else ("", match[3])
+    digits = digits.lstrip("0") or "0"
+    return f"&#{sign}{digits};" if len(digits) < 8 else "\ufffd"
+
+
 def parse(page: str) -> list[Block]:
     """The blocks of a page in page order; the first is the root."""
     root = Block("html", 0, None)
     blocks, stack = [root], [("html", root)]  # open elements, each with its block
     piece: list[str] = []
     link, silent, place = 0, 0, 0
+    opened: dict[str, list[int]] = {}  # places in the stack of the open elements of a tag
+    outer = [0]  # places in the stack of the elements that are not inline
 
     def flush() -> None:
         nonlocal place
         if piece:
-            text = " ".join(html.unescape("".join(piece)).split())
+            text = " ".join(_characters("".join(piece)).split())
             piece.clear()
             if text:
                 place += 1
@@ -148,39 +218,44 @@ def parse(page: str) -> list[Block]:
             if link:
                 stack[-1][1].links += len(text)
 
+    def push(tag: str, block: Block) -> None:
+        opened.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            outer.append(len(stack))
+        stack.append((tag, block))
+
     def close(count: int) -> None:
         nonlocal link, silent
         for _ in range(count):
             tag, _ = stack[-1]
             if tag not in INLINE:
                 flush()
+                outer.pop()
             stack.pop()
+            opened[tag].pop()
             link -= tag == "a"
             silent -= tag in SILENT
 
     def depth_of(tags: set, until: set) -> int:
         """How many open elements end with the innermost of ``tags``; 0 if none is open."""
-        for up in range(1, len(stack)):
-            if stack[-up][0] in tags:
-                return up
-            if stack[-up][0] in until:
-                return 0
-        return 0
+        inner, bound = (max((opened[t][-1] for t in ts if opened.get(t)), default=0) for ts in (tags, until))
+        return len(stack) - inner if inner > bound else 0
 
+    markup = _Tags(page)
     at = 0
     while at < len(page):
-        match = _TOKEN.search(page, at)
+        match = markup.next(at)
         if not match:
             add(page[at:])
             break
-        add(page[at : match.start()])
-        at = match.end()
-        tag = (match[2] or "").lower()
+        start, end, tag, ends, attributes, alone = match
+        add(page[at:start])
+        at = end
         if not tag:
             continue
-        if match[1]:
+        if ends:
             count = depth_of({tag}, set())
-            if tag in INLINE and count > 1 and any(t not in INLINE for t, _ in stack[-count + 1 :]):
+            if tag in INLINE and count and outer[-1] > len(stack) - count:
                 count = 0  # a stray end tag does not close blocks
             close(count)
             continue
@@ -191,25 +266,25 @@ def parse(page: str) -> list[Block]:
             close(depth_of(inner, until))
         if tag in ("br", "hr"):
             flush()
-        if tag in VOID or match[4] and tag in ("svg", "path"):
+        if tag in VOID or alone and tag in ("svg", "path"):
             continue
         if tag == "html":
             continue
         if tag in INLINE:
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             stack[-1][1].tags += 1
             link += tag == "a"
         elif tag in SILENT:
             flush()
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             silent += 1
         else:
             flush()
-            block = Block(tag, _word_groups(match[3]) if match[3] else 0, stack[-1][1])
+            block = Block(tag, _word_groups(attributes) if attributes else 0, stack[-1][1])
             block.order = len(block.parent.children)
             block.parent.children.append(block)
             blocks.append(block)
-            stack.append((tag, block))
+            push(tag, block)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             if tag not in SILENT:
@@ -427,7 +502,7 @@ def _made_examples(pages: list[str], rng: np.random.Generator, count: int):
         for chunk, label in chunks:
             starts.append((at, label))
             at += len(chunk)
-        opened = [m.start() for m in _TOKEN.finditer(page) if m[2] and not m[1] and _is_block(m[2].lower())]
+        opened = [start for start, name, ends in _tags(page) if name and not ends and _is_block(name)]
         if len(opened) != len(blocks) - 1:
             continue
         labels, chunk = [not opened], 0
@@ -438,6 +513,14 @@ def _made_examples(pages: list[str], rng: np.random.Generator, count: int):
         yield block_features(blocks), np.array(labels, float)
 
 
+def _tags(page: str):
+    """(start, name, is an end tag) of all markup, that inside raw elements included."""
+    markup, at = _Tags(page), 0
+    while found := markup.next(at):
+        start, at, name, ends, _, _ = found
+        yield start, name, ends
+
+
 def _is_block(tag: str) -> bool:
     return tag not in INLINE and tag not in SILENT and tag not in VOID and tag != "html"
 
