@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from viewlog.llm import near_dedup
@@ -94,3 +96,72 @@ def test_rows_of_one_id_count_as_one_document(spark):
 def test_short_texts_differ_by_length(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a a"), (3, "a a a")], "doc_id long, text string")
     assert {r["component_id"] for r in near_dedup.near_duplicates(df, 4).collect()} == {1, 2, 3}
+
+
+def crowd(count: int, seed: int) -> dict:
+    """Sets of one shared passage and own words, in pairs at 0.80 to 0.82 of each other."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(60)]
+    texts = {}
+    for i in range(0, count, 2):
+        own = [f"o{i}x{j}" for j in range(60)]
+        texts[i] = " ".join(passage + own)
+        # One changed word breaks 4 of 117 shingles; at both ends fewer.
+        for place in rng.sample(range(3, 57), 3):
+            own[place] = f"z{i}x{place}"
+        texts[i + 1] = " ".join(passage + own)
+    return texts
+
+
+def test_no_link_is_lost_in_a_crowd(spark, monkeypatch):
+    """5,000 sets share a passage, so that every tree holds crowded regions."""
+    monkeypatch.setattr(near_dedup, "REGION", 8)
+    texts = crowd(5000, 3)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, 4).collect()}
+    want = brute_pairs(texts, 4)
+    assert got == want
+    assert sum(c != d for d, (_, c) in want.items()) > 2000
+
+
+def brute_pairs(texts: dict, width: int) -> dict:
+    """As ``brute``; a matrix product counts what two sets share."""
+    sets = [{tuple(w[i : i + width]) for i in range(len(w) - width + 1)} for w in map(str.split, texts.values())]
+    number = {s: i for i, s in enumerate(dict.fromkeys(s for own in sets for s in own))}
+    kinds = [[number[s] for s in own] for own in sets]
+    holders = defaultdict(list)
+    for i, own in enumerate(kinds):
+        for s in own:
+            holders[s].append(i)
+    shared = np.zeros((len(sets), len(sets)), np.int32)
+    for held in holders.values():
+        shared[np.ix_(held, held)] += 1
+    size = np.array([len(s) for s in sets])
+    linked = 100 * shared >= 80 * (size[:, None] + size[None, :] - shared)
+    names, component = list(texts), {}
+    for i, name in enumerate(names):
+        if name in component:
+            continue
+        open_, group = [i], {i}
+        while open_:
+            new = set(np.flatnonzero(linked[open_.pop()]).tolist()) - group
+            group |= new
+            open_ += new
+        component.update({names[j]: name for j in group})
+    return {name: (len(s), component[name]) for name, s in zip(names, sets, strict=True)}
+
+
+def test_wide_task_lists_are_not_broadcast(spark, monkeypatch, plan):
+    texts = variants()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    tasks = spark.createDataFrame([(10, [(k, 0, False) for k in range(500)])], "rep long, tasks array<struct<task: bigint, side: int, crossed: boolean>>")
+    assert "BroadcastHashJoin" in plan(near_dedup.member_sets(df, tasks, 4))
+    monkeypatch.setattr(near_dedup, "BROADCAST_BYTES", 10_000)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = near_dedup.member_sets(df, tasks, 4)
+        assert "BroadcastHashJoin" not in plan(made)
+        assert made.count() == 500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
