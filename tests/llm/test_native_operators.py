@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import oracle
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +133,14 @@ def test_index_finds_what_a_scan_finds():
         for row in range(200):
             want = [i for i in range(len(codes)) if codes[i : i + lengths[row]].tolist() == phrases[row, : lengths[row]].tolist()]
             assert sorted(index.locate(np.arange(low[row], max(low[row], high[row]))).tolist()) == want
+
+
+def test_a_page_of_many_removed_lines(spark):
+    """Twelve sites share 30,000 lines; removal must not take lines times removed lines."""
+    shared = "\n".join(f"line {i}" for i in range(30_000))
+    df = spark.createDataFrame([(i, f"s{i}", f"own {i}\n{shared}\nend {i}") for i in range(12)], "doc_id long, source string, text string")
+    start = time.monotonic()
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_boilerplate(df).collect()}
+    assert time.monotonic() - start < 60
+    assert got[0] == f"own 0\n{shared}\nend 0"
+    assert all(got[i] == f"own {i}\nend {i}" for i in range(1, 12))

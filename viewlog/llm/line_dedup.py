@@ -112,7 +112,9 @@ def mark_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
         F.col("doc_id").alias("own_id"),
         _lines(F.col("text")).alias("lines"),
     ).join(removed, F.col("own_id").eqNullSafe(F.col("lost_id")), "left")
-    kept = F.filter("lines", lambda line, i: ~F.array_contains("removed", i))
+    # By positions, as a look into the removed ones for each line would be lines x removed.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
+    kept = F.transform(stay, lambda i: F.get("lines", i))
     text = F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(F.array_join(kept, "\n"))
     return rows.select(
         "doc",
