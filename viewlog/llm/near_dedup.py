@@ -5,18 +5,17 @@
    form a class; its smallest doc_id stands for it from here on.
 2. Every tree orders the classes by its key. Classes whose keys share a prefix of ``MIN_DEPTH``
    values are candidates; a region with more than ``REGION`` of them is looked at one value
-   deeper, and so on, down to the whole key. Classes that met such a crowd are ordered by
-   ``CROWD_TREES`` further trees. Candidates of all trees form candidate components.
+   deeper, and so on, down to the whole key. A row of such a crowd keeps a link to its smallest
+   class, so rows that part deeper down are still compared. Candidates of all trees form
+   candidate components.
 3. Links are confirmed on full sets. A candidate component is solved as a whole in one task, or,
    above ``TASK_SHINGLES``, in blocks by set size and hash whose pairs are tasks of their own.
    In a task a prefix filter over the rarest shingles finds the pairs that can reach the limit,
    and pairs that are linked already by others are skipped; no pair list is made.
 4. Components of the confirmed links are the groups.
 
-Candidates can be missed only if no tree puts a chain between two documents. At similarity 0.8
-a pair shares three values of a key with probability 0.51, so that 16 trees miss it with 0.00001.
-In crowds a pair may part deeper down, but it shares the whole key with 0.17 in each tree, so
-that the 64 trees of a crowd miss it with 0.00001 as well, however many rows the crowd has.
+Candidates can be missed only if no tree puts a chain between two documents: at similarity 0.8
+and three values a key, all 16 trees miss one pair with probability 0.00001, in crowds as well.
 
 Defined results: null, empty or wordless texts have no shingles and are linked with nothing, as
 are rows without doc_id; rows that share a doc_id count as one document; copies get the smallest
@@ -36,7 +35,7 @@ from viewlog.session import scratch_path
 
 SHINGLE_WORDS = 5
 PERCENT = 80
-TREES, CROWD_TREES, DEPTH, MIN_DEPTH = 16, 48, 8, 3
+TREES, DEPTH, MIN_DEPTH = 16, 8, 3
 REGION = 64
 TASK_SHINGLES = 200_000
 BROADCAST_ROWS = 500_000
@@ -82,19 +81,15 @@ def shingle_sets(column: pa.Array, width: int):
         yield low, high - low, hashes[new], text[new]
 
 
-def _family(first: int, values: int) -> tuple[np.ndarray, np.ndarray]:
-    numbers = np.arange(2 * first + 1, 2 * (first + values) + 1, dtype=np.uint64)
-    seeds = ta.mixed(numbers * ta.MIX_1)
+def _family() -> tuple[np.ndarray, np.ndarray]:
+    seeds = ta.mixed(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64) * ta.MIX_1)
     return seeds[::2] | np.uint64(1), seeds[1::2]
 
 
-def signatures(
-    docs: DataFrame, width: int = SHINGLE_WORDS, trees: int = TREES, first_tree: int = 0
-) -> DataFrame:
-    """``SIGNATURE_SCHEMA`` of every document that has a word and an id, for some of the trees."""
+def signatures(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """``SIGNATURE_SCHEMA`` of every document that has a word and an id."""
     ta.small_batches(docs.sparkSession)
-    values_each = trees * DEPTH
-    factors, masks = _family(first_tree * DEPTH, values_each)
+    factors, masks = _family()
 
     def signed(batches):
         for batch in batches:
@@ -103,10 +98,10 @@ def signatures(
                 counts = np.bincount(text, minlength=rows)
                 own = np.flatnonzero(counts)
                 begin = (np.cumsum(counts) - counts)[own]
-                values = np.empty((len(own), values_each), ">u4")
+                values = np.empty((len(own), TREES * DEPTH), ">u4")
                 scattered = ta.mixed(hashes)
                 if len(own):
-                    for k in range(values_each):
+                    for k in range(TREES * DEPTH):
                         drawn = (((hashes ^ masks[k]) * factors[k]) >> np.uint64(32)).astype(np.uint32)
                         values[:, k] = np.minimum.reduceat(drawn, begin)
                     f1 = np.add.reduceat(scattered, begin)
@@ -119,7 +114,7 @@ def signatures(
                         pa.array(counts[own], pa.int64()),
                         pa.array(f1.view(np.int64)),
                         pa.array(f2.view(np.int64)),
-                        ta.binary_rows(values.ravel(), np.arange(len(own) + 1) * values_each),
+                        ta.binary_rows(values.ravel(), np.arange(len(own) + 1) * TREES * DEPTH),
                     ],
                     ["doc_id", "n_shingles", "f1", "f2", "signature"],
                 )
@@ -128,20 +123,20 @@ def signatures(
     return rows.filter("doc_id IS NOT NULL").mapInArrow(signed, SIGNATURE_SCHEMA)
 
 
-def forest_links(classes: DataFrame, trees: int = TREES) -> tuple[DataFrame, DataFrame | None]:
+def forest_links(classes: DataFrame) -> DataFrame:
     """(u, v): each class of a region linked to the region's smallest, over all trees.
 
     ``classes`` has rep and signature. Counts of regions are reduced on the map side; only
-    rows of regions with more than one class go on, and only large regions go deeper. The
-    second result has the rep of each class that was in a large region, None if there are none.
+    rows of regions with more than one class go on, and only large regions go deeper. Links
+    of the first depth are kept for all rows, one a row: they alone hold the stated probability.
     """
     spark = classes.sparkSession
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    rows = classes.select("rep", "signature", tree.alias("tree"))
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
+    rows = classes.select("rep", "signature", trees.alias("tree"))
     rows = rows.select(
         "rep", "tree", F.substring("signature", F.col("tree") * 4 * DEPTH + 1, F.lit(4 * DEPTH)).alias("key")
     )
-    links = crowded = None
+    links = None
     for depth in range(MIN_DEPTH, DEPTH + 1):
         region = F.xxhash64(F.lit(depth), "tree", F.substring("key", 1, 4 * depth))
         rows = rows.withColumn("region", region)
@@ -155,33 +150,13 @@ def forest_links(classes: DataFrame, trees: int = TREES) -> tuple[DataFrame, Dat
         rows.join(sizes, "region").write.parquet(path)
         stored = spark.read.parquet(path)
         last = depth == DEPTH
-        found = stored.filter(F.lit(last) | (F.col("n") <= REGION)).select(
+        found = stored.filter(F.lit(last or depth == MIN_DEPTH) | (F.col("n") <= REGION)).select(
             F.col("rep").alias("u"), F.col("smallest").alias("v")
         )
         links = found if links is None else links.unionByName(found)
         rows = stored.filter(F.col("n") > REGION).select("rep", "tree", "key")
         if last or rows.isEmpty():
-            return links.filter("u <> v").distinct(), crowded
-        crowded = rows.select("rep").distinct() if crowded is None else crowded
-
-
-def candidate_links(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """Links of the forest, and of further trees for the classes that met a crowd."""
-    spark = docs.sparkSession
-    links, crowded = forest_links(classes)
-    if crowded is None:
-        return links
-    path = scratch_path(spark, "crowded")
-    crowded.write.parquet(path)
-    crowded = spark.read.parquet(path)
-    side = F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    texts = texts.join(side, texts["doc_id"] == side["rep"], "left_semi")
-    path = scratch_path(spark, "crowd-signatures")
-    signatures(texts, width, CROWD_TREES, TREES).write.parquet(path)
-    signed = spark.read.parquet(path).select(F.col("doc_id").alias("rep"), "signature")
-    further, _ = forest_links(signed, CROWD_TREES)
-    return links.unionByName(further).distinct()
+            return links.filter("u <> v").distinct()
 
 
 def solve_tasks(members: DataFrame) -> DataFrame:
@@ -323,7 +298,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     classes = signed.groupBy("f1", "f2", "n_shingles").agg(
         F.min("doc_id").alias("rep"), F.first("signature").alias("signature")
     )
-    candidates = components(candidate_links(docs, classes.select("rep", "signature"), width))
+    candidates = components(forest_links(classes.select("rep", "signature")))
     sizes = signed.groupBy(F.col("doc_id").alias("rep")).agg(F.max("n_shingles").alias("n_shingles"))
     members = candidates.withColumnRenamed("node", "rep").join(sizes, "rep")
     links = verified_links(member_sets(docs, solve_tasks(members), width), percent)
