@@ -15,6 +15,7 @@ from viewlog.operators.table_sizes import known_size
 from viewlog.plans import driver_views as views
 from viewlog.plans import page_views as plans
 from viewlog.plans.driver_views import table
+from viewlog.schema import PAGE_VIEWS
 from viewlog.session import scratch_path, shared_dir
 from viewlog.sources import catalog
 
@@ -445,3 +446,10 @@ def test_parallelism_and_colocation(hot):
 def test_scratch_is_below_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(shared_dir(spark) + "/")
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_l12_tags_rows_without_copying_them(spark, plan):
+    views = spark.createDataFrame([], PAGE_VIEWS)
+    text = plan(plans.l12_three_outputs(views))
+    assert "Generate" not in text
+    assert text.count("Exchange") == 1

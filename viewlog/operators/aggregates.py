@@ -29,28 +29,42 @@ def int_mean_distinct(col: Column) -> Column:
 
 
 def tagged_aggregate(
-    df: DataFrame, branches: Mapping[str, tuple[Column, Column, Column]], key: str
+    df: DataFrame,
+    branches: Mapping[str, tuple[Column, Column, Column]],
+    key: str,
+    exclusive: bool = False,
 ) -> DataFrame:
     """Several filtered group-bys over one input in one scan and one shuffle.
 
     ``branches`` maps a name to (predicate, key, aggregate). A row of the input counts in every
     branch whose predicate it meets. A row of the result has its branch, its key as text, and a
     column named after each branch, of which only that of its own branch is filled.
+
+    With ``exclusive`` the caller states that no row meets two predicates: a row is then tagged
+    by its first branch, in place of being copied once for each branch it meets.
     """
-    met = F.filter(
-        F.array(
-            *[
-                F.when(predicate, F.struct(F.lit(name).alias("branch"), by.cast("string").alias(key)))
-                for name, (predicate, by, _) in branches.items()
-            ]
-        ),
-        lambda branch: branch.isNotNull(),
-    )
+    if exclusive:
+        tag = group = F.lit(None).cast("string")
+        for name, (predicate, by, _) in reversed(branches.items()):
+            tag = F.when(predicate, F.lit(name)).otherwise(tag)
+            group = F.when(predicate, by.cast("string")).otherwise(group)
+        tagged = df.withColumns({"__branch": tag, "__key": group}).filter("__branch IS NOT NULL")
+    else:
+        met = F.filter(
+            F.array(
+                *[
+                    F.when(predicate, F.struct(F.lit(name).alias("b"), by.cast("string").alias("k")))
+                    for name, (predicate, by, _) in branches.items()
+                ]
+            ),
+            lambda branch: branch.isNotNull(),
+        )
+        tagged = df.withColumn("__met", F.explode(met)).withColumns(
+            {"__branch": F.col("__met.b"), "__key": F.col("__met.k")}
+        )
     aggregates = {f"__{name}": aggregate for name, (_, _, aggregate) in branches.items()}
-    grouped = (
-        df.withColumn("__met", F.explode(met))
-        .groupBy(F.col("__met.branch").alias("branch"), F.col(f"__met.{key}").alias(key))
-        .agg(*[aggregate.alias(name) for name, aggregate in aggregates.items()])
+    grouped = tagged.groupBy(F.col("__branch").alias("branch"), F.col("__key").alias(key)).agg(
+        *[aggregate.alias(name) for name, aggregate in aggregates.items()]
     )
     return grouped.select(
         "branch",

@@ -90,6 +90,61 @@ def xxhash(value: str, seed: str) -> str:
     )
 
 
+def text_hash(text: str) -> str:
+    """xxHash64 of a text of ASCII letters with fewer than 32 of them (unsigned out).
+
+    Blocks of eight letters, then one of four, then single ones; each is folded into the hash in
+    turn. The width of a block stands above its 64 bits.
+    """
+
+    def block(first: str, width: int) -> str:
+        letters = [
+            f"ascii(substr({text}, CAST({first} + {j + 1} AS BIGINT), 1))::UHUGEINT * {_u(256**j)}"
+            for j in range(width)
+        ]
+        return f"{' + '.join(letters)} + {_u(width * 2**64)}"
+
+    size = f"length({text})"
+    four = f"({size} % 8) // 4"
+    blocks = (
+        f"list_concat(list_concat(list_transform(range(0, {size} // 8), lambda i: {block('8 * i', 8)}),"
+        f" list_transform(range(0, {four}), lambda i: {block(f'{size} // 8 * 8', 4)})),"
+        f" list_transform(range({size} // 4 * 4, {size}), lambda i: {block('i', 1)}))"
+    )
+    value = f"(b % {_u(2**64)})"
+    mixed = let("m1", _wrap(f"{value} * {_u(PRIME_2)}"), _wrap(f"{_rotate('m1', 31)} * {_u(PRIME_1)}"))
+    eight = let("x1", f"xor(h, {mixed})", _wrap(f"{_rotate('x1', 27)} * {_u(PRIME_1)} + {_u(PRIME_4)}"))
+    half = let(
+        "x1",
+        f"xor(h, {_wrap(f'{value} * {_u(PRIME_1)}')})",
+        _wrap(f"{_rotate('x1', 23)} * {_u(PRIME_2)} + {_u(PRIME_3)}"),
+    )
+    single = let(
+        "x1",
+        f"xor(h, {_wrap(f'{value} * {_u(PRIME_5)}')})",
+        _wrap(f"{_rotate('x1', 11)} * {_u(PRIME_1)}"),
+    )
+    width = f"b // {_u(2**64)}"
+    folded = (
+        f"list_reduce(list_prepend({_wrap(f'{_u(SPARK_SEED + PRIME_5)} + {size}::UHUGEINT')}, {blocks}),"
+        f" lambda h, b: CASE {width} WHEN 8 THEN {eight} WHEN 4 THEN {half} ELSE {single} END)"
+    )
+    return let(
+        "h3",
+        folded,
+        let(
+            "h4",
+            _wrap(f"xor(h3, h3 // {_u(2**33)}) * {_u(PRIME_2)}"),
+            let("h5", _wrap(f"xor(h4, h4 // {_u(2**29)}) * {_u(PRIME_3)}"), f"xor(h5, h5 // {_u(2**32)})"),
+        ),
+    )
+
+
+def signed(number: str) -> str:
+    """An unsigned 64-bit hash as the bigint with the same bits."""
+    return f"CAST(({number})::HUGEINT - CASE WHEN {number} >= {2**63} THEN {2**64} ELSE 0 END AS BIGINT)"
+
+
 def key_hash(key: str) -> str:
     return xxhash(unsigned(key), _u(SPARK_SEED))
 
@@ -120,10 +175,10 @@ HASH_SAMPLE_SQL = keep_percent(
 )
 
 
-def zipf_table(cardinality: int) -> str:
+def zipf_table(cardinality: int, name: str = "zipf") -> str:
     """Ranks with their cumulative harmonic numbers, the definition of the law."""
     return (
-        "zipf AS (SELECT r, sum(1.0::DOUBLE / r) OVER (ORDER BY r) AS upto"
+        f"{name} AS (SELECT r, sum(1.0::DOUBLE / r) OVER (ORDER BY r) AS upto"
         f" FROM range(1, {cardinality + 1}) t(r))"
     )
 

@@ -151,6 +151,7 @@ def l12_three_outputs(page_views: DataFrame) -> DataFrame:
             ),
         },
         key="group",
+        exclusive=True,
     )
 
 

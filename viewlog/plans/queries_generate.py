@@ -12,13 +12,22 @@ from viewlog import generate
 from viewlog.functions import draw
 from viewlog.functions.text import encode_bag, encode_map
 from viewlog.generate import gen_append, gen_from_spec, gen_table
+from viewlog.operators.joins import join_replicated
+from viewlog.operators.ordering import read_positions, sorted_write
 from viewlog.plans import driver_views as views
 from viewlog.plans import oracle_sql as sql
 from viewlog.plans import prep
 from viewlog.plans.driver_views import PAGE_VIEWS_SQL, table
 from viewlog.plans.oracle_sql import INFO_TEXT_SQL, LINKS_TEXT_SQL
-from viewlog.plans.registry import query
-from viewlog.schema import PAGE_VIEWS, POWER_USERS, USER_DETAIL_SPECS, TableSpec, parse_colspec
+from viewlog.plans.registry import placed, query
+from viewlog.schema import (
+    PAGE_VIEWS,
+    POWER_USER_SAMPLE_PERCENT,
+    POWER_USERS,
+    USER_DETAIL_SPECS,
+    TableSpec,
+    parse_colspec,
+)
 from viewlog.session import scratch_path
 from viewlog.sources import catalog, delimited
 
@@ -196,20 +205,18 @@ def gen_string(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "value_domain",
-    """SELECT count(*) AS n_values, count(*) AS n_distinct, 7 AS shortest_floor, 12 AS longest_cap
-    FROM customer""",
+    f"""SELECT c_custkey, {sql.domain_string(SHORT, 'i', SEED, 0)} AS value
+    FROM (SELECT c_custkey, c_custkey % {parse_colspec(SHORT).cardinality} AS i FROM customer)""",
 )
 def value_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One domain value per customer: as many different strings as customers."""
-    size = table(spark, sf_dir, "customer").count()
-    values = generate.value_domain(spark, f"s:10:{size}:u:0", SEED)
-    size = F.length("value")
-    return values.agg(
-        F.count(F.lit(1)).alias("n_values"),
-        F.count_distinct("value").alias("n_distinct"),
-        F.least(F.min(size), F.lit(7)).alias("shortest_floor"),
-        F.greatest(F.max(size), F.lit(12)).alias("longest_cap"),
+    """The value each customer's number has in a stored domain, looked up by index."""
+    path = scratch_path(spark, "domain")
+    generate.write_value_domain(spark, SHORT, path, SEED)
+    domain = delimited.read_delimited(spark, path, "at bigint, value string", generate.DOMAIN_SEP)
+    numbered = table(spark, sf_dir, "customer").select(
+        "c_custkey", (F.col("c_custkey") % parse_colspec(SHORT).cardinality).alias("index")
     )
+    return join_replicated(numbered, domain, "index", "at").select("c_custkey", "value")
 
 
 def free_text(key: str, avg: int, stream: int) -> str:
@@ -228,17 +235,12 @@ def free_text(key: str, avg: int, stream: int) -> str:
     return sql.let("words", f"[{blocks}]", text)
 
 
-def signed(unsigned: str) -> str:
-    """An unsigned 64-bit hash as the bigint with the same bits."""
-    return f"CAST(({unsigned})::HUGEINT - CASE WHEN {unsigned} >= {2**63} THEN {2**64} ELSE 0 END AS BIGINT)"
-
-
 MAP = "m:10:1:z:0"
 
 
 def map_text(entry_key: str, size: str, stream: int) -> str:
     """Letters with their random texts, for a row or element whose keyed hash is ``base``."""
-    element = sql.let("raw", sql.xxhash("n::UHUGEINT", entry_key), signed("raw"))
+    element = sql.let("raw", sql.xxhash("n::UHUGEINT", entry_key), sql.signed("raw"))
     entry = sql.let("ek", element, free_text("ek", 10, stream))
     return (
         f"array_to_string(list_transform(range(1, {size} + 1), lambda n:"
@@ -267,7 +269,7 @@ BAG = "bi:1:30:u:20"
 
 BAG_ITEM = sql.let(
     "ek",
-    sql.let("raw", sql.xxhash("n::UHUGEINT", "base"), signed("raw")),
+    sql.let("raw", sql.xxhash("n::UHUGEINT", "base"), sql.signed("raw")),
     sql.below("ek", draw.salt(SEED, draw.ELEMENT_COLUMN, draw.INDEX), 30),
 )
 
@@ -311,25 +313,118 @@ def inject_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- data preparation ----
 
 
+USER_NAMES_SQL = """names AS (SELECT DISTINCT "user" AS name FROM page_views)"""
+POWER_NAMES_SQL = f"""names AS (SELECT DISTINCT "user" AS name FROM page_views
+    ORDER BY name NULLS FIRST LIMIT {POWER_USERS})"""
+
+
+def ranked_by_zipf(column: str, source: str, key: str, spec: str, position: int) -> str:
+    """The rank of each row in one column, by the row's key."""
+    zipf = f"zipf_{parse_colspec(spec).cardinality}"
+    u = sql.unit(key, sql.index_stream(SEED, position))
+    return f"""rank_{column} AS (SELECT {key}, r - 1 AS idx FROM
+      (SELECT {key}, {u} * (SELECT max(upto) FROM {zipf}) AS t FROM {source})
+      ASOF JOIN {zipf} ON t <= upto)"""
+
+
+def detail_ctes(names: str) -> tuple[str, ...]:
+    """The users of ``names`` with the details drawn from the hash of their name, as ``details``."""
+    hashed = sql.let("raw", sql.text_hash("coalesce(name, '')"), sql.signed("raw"))
+    columns, joins = [], []
+    for i, (name, text) in enumerate(USER_DETAIL_SPECS.items()):
+        spec, idx = parse_colspec(text), f"rank_{name}.idx"
+        value = sql.domain_string(text, idx, SEED, i) if spec.dtype == "string" else f"CAST({idx} AS INTEGER)"
+        columns.append(f"CASE WHEN {sql.not_null(spec, 'keyed.k', SEED, i)} THEN {value} END AS {name}")
+        joins.append(f"JOIN rank_{name} ON keyed.k = rank_{name}.k")
+    sizes = sorted({parse_colspec(text).cardinality for text in USER_DETAIL_SPECS.values()})
+    return (
+        PAGE_VIEWS_SQL,
+        names,
+        f"keyed AS (SELECT name, {hashed} AS k FROM names)",
+        *[sql.zipf_table(n, f"zipf_{n}") for n in sizes],
+        *[ranked_by_zipf(n, "keyed", "k", text, i) for i, (n, text) in enumerate(USER_DETAIL_SPECS.items())],
+        f"details AS (SELECT name, keyed.k AS k, {', '.join(columns)} FROM keyed {' '.join(joins)})",
+    )
+
+
+DETAILS = ", ".join(["name", *USER_DETAIL_SPECS])
+
+
+@query("prep_users", f"SELECT {DETAILS} FROM details", detail_ctes(USER_NAMES_SQL))
+def prep_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.make_users(views.page_views(spark, sf_dir), SEED)
+
+
+@query("prep_power_users", f"SELECT {DETAILS} FROM details", detail_ctes(POWER_NAMES_SQL))
+def prep_power_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.make_power_users(views.page_views(spark, sf_dir), seed=SEED)
+
+
 @query(
-    "prep_users",
-    'SELECT DISTINCT "user" AS name, 6 AS n_columns FROM page_views',
-    (PAGE_VIEWS_SQL,),
+    "prep_power_user_samples",
+    f"SELECT {DETAILS} FROM details WHERE {sql.keep_percent('k', POWER_USER_SAMPLE_PERCENT, SEED)}",
+    detail_ctes(POWER_NAMES_SQL),
 )
-def prep_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prep_power_user_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the power users, chosen by the hash of their name."""
+    everyone = prep.make_power_users(views.page_views(spark, sf_dir), seed=SEED)
+    return prep.make_power_user_samples(everyone, SEED)
+
+
+@query(
+    "prep_users_sorted",
+    f"SELECT {DETAILS}, row_number() OVER (ORDER BY name NULLS FIRST) AS position FROM details",
+    detail_ctes(USER_NAMES_SQL),
+)
+def prep_users_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored users in order of name, read back with the place of each."""
+    path = scratch_path(spark, "users-sorted")
     users = prep.make_users(views.page_views(spark, sf_dir), SEED)
-    details = F.lit(1 + len(USER_DETAIL_SPECS))
-    # The details of a user depend on the name alone, so each name still comes once.
-    return users.distinct().select("name", details.alias("n_columns"))
+    sorted_write(users, path, F.col("name").asc_nulls_first())
+    return read_positions(spark, path)
 
 
 @query(
-    "prep_power_users",
-    f"""SELECT DISTINCT "user" AS name FROM page_views ORDER BY name NULLS FIRST LIMIT {POWER_USERS}""",
+    "prep_page_views_sorted",
+    """SELECT "user", event_id, rank() OVER (ORDER BY "user" NULLS FIRST) AS place FROM page_views""",
     (PAGE_VIEWS_SQL,),
 )
-def prep_power_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.make_power_users(views.page_views(spark, sf_dir), seed=SEED).select("name")
+def prep_page_views_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored page views in order of user, each with the place where its user begins."""
+    path = scratch_path(spark, "page-views-sorted")
+    sorted_write(views.page_views(spark, sf_dir), path, F.col("user").asc_nulls_first())
+    return placed(read_positions(spark, path), "user").select("user", "event_id", "place")
+
+
+WIDE = generate.wide_row_specs()
+WIDE_USER, WIDE_INT = parse_colspec(WIDE["user"]), parse_colspec(WIDE["int_1"])
+WIDE_ROWS = "rows AS (SELECT row_number() OVER () - 1 AS n FROM customer)"
+# All numbers of a row by one expression over the column's number, then laid side by side.
+WIDE_HASH = sql.let(
+    "k",
+    sql.key_hash("n"),
+    sql.xxhash(f"({sql.index_stream(SEED, 0)} + i * {sql.index_stream(0, 1) - draw.INDEX})::UHUGEINT", "k"),
+)
+WIDE_NUMBERS = f"""numbers AS (SELECT n, list(v ORDER BY i) AS vs FROM
+      (SELECT n, i, CAST({WIDE_HASH} // 2 % {WIDE_INT.cardinality} AS INTEGER) AS v
+       FROM rows, range(1, {len(WIDE)}) c(i)) GROUP BY n)"""
+
+
+@query(
+    "prep_wide_rows",
+    f"""SELECT {sql.domain_string(WIDE["user"], "rank_user.idx", SEED, 0)} AS "user", """
+    + ", ".join(f"vs[{i}] AS {name}" for i, name in enumerate(WIDE) if name != "user")
+    + " FROM numbers JOIN rank_user ON numbers.n = rank_user.n",
+    (
+        WIDE_ROWS,
+        WIDE_NUMBERS,
+        sql.zipf_table(WIDE_USER.cardinality, f"zipf_{WIDE_USER.cardinality}"),
+        ranked_by_zipf("user", "rows", "n", WIDE["user"], 0),
+    ),
+)
+def prep_wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row of a user and 500 numbers per customer."""
+    return generate.gen_wide_rows(spark, table(spark, sf_dir, "customer").count(), SEED)
 
 
 SCALARS = [n for n in PAGE_VIEWS.names if n not in ("page_info", "page_links")]

@@ -518,19 +518,19 @@ def spec_files(spark: SparkSession, sf_dir: str) -> str:
 
 @query(
     "read_table_specs",
-    """SELECT c_name AS prefix, 'db' || c_nationkey AS database, 'balance' AS column_name,
-      CAST(c_custkey + 1 AS BIGINT) AS cardinality, c_nationkey AS percent_null FROM customer""",
+    """SELECT c_name || '_' || c_custkey || '_' || i AS name, 'db' || c_nationkey AS database,
+      c_custkey AS rows, 'balance' AS column_name, false AS is_partition, 'int' AS dtype,
+      CAST(c_custkey + 1 AS BIGINT) AS cardinality, 'uniform' AS distribution,
+      c_nationkey AS percent_null, CAST(NULL AS VARCHAR) AS problem
+    FROM (SELECT c_name, c_custkey, c_nationkey, unnest(range(c_nationkey % 3)) AS i FROM customer)""",
 )
 def read_table_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = specs.read_spec_rows(spark, spec_files(spark, sf_dir))
-    one = rows.select("namePrefix", "dbName", F.explode("columns.column").alias("c"))
-    return one.select(
-        F.col("namePrefix").alias("prefix"),
-        F.col("dbName").alias("database"),
-        F.col("c.name").alias("column_name"),
-        F.col("c.cardinality").cast("bigint").alias("cardinality"),
-        F.col("c.percentageNull").cast("int").alias("percent_null"),
-    )
+    """The rows of which ``specs.read_table_specs`` makes its tables, rules applied."""
+    tables = specs.expand_instances(specs.read_spec_rows(spark, spec_files(spark, sf_dir)))
+    return specs.spec_columns(tables).select(
+        "name", "database", "rows", "column_name", "is_partition", "dtype", "cardinality",
+        "distribution", "percent_null", "problem",
+    )
 
 
 @query(
