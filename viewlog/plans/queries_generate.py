@@ -398,12 +398,13 @@ def prep_page_views_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WIDE = generate.wide_row_specs()
 WIDE_USER, WIDE_INT = parse_colspec(WIDE["user"]), parse_colspec(WIDE["int_1"])
-WIDE_ROWS = "rows AS (SELECT row_number() OVER () - 1 AS n FROM customer)"
+WIDE_ROWS = (
+    f"rows AS MATERIALIZED (SELECT n, {sql.key_hash('n')} AS k"
+    " FROM (SELECT row_number() OVER () - 1 AS n FROM customer))"
+)
 # All numbers of a row by one expression over the column's number, then laid side by side.
-WIDE_HASH = sql.let(
-    "k",
-    sql.key_hash("n"),
-    sql.xxhash(f"({sql.index_stream(SEED, 0)} + i * {sql.index_stream(0, 1) - draw.INDEX})::UHUGEINT", "k"),
+WIDE_HASH = sql.xxhash(
+    f"({sql.index_stream(SEED, 0)} + i * {sql.index_stream(0, 1) - draw.INDEX})::UHUGEINT", "k"
 )
 WIDE_NUMBERS = f"""numbers AS (SELECT n, list(v ORDER BY i) AS vs FROM
       (SELECT n, i, CAST({WIDE_HASH} // 2 % {WIDE_INT.cardinality} AS INTEGER) AS v
