@@ -12,6 +12,7 @@ from viewlog import generate
 from viewlog.functions import draw
 from viewlog.functions.text import encode_bag, encode_map
 from viewlog.generate import gen_append, gen_from_spec, gen_table
+from viewlog.operators import range_bounds
 from viewlog.operators.joins import join_replicated
 from viewlog.operators.ordering import read_positions, sorted_write
 from viewlog.plans import driver_views as views
@@ -396,6 +397,22 @@ def prep_page_views_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(read_positions(spark, path), "user").select("user", "event_id", "place")
 
 
+@query(
+    "order_stored_bounds",
+    """SELECT "user", action, event_id,
+      rank() OVER (ORDER BY "user" NULLS FIRST, action) AS place FROM page_views""",
+    (PAGE_VIEWS_SQL,),
+)
+def order_stored_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page views in order of user and action, in ranges stored from sketches of an earlier pass."""
+    page_views, root = views.page_views(spark, sf_dir), scratch_path(spark, "stored-bounds")
+    keys = ("user", "action")
+    range_bounds.store_bounds(spark, range_bounds.measure_bounds(page_views, 8, *keys), f"{root}/bounds")
+    bounds = range_bounds.load_bounds(spark, f"{root}/bounds")
+    range_bounds.order_by_bounds(page_views, bounds, *keys).write.parquet(f"{root}/rows")
+    return placed(read_positions(spark, f"{root}/rows"), *keys).select(*keys, "event_id", "place")
+
+
 WIDE = generate.wide_row_specs()
 WIDE_USER, WIDE_INT = parse_colspec(WIDE["user"]), parse_colspec(WIDE["int_1"])
 WIDE_ROWS = (
