@@ -238,3 +238,15 @@ def test_names(spark):
     for bad in (scalars.original_name(F.col("d")), scalars.with_slash(F.lit(""))):
         with pytest.raises(Exception, match="suffix|empty"):
             df.select(bad).collect()
+
+
+def test_tagged_aggregate_counts_a_row_in_each_branch_it_meets(spark):
+    df = spark.range(6)
+    branches = {
+        "even": (F.col("id") % 2 == 0, F.col("id") % 2, F.count("id")),
+        "small": (F.col("id") < 3, F.lit(None).cast("int"), F.sum("id")),
+    }
+    both = aggregates.tagged_aggregate(df, branches, "k")
+    assert sorted(map(tuple, both.collect())) == [("even", "0", 3, None), ("small", None, None, 3)]
+    first = aggregates.tagged_aggregate(df, branches, "k", exclusive=True)
+    assert sorted(map(tuple, first.collect())) == [("even", "0", 3, None), ("small", None, None, 1)]
