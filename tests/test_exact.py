@@ -93,3 +93,14 @@ def test_bitmaps_want_integers(spark, bad):
     df = spark.createDataFrame([("a", bad)], "k string, v string")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         bitmaps.bitmaps(df, ["k"], "v").collect()
+
+
+def test_thin_bitmaps_stay_small_unpacked(spark, plan):
+    """A key's lone values cost a few words each, in the shuffle's bytes and in a task's memory alike."""
+    edges = [0, 63, 64, -1, -64, -65, 2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(k, v) for k in range(50) for v in (*edges, k * 2**20, None)], "k int, v bigint")
+    thin = bitmaps.bitmaps(df, ["k"], "v")
+    assert [f.dataType.simpleString() for f in thin.schema] == ["int", "bigint", "bigint"]
+    merged = bitmaps.count_bits(thin, ["k"], "n")
+    assert "SortAggregate" not in plan(merged)  # buffers of a fixed width, so nothing is sorted
+    assert {r.k: r.n for r in merged.collect()} == {k: 9 - (k == 0) for k in range(50)}
