@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from viewlog import generate
 from viewlog.functions import draw
+from viewlog.functions.text import encode_map
 from viewlog.plans import prep
+from viewlog.plans.all_queries import QUERIES
 from viewlog.schema import (
     PAGE_VIEW_SPECS,
     PAGE_VIEWS,
@@ -230,3 +232,30 @@ def test_map_file_without_a_value_is_an_error(spark):
     drawn = generate.gen_table(spark, {"t": f"s:4:5:u:0:{path}"}, 100, seed=1)
     with pytest.raises(Exception, match="has no value for number"):
         drawn.collect()
+
+
+def test_maps_of_a_small_file_are_drawn_by_many_tasks(spark, tmp_path, monkeypatch):
+    """A file of keys alone is read by one task, which drew the maps of all its rows."""
+    path = str(tmp_path / "keys")
+    keys = [*range(5000), 7, 7, None, None]
+    spark.createDataFrame([(k,) for k in keys], "id bigint").coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    monkeypatch.setattr(generate, "DRAWN_ROWS", 600)
+    parts = generate.parts_to_draw(rows)
+    assert parts == 9 and generate.parts_to_draw(rows.limit(0)) == 1
+    spec = {"value": "m:10:1:z:0"}
+    spread = generate.gen_append(rows, spec, "id", 3, parts).withColumn("task", F.spark_partition_id())
+    sizes = [r["count"] for r in spread.groupBy("task").count().collect()]
+    assert len(sizes) == 9 and max(sizes) < 700
+    plain = generate.gen_append(rows, spec, "id", 3)
+    text = [F.coalesce(F.col("id"), F.lit(-1)).alias("id"), encode_map(F.col("value")).alias("value")]
+    assert sorted(map(tuple, spread.select(*text).collect())) == sorted(map(tuple, plain.select(*text).collect()))
+
+
+@pytest.mark.parametrize("name", ["gen_map", "gen_bag"])
+def test_generated_collections_deal_their_rows_out(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(generate, "DRAWN_ROWS", 100)
+    spark.range(1000).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    drawn = QUERIES[name](spark, str(tmp_path))
+    assert drawn.select(F.spark_partition_id()).distinct().count() == 10
+    assert drawn.count() == 1000

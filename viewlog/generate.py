@@ -23,6 +23,7 @@ from viewlog.sources.delimited import read_delimited, write_delimited
 ROW_KEY = "__row"
 DOMAIN_TYPES = ("float", "double", "string")
 DOMAIN_SEP = "\t"
+DRAWN_ROWS = 25_000  # a task draws the maps of so many rows in a second or two
 
 
 def _parsed(specs: Mapping[str, ColSpec | str]) -> dict[str, ColSpec]:
@@ -99,15 +100,28 @@ def gen_table(
 
 
 def gen_append(
-    df: DataFrame, specs: Mapping[str, ColSpec | str], key: Column | str, seed: int = 0
+    df: DataFrame,
+    specs: Mapping[str, ColSpec | str],
+    key: Column | str,
+    seed: int = 0,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Existing rows with generated columns added, drawn from the row's key."""
+    """Existing rows with generated columns added, drawn from the row's key.
+
+    ``parts`` deals the rows out to that many tasks first and never sets the data. Maps and bags take
+    far longer to draw than their keys to read, and one task reads a few megabytes of keys.
+    """
     check_gen_conf(specs, source=df)
     taken = {c.lower() for c in df.columns} & {n.lower() for n in specs}
     if taken:
         raise ValueError(f"columns exist already: {sorted(taken)}")
     key = F.col(key) if isinstance(key, str) else key
-    return _add(df, specs, key, seed)
+    return _add(df if parts is None else df.repartition(parts), specs, key, seed)
+
+
+def parts_to_draw(df: DataFrame) -> int:
+    """Tasks for the maps or bags of stored rows, by their count."""
+    return max(1, -(-df.count() // DRAWN_ROWS))
 
 
 def value_domain(spark: SparkSession, spec: ColSpec | str, seed: int = 0, column: int = 0) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from viewlog import generate
 from viewlog.functions import draw
 from viewlog.functions.text import encode_bag, encode_map
-from viewlog.generate import gen_append, gen_from_spec, gen_table
+from viewlog.generate import gen_append, gen_from_spec, gen_table, parts_to_draw
 from viewlog.operators import range_bounds
 from viewlog.operators.joins import join_replicated
 from viewlog.operators.ordering import read_positions, sorted_write
@@ -262,7 +262,7 @@ def sized(stream: int, bounds: tuple[int, int], key: str = "c_custkey") -> str:
 )
 def gen_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey")
-    drawn = gen_append(customers, {"value": MAP}, "c_custkey", SEED)
+    drawn = gen_append(customers, {"value": MAP}, "c_custkey", SEED, parts_to_draw(customers))
     return drawn.select("c_custkey", encode_map(F.col("value")).alias("value"))
 
 
@@ -286,7 +286,7 @@ BAG_ITEM = sql.let(
 )
 def gen_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey")
-    drawn = gen_append(customers, {"value": BAG}, "c_custkey", SEED)
+    drawn = gen_append(customers, {"value": BAG}, "c_custkey", SEED, parts_to_draw(customers))
     return drawn.select(
         "c_custkey",
         F.when(F.col("value").isNotNull(), F.size("value")).cast("bigint").alias("size"),
