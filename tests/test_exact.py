@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from viewlog.operators import bitmaps
 from viewlog.operators.exact_sum import exact_sum
+from viewlog.plans import page_views as plans
 from viewlog.session import scratch_path
 
 SCHEMA = "k int, v double"
@@ -104,3 +105,20 @@ def test_thin_bitmaps_stay_small_unpacked(spark, plan):
     merged = bitmaps.count_bits(thin, ["k"], "n")
     assert "SortAggregate" not in plan(merged)  # buffers of a fixed width, so nothing is sorted
     assert {r.k: r.n for r in merged.collect()} == {k: 9 - (k == 0) for k in range(50)}
+
+
+def stored_days(spark):
+    """Actions and times of a few views, stored by day; a user and a day come with nulls alone."""
+    rows = [("u1", 0, 5, 1), ("u1", 1, 5, 1), ("u1", 1, 63, 2), ("u1", 1, 64, 2), (None, 0, 7, 2), (None, 0, 7, 3), ("u2", None, None, 3)]
+    path = scratch_path(spark, "days")
+    views = spark.createDataFrame(rows, "user string, action int, timespent int, day int")
+    plans.store_daily_bitmaps(views, path)
+    return path
+
+
+def test_l15_counts_from_daily_bitmaps_of_fixed_width(spark, plan):
+    path = stored_days(spark)
+    counts = plans.l15_counts_from_bitmaps(spark, path)
+    assert "SortAggregate" not in plan(counts)
+    assert {tuple(r) for r in counts.collect()} == {("u1", 2, 3), (None, 1, 1), ("u2", 0, 0)}
+    assert dict(spark.read.parquet(f"{path}/timespent").dtypes)["bits"] == "bigint"
