@@ -122,3 +122,15 @@ def test_l15_counts_from_daily_bitmaps_of_fixed_width(spark, plan):
     assert "SortAggregate" not in plan(counts)
     assert {tuple(r) for r in counts.collect()} == {("u1", 2, 3), (None, 1, 1), ("u2", 0, 0)}
     assert dict(spark.read.parquet(f"{path}/timespent").dtypes)["bits"] == "bigint"
+
+
+def test_l4_counts_of_chosen_days_from_bitmaps_of_fixed_width(spark, plan):
+    path = stored_days(spark)
+    for days, expected in (
+        (None, {("u1", 2), (None, 1), ("u2", 0)}),
+        (F.col("day") > 1, {("u1", 1), (None, 1), ("u2", 0)}),
+        (F.col("day") == 1, {("u1", 2)}),
+    ):
+        counts = plans.l4_from_bitmaps(spark, path, days)
+        assert "SortAggregate" not in plan(counts)
+        assert {tuple(r) for r in counts.collect()} == expected
