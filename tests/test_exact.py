@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import struct
+from datetime import datetime
 from fractions import Fraction
 
 import pytest
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 
 from viewlog.operators import bitmaps
 from viewlog.operators.exact_sum import exact_sum
+from viewlog.plans import driver_views as views
 from viewlog.plans import page_views as plans
+from viewlog.plans import queries_page_views as queries
 from viewlog.session import scratch_path
 
 SCHEMA = "k int, v double"
@@ -134,3 +137,28 @@ def test_l4_counts_of_chosen_days_from_bitmaps_of_fixed_width(spark, plan):
         counts = plans.l4_from_bitmaps(spark, path, days)
         assert "SortAggregate" not in plan(counts)
         assert {tuple(r) for r in counts.collect()} == expected
+
+
+def stored_events(spark):
+    """A folder of events; two of one id lie on different days, one has no id and one no time."""
+    rows = [
+        (1, datetime(2024, 1, 1, 23, 59), 7, "click"),
+        (1, datetime(2024, 1, 2), 7, "view"),
+        (2, datetime(2024, 1, 2, 5), 8, "view"),
+        (None, datetime(2024, 1, 1), 9, "view"),
+        (3, None, 7, "click"),
+    ]
+    folder = scratch_path(spark, "tables")
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame([(*r, 1.0, None) for r in rows], schema).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def test_l15_days_come_from_the_row_itself(spark, plan):
+    """No join by id, whose sorted sides filled a task's memory and whose rows grew with the square of a repeated id."""
+    folder = stored_events(spark)
+    dated = views.dated_page_views(spark, folder)
+    assert not any(node in plan(dated) for node in ("Join", "Exchange", "Sort"))
+    found = sorted((r.event_id, r.user, r.action, str(r.day)) for r in dated.collect())
+    assert found == [(1, "u7", 0, "2024-01-02"), (1, "u7", 1, "2024-01-01"), (2, "u8", 0, "2024-01-02"), (3, "u7", 1, "None")]
+    assert {tuple(r) for r in queries.l15_bitmaps(spark, folder).collect()} == {("u7", 2, 2), ("u8", 1, 1)}

@@ -30,7 +30,11 @@ def _name(number: Column) -> Column:
 
 def page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as page views, with event_id as an extra last column."""
-    e = table(spark, sf_dir, "events")
+    return views_of(table(spark, sf_dir, "events"))
+
+
+def views_of(e: DataFrame, *more: Column) -> DataFrame:
+    """Page views of some events; ``more`` columns of the events come last."""
     n = e["event_id"]
     link_count = F.when(n % 5 == 1, None).when(n % 10 == 3, 0).otherwise(5 + n % 5).cast("int")
     info = F.when(n % 9 == 0, F.create_map(F.lit("c"), e["event_type"])).otherwise(
@@ -58,6 +62,7 @@ def page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
         info.alias("page_info"),
         F.slice(F.array(*links), F.lit(1), link_count).alias("page_links"),
         n,
+        *more,
     )
 
 
@@ -85,10 +90,9 @@ FLAT_LINKS_SQL = """flat AS (
 
 
 def dated_page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page views with the day of the event, ``day``."""
-    days = table(spark, sf_dir, "events").select(F.col("event_id").alias("__id"), F.to_date("ts").alias("day"))
-    views = page_views(spark, sf_dir)
-    return views.join(days, views["event_id"] == days["__id"]).drop("__id")
+    """Page views with the day of the event, ``day``, taken from the event's own row; events without an id are left out."""
+    e = table(spark, sf_dir, "events").filter("event_id IS NOT NULL")
+    return views_of(e, F.to_date(e["ts"]).alias("day"))
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
