@@ -162,3 +162,11 @@ def test_l15_days_come_from_the_row_itself(spark, plan):
     found = sorted((r.event_id, r.user, r.action, str(r.day)) for r in dated.collect())
     assert found == [(1, "u7", 0, "2024-01-02"), (1, "u7", 1, "2024-01-01"), (2, "u8", 0, "2024-01-02"), (3, "u7", 1, "None")]
     assert {tuple(r) for r in queries.l15_bitmaps(spark, folder).collect()} == {("u7", 2, 2), ("u8", 1, 1)}
+
+
+def test_l4_views_of_a_repeated_id_stay_on_their_own_days(spark):
+    path = queries.daily_bitmaps(spark, folder := stored_events(spark))
+    for day, expected in (("2024-01-01", {("u7", 1)}), ("2024-01-02", {("u7", 1), ("u8", 1)})):
+        counts = plans.l4_from_bitmaps(spark, path, F.col("day") == F.lit(day).cast("date"))
+        assert {tuple(r) for r in counts.collect()} == expected
+    assert {tuple(r) for r in queries.l4_bitmaps(spark, folder).collect()} == {("u7", 2), ("u8", 1)}
