@@ -170,3 +170,24 @@ def test_l4_views_of_a_repeated_id_stay_on_their_own_days(spark):
         counts = plans.l4_from_bitmaps(spark, path, F.col("day") == F.lit(day).cast("date"))
         assert {tuple(r) for r in counts.collect()} == expected
     assert {tuple(r) for r in queries.l4_bitmaps(spark, folder).collect()} == {("u7", 2), ("u8", 1)}
+
+
+def test_l4_scan_tasks_hold_no_bitmaps(spark, plan):
+    """A scan task reads a whole row group; bitmaps are made of dealt rows, in partitions that AQE keeps to a size."""
+    dated = views.dated_page_views(spark, stored_events(spark))
+    daily = bitmaps.bitmaps(dated, ["day", "user"], "action")
+    lowest = plan(daily).rpartition("HashAggregate")[2]
+    assert "hashpartitioning(day" in lowest and "REBALANCE_PARTITIONS_BY_COL" in lowest
+    assert "props" not in lowest  # only the columns that are used are moved
+    found = sorted((str(r.day), r.user, r.bucket, r.bits) for r in daily.collect())
+    assert found == [("2024-01-01", "u7", 0, 2), ("2024-01-02", "u7", 0, 1), ("2024-01-02", "u8", 0, 1), ("None", "u7", 0, 2)]
+
+
+def test_dealt_rows_of_a_hot_key_count_the_same(spark):
+    """A key with most rows, nulls among them, and names that need quoting."""
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id")).alias("k"), F.expr("if(id % 7 = 0, null, id % 200)").alias("a.v")
+    )
+    counts = bitmaps.count_bits(bitmaps.bitmaps(df, ["k"], "a.v"), ["k"], "n")
+    expected = df.groupBy("k").agg(F.count_distinct("`a.v`").alias("n"))
+    assert {tuple(r) for r in counts.collect()} == {tuple(r) for r in expected.collect()}

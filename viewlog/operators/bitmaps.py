@@ -8,6 +8,10 @@ distinct counts of one input need no copy of it per column.
 
 Rows have a fixed width on purpose. Bitmaps of 4 KB that are almost empty shrink so well in a shuffle
 that partitions merged by their bytes there fill a task's memory once they are unpacked.
+
+Rows are dealt out before bitmaps are made of them. A scan task reads whole row groups, however long, and
+would hold a bitmap for every key and bucket in them. Equal rows of a key come to one task, which streams
+them and holds one bitmap.
 """
 
 from __future__ import annotations
@@ -19,6 +23,9 @@ from pyspark.sql import functions as F
 
 
 BUCKET_BITS = 6  # 2^6 values, one for each bit of a bigint
+# Partitions that rows are dealt to; AQE merges small ones and cuts large ones to its advisory size. Up to
+# spark.shuffle.sort.bypassMergeThreshold of them, 200, a scan task writes rows straight to files and holds none.
+DEAL_PARTS = 200
 
 
 def bitmaps(df: DataFrame, by: list[str], col: str) -> DataFrame:
@@ -26,7 +33,9 @@ def bitmaps(df: DataFrame, by: list[str], col: str) -> DataFrame:
     value = F.col(f"`{col}`").cast("bigint")
     place = value.bitwiseAND(F.lit(2**BUCKET_BITS - 1).cast("bigint")).cast("int")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
-    return df.groupBy(*by, F.shiftright(value, BUCKET_BITS).alias("bucket")).agg(
+    # By key and value, so that a hot key is in many partitions and equal rows meet before the next shuffle.
+    dealt = df.hint("rebalance", DEAL_PARTS, *[F.col(c) for c in by], F.col(f"`{col}`"))
+    return dealt.groupBy(*by, F.shiftright(value, BUCKET_BITS).alias("bucket")).agg(
         F.coalesce(F.bit_or(bit), F.lit(0).cast("bigint")).alias("bits")
     )
 
